@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itembank.llm import exact_dedup, mixing, near_dedup
+from itembank.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing
 from itembank.llm.common import table
 
 
@@ -15,13 +15,16 @@ def over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkS
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": over("documents", packing.query),
     "op5_near_dedup": over("documents", near_dedup.query),
+    "op7_embedding_dedup": over("embeddings", embedding_dedup.query),
     "op8_mix_sources": over("documents", mixing.query),
     "op9_exact_dedup": over("documents", exact_dedup.query),
 }
 
 SQL: dict[str, str] = {
     "op5_near_dedup": near_dedup.SQL,
+    "op7_embedding_dedup": embedding_dedup.SQL,
     "op8_mix_sources": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
