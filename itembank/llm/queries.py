@@ -6,20 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itembank.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing
+from itembank.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, toxicity
 from itembank.llm.common import table
 
 
-def over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(table(spark, sf_dir, name))
+def over(name: str, query: Callable[..., DataFrame], *more: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(*[table(spark, sf_dir, t) for t in (name, *more)])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": over("documents", packing.query),
+    "op4_quality_classifier": over("documents", quality.query, "labels"),
     "op5_near_dedup": over("documents", near_dedup.query),
     "op7_embedding_dedup": over("embeddings", embedding_dedup.query),
     "op8_mix_sources": over("documents", mixing.query),
     "op9_exact_dedup": over("documents", exact_dedup.query),
+    "op10_toxicity": over("documents", toxicity.query, "labels"),
 }
 
 SQL: dict[str, str] = {
