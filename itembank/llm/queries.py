@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itembank.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from itembank.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, packing, quality, toxicity
 from itembank.llm.common import table
 
 
@@ -16,6 +16,7 @@ def over(name: str, query: Callable[..., DataFrame], *more: str) -> Callable[[Sp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": over("documents", packing.query),
+    "op2_html_extraction": over("pages", html_text.query),
     "op4_quality_classifier": over("documents", quality.query, "labels"),
     "op5_near_dedup": over("documents", near_dedup.query),
     "op7_embedding_dedup": over("embeddings", embedding_dedup.query),
