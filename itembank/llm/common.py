@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,43 @@ def fold_ascii(text: Column) -> Column:
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
     """The frame with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join. df: written out before, so that counting is cheap."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: At most so many ids are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id isn't among ids: one column __id, distinct, not null."""
+    return docs.join(small_enough(written(ids, "ids"), BROADCAST_IDS), docs[id_col] == F.col("__id"), "left_anti")
+
+
+def by_block(batches: Iterator[pa.RecordBatch], key: str = "block") -> Iterator[pa.Table]:
+    """The rows of each value of an integer column, for rows that come sorted by it."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        part = pa.Table.from_batches([batch])
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and held[0].column(key)[0].as_py() != keys[lo]:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(part.slice(lo, hi - lo))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def dealt_in_blocks(members: DataFrame, group: list[str], id_col: str, rows: int) -> DataFrame:
+    """Members of groups with a block number each; every two members of a group meet in a block, and no block has more than about 2 * rows of them.
+
+    A group of more than rows members is cut by a hash of the id into parts, and each two parts are a block. within: whether the
+    block is one part. members: written out before; without nulls in group.
+    """
+    large = members.groupBy(*group).agg(F.ceil(F.count("*") / rows).cast("int").alias("parts")).where("parts > 1")
+    dealt = members.join(small_enough(written(large, "large-groups"), BROADCAST_IDS), group, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    side = F.when(F.col("parts") > 1, F.pmod(F.xxhash64(id_col), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    dealt = dealt.withColumn("side", side).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumn("within", F.col("side") == F.col("o")).withColumn("block", F.xxhash64(*group, F.least("side", "o"), F.greatest("side", "o"))).drop("parts", "o")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import written
+from itembank.llm.common import by_block, dealt_in_blocks, written
 from itembank.llm.graph import connected_components
 
 #: Chance that a pair at the threshold agrees in no band.
@@ -122,21 +122,9 @@ def _compared(batches: Iterator[pa.RecordBatch], bits: int, bands: int, cosine:
             root = low
         return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64)), pa.array(root[hit])], names=["id", "links", "root"])
 
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = batch.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        part = pa.Table.from_batches([batch])
-        for lo, hi in zip(cuts, cuts[1:]):
-            if held and held[0].column("block")[0].as_py() != key[lo]:
-                if (out := one(pa.concat_tables(held))) is not None:
-                    yield out
-                held = []
-            held.append(part.slice(lo, hi - lo))
-    if held and (out := one(pa.concat_tables(held))) is not None:
-        yield out
+    for block in by_block(batches):
+        if (out := one(block)) is not None:
+            yield out
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98) -> DataFrame:
@@ -172,12 +160,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     in_bands = coded.select("id", "label", "dim", F.posexplode("bands").alias("band", "value"))
     bucket = ["label", "dim", "band", "value"]
-    shared = in_bands.groupBy(*bucket).agg(F.count("*").alias("k")).where("k > 1")
-    members = written(in_bands.join(shared, bucket).select(*bucket, "id", F.ceil(F.col("k") / BLOCK_ROWS).cast("int").alias("parts")), "vectors-members")
-    side = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.withColumn("side", side).withColumn("o", other)
-    dealt = dealt.withColumn("block", F.xxhash64(*bucket, F.least("side", "o"), F.greatest("side", "o"))).select("id", "band", "side", (F.col("side") == F.col("o")).alias("within"), "block")
+    shared = in_bands.groupBy(*bucket).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    members = written(in_bands.join(shared, bucket).select(*bucket, "id"), "vectors-members")
+    dealt = dealt_in_blocks(members, bucket, "id", BLOCK_ROWS).select("id", "band", "side", "within", "block")
     blocks = dealt.join(coded.drop("bands", "label"), "id").repartition("block").sortWithinPartitions("block")
     found = written(blocks.mapInArrow(lambda it: _compared(it, bits, bands, cosine), "id long, links long, root long"), "vectors-found")
 

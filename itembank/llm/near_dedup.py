@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itembank.llm import words
-from itembank.llm.common import small_enough, written
+from itembank.llm.common import by_block, dealt_in_blocks, small_enough, without, written
 from itembank.llm.graph import connected_components
 
 #: At a Jaccard similarity of 0.8, 42 bands of 6 bins miss a pair with probability (1 - 0.8**6)**42 < 3e-6.
 BANDS, BAND_BINS, BINS = 42, 6, 256
 #: At most so many ids or buckets are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Texts of one centre that one part of a block holds (see dealt_in_blocks).
+BLOCK_ROWS = 1000
 
 
 def _donors() -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +91,36 @@ def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(at) - 1), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64)))], names=["id", "s"])
 
 
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that span each block's components, from its full sets.
+
+    The block's first text is compared with all others at once, then each that isn't in one component with all others yet, so a
+    block of near copies takes few steps. Texts of one component aren't compared with each other.
+    """
+    for block in by_block(batches):
+        block = block.combine_chunks().sort_by("id")
+        ids, column = block.column("id").to_numpy(), block.column("s").combine_chunks()
+        size = column.value_lengths().to_numpy().astype(np.int64)
+        _, shingle = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        at = np.concatenate(([0], np.cumsum(size)))
+        label, mark, a, b = np.arange(len(ids)), np.zeros(int(shingle.max()) + 1, dtype=bool), [], []
+        for o in range(len(ids)):
+            other = (label != label[o]) & (100 * np.minimum(size, size[o]) >= percent * np.maximum(size, size[o]))
+            if not other.any():
+                if (label == label[0]).all():
+                    break
+                continue
+            mark[shingle[at[o] : at[o + 1]]] = True
+            shared = np.add.reduceat(mark[shingle], at[:-1], dtype=np.int64)
+            mark[shingle[at[o] : at[o + 1]]] = False
+            for new in np.unique(label[other & (100 * shared >= percent * (size + size[o] - shared))]):
+                a.append(ids[o])
+                b.append(ids[new])
+                label[label == new] = label[o]
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.int64)), pa.array(np.array(b, dtype=np.int64))], names=["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept.
 
@@ -96,11 +128,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable over links, kept tells whether that is the row's own id. Words are runs of non-space characters, A-Z as
     a-z. Ids are integers.
 
-    Documents with the same set become one representative. Representatives that share a band's values are in one bucket. Each
-    bucket links its smallest id to every other (a star, so candidates grow with the documents, not with their square), and each
-    candidate is confirmed on the full sets. Where a bucket then still holds more than one component, what the star can't tell is
-    made up for: its members are compared across components, copies and linked ones never with each other. So only pairs that
-    share no band are missed. Sets are made from the text again for candidates alone.
+    Documents with the same set become one representative. Representatives that share a band's values are in one bucket, and each
+    bucket hands its members to its smallest id: the star's centre. Candidates are these spokes, so they grow with the documents,
+    not with their square. The sets of a centre's members, made from the texts again for candidates alone, come together once, in
+    blocks of bounded size, where they are confirmed in full, centre first; only links that span components leave the task. Every
+    two texts that share a band have a common centre, so none but pairs without a common band are missed (fewer than 3 in a
+    million at the threshold).
 
     Nulls: a null text has no shingles; a null id is linked with nothing, has a null component and is kept. Texts without words
     have an empty set and are linked with nothing. Repeated rows: rows with one id are one document. Empty table: no rows.
@@ -114,36 +147,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(signed.drop("bands").join(copies.select("rep", *[F.col(c).alias(f"r_{c}") for c in "npq"]), same_set, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "near-members")
 
     reps = members.where("id = rep").select("rep").distinct()
-    in_bands = known.join(reps, F.expr("id = rep"), "left_semi").select("id", F.explode("bands").alias("bucket"))
-    buckets = written(in_bands.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("k")).where("k > 1 AND a < b"), "near-buckets")
-    large = buckets.where("k > 2").select("bucket", F.col("a").alias("centre"))
-    large = written(in_bands.join(small_enough(large, BROADCAST_ROWS), "bucket").distinct(), "near-large")
-    star = buckets.where("k = 2").select("a", "b").unionByName(large.where("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b")))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those pairs a, b whose full sets are similar enough."""
-        pairs = written(pairs, "near-pairs")
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ids")
-        chosen = texts.join(small_enough(ids, BROADCAST_ROWS), "id", "left_semi")
-        sets = written(chosen.mapInArrow(lambda it: _with_sets(it, shingle_words), "id long, s array<long>"), "near-sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
-        both = both.where(F.expr(f"100 * least(size(s), size(t)) >= {percent} * greatest(size(s), size(t))")).withColumn("i", F.size(F.array_intersect("s", "t")))
-        return written(both.where(F.expr(f"100 * i >= {percent} * (size(s) + size(t) - i)")).select("a", "b").distinct(), "near-links")
-
-    links = confirmed(star.distinct())
+    in_bands = known.join(reps, F.expr("id = rep"), "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
+    buckets = in_bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("a"), F.max(F.struct("id", "n")).alias("b"), F.count("*").alias("k"))
+    buckets = written(buckets.where("k > 1 AND a.id < b.id").select("bucket", "a", "b", "k"), "near-buckets")
+    of_two = buckets.where(F.expr(f"k = 2 AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")).select(F.col("a.id").alias("centre"), F.explode(F.array("a.id", "b.id")).alias("id"))
+    large = buckets.where("k > 2").select("bucket", F.col("a.id").alias("centre"))
+    of_more = in_bands.join(small_enough(large, BROADCAST_ROWS), "bucket").select("centre", "id")
+    spokes = written(of_two.unionByName(of_more).distinct(), "near-spokes")
+
+    ids = written(spokes.select("id").distinct(), "near-ids")
+    chosen = texts.join(small_enough(ids, BROADCAST_ROWS), "id", "left_semi")
+    sets = chosen.mapInArrow(lambda it: _with_sets(it, shingle_words), "id long, s array<long>")
+    blocks = dealt_in_blocks(spokes, ["centre"], "id", BLOCK_ROWS).select("block", "id").join(sets, "id").repartition("block").sortWithinPartitions("block")
+    links = written(blocks.mapInArrow(lambda it: _linked(it, percent), "a long, b long").distinct(), "near-links")
     component = connected_components(links, "near-components")
-    placed = large.join(component, F.expr("id = node"), "left").select("bucket", "centre", "id", F.coalesce("component", "id").alias("c"))
-    placed = written(placed, "near-placed")
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("bucket")
-    sized = placed.join(open_, "bucket", "left_semi").where("id > centre").join(members.where("id = rep").select(F.col("rep"), "n").distinct(), F.expr("id = rep")).select("bucket", "id", "c", "n")
-    sized = written(sized, "near-open")
-    other = sized.select("bucket", *[F.col(x).alias(f"o_{x}") for x in ("id", "c", "n")])
-    rest = sized.join(other, "bucket").where(F.expr(f"id < o_id AND c != o_c AND 100 * least(n, o_n) >= {percent} * greatest(n, o_n)"))
-    rest = written(rest.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct(), "near-rest")
-    if not rest.isEmpty():
-        more = confirmed(rest)
-        if not more.isEmpty():
-            component = connected_components(links.unionByName(more), "near-components")
     found = members.join(component, F.expr("rep = node"), "left").withColumn("component_id", F.coalesce("component", "rep", "id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -151,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay, with all their columns: one document of each component, rows without id as they are."""
     gone = near_duplicates(docs, id_col, text_col, shingle_words, percent).where("NOT kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    return without(docs, gone, id_col)
 
 
 def query(docs: DataFrame) -> DataFrame:
