@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import fold_ascii, small_enough, written
+from itembank.llm.common import fold_ascii, small_enough, without, written
 
 #: At most so many hashes of groups are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -53,9 +53,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, with all their columns. A repeated row of the id that stays goes too."""
-    verdict = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(verdict, F.col("__id").eqNullSafe(docs[id_col]), "left_semi").dropDuplicates([id_col])
+    """The rows of docs that stay, with all their columns. Of repeated rows of the id that stays, one does; rows without an id, whose group has none, all stay."""
+    verdict = written(exact_dedup(docs, id_col, text_col, keep).select(F.col(id_col).alias("__id"), "kept"), "exact-verdict")
+    left = without(docs, verdict.where("NOT kept AND __id IS NOT NULL").select("__id").distinct(), id_col)
+    gone = verdict.where("NOT kept AND __id IS NULL")
+    if not gone.isEmpty():
+        left = left.where(F.col(id_col).isNotNull())
+    again = written(verdict.where("kept AND __id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"), "exact-again")
+    if again.isEmpty():
+        return left
+    return without(left, again, id_col).unionByName(left.join(again, left[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col]))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itembank.llm.common import WORD, written
+from itembank.llm.common import BROADCAST_IDS, WORD, small_enough, written
 
 #: Documents to a bucket of keys, on average. Only the bucket in which a source's budget ends is sorted.
 BUCKET_ROWS = 1000
@@ -106,8 +106,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     plan = mix(docs, id_col, text_col, source_col, weights, max_epochs, boundary="whole")
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("part") > 0).cast("long"))
-    times = plan.select(F.col(id_col).alias("__id"), times.alias("__times")).dropDuplicates(["__id"]).where("__times > 0")
-    return docs.join(times, docs[id_col].eqNullSafe(F.col("__id"))).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = written(plan.select(F.col(id_col).alias("__id"), times.alias("__times")).dropDuplicates(["__id"]).where("__times > 0"), "mix-times")
+    taken = docs.join(small_enough(times, BROADCAST_IDS), docs[id_col].eqNullSafe(F.col("__id")))
+    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

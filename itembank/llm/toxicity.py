@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itembank.llm import automata
-from itembank.llm.common import written
+from itembank.llm.common import without, written
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 FIT_ROWS = 20_000
@@ -225,10 +225,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with all their columns. Texts are scored in place: the decision is joined on by id."""
-    verdict = toxicity(docs, fit_on(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct()
-    verdict = written(verdict, "toxic-verdict")
-    return docs.join(verdict, docs["doc_id"] == F.col("__id"), "left_anti")
+    """The rows of docs that aren't predicted toxic, with all their columns. Texts are scored in place; ids of the toxic ones are then left out. Rows without an id stay."""
+    verdict = toxicity(docs, fit_on(docs, labels)).where("predicted = 1 AND doc_id IS NOT NULL")
+    return without(docs, verdict.select(F.col("doc_id").alias("__id")).distinct(), "doc_id")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
