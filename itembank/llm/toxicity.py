@@ -13,12 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itembank.llm import automata
+from itembank.llm.near_dedup import drop_near_copies
 from itembank.llm.common import without, written
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 FIT_ROWS = 20_000
 #: A term stands in at least this share of the toxic rows, at least in so many, and is likelier there: its log odds less two standard errors reach so much.
 SUPPORT, SUPPORT_ROWS, LOG_ODDS = 0.01, 4, 1.3
+#: The lexicon's size; the terms that mark most toxic rows come first.
+TERMS = 150
+#: Rows whose sets of words are this similar count as one when terms are learned: else a toxic text with many copies makes all its words terms.
+COPY_PERCENT = 60
 #: A document's evidence from one term grows with its findings up to MOST of them.
 MOST = 4
 #: Words before and after a term that tell quotation from abuse, and what they do to its evidence.
@@ -77,7 +82,8 @@ def choose_terms(support: dict[str, int]) -> list[str]:
         words = [s for s in near if not s.endswith("*")]
         chosen.append(max(words, key=lambda s: (left[s], s)) if words else max(near, key=lambda s: (len(s), s)))
         left = {s: n for s, n in left.items() if not s.startswith(root)}
-    return sorted(chosen + [s for s in left if not s.endswith("*")])[:900]
+    chosen += [s for s in left if not s.endswith("*")]
+    return sorted(sorted(chosen, key=lambda s: (-support[s], s))[:TERMS])
 
 
 def context_factor(before: str, after: str) -> float:
@@ -170,7 +176,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 def fit(sample: DataFrame) -> Model:
     """Learns from id, text, y: a bounded sample. The driver sees counts of terms, of which SUPPORT bounds the number, and four numbers a row."""
-    sample = written(sample.select("text", "y"), "toxic-sample")
+    sample = written(sample.select("id", "text", "y"), "toxic-labelled")
+    sample = written(drop_near_copies(sample, "id", "text", 1, COPY_PERCENT).select("text", "y"), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = sample.mapInArrow(_term_counts, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
