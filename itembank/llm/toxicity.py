@@ -33,7 +33,9 @@ MENTION = {"word", "words", "term", "called", "said", "says", "quote", "quoted",
 ADDRESS = {"you", "your", "youre", "yours", "du", "dein", "dich", "ihr", "tu", "toi", "vous", "eres", "usted"}
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
 _TERM = re.compile(r"[^\W\d_]{3,24}")
-GROUP_CHARS = 1 << 21
+GROUP_CHARS = 1 << 20
+#: Terms that a task counts before it hands the counts on.
+HELD_TERMS = 60_000
 
 
 @dataclass
@@ -58,17 +60,21 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_c
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and other texts each word and each stem of 4 to 7 letters stands; summed within the task."""
-    count: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    """In how many toxic and other texts each word and each stem of 4 to 7 letters stands; sums of up to HELD_TERMS terms at a time."""
+    count: dict[str, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), *[pa.array([n[i] for n in count.values()], pa.int64()) for i in (0, 1)]], names=["term", "t", "c"])
+
     for batch in batches:
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = set(_TERM.findall(text.lower()))
+        for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
+            words = set(_TERM.findall(text.as_py().lower()))
             for term in words | {w[:n] + "*" for w in words for n in range(4, 8) if len(w) > n}:
-                count[term][1 - y] += 1
-    terms = list(count)
-    for lo in range(0, len(terms), 50_000):
-        part = terms[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array([count[t][i] for t in part], pa.int64()) for i in (0, 1)]], names=["term", "t", "c"])
+                count.setdefault(term, [0, 0])[1 - y] += 1
+            if len(count) > HELD_TERMS:
+                yield out()
+                count.clear()
+    yield out()
 
 
 def choose_terms(support: dict[str, int]) -> list[str]:
