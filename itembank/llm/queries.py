@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itembank.llm import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, packing, quality, toxicity
+from itembank.llm import embedding_dedup, exact_dedup, html_text, licenses, mixing, near_dedup, packing, quality, toxicity, training_order
 from itembank.llm.common import table
 
 
@@ -17,8 +17,10 @@ def over(name: str, query: Callable[..., DataFrame], *more: str) -> Callable[[Sp
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": over("documents", packing.query),
     "op2_html_extraction": over("pages", html_text.query),
+    "op3_license_scan": over("documents", licenses.query),
     "op4_quality_classifier": over("documents", quality.query, "labels"),
     "op5_near_dedup": over("documents", near_dedup.query),
+    "op6_training_order": over("documents", training_order.query),
     "op7_embedding_dedup": over("embeddings", embedding_dedup.query),
     "op8_mix_sources": over("documents", mixing.query),
     "op9_exact_dedup": over("documents", exact_dedup.query),
@@ -26,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_license_scan": licenses.SQL,
     "op5_near_dedup": near_dedup.SQL,
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op8_mix_sources": mixing.SQL,
