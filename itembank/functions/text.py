@@ -200,3 +200,13 @@ def clean_css(style: Column) -> Column:
     bad = lambda v: F.regexp_like(F.lower(v), F.lit(r"url\(|expression\(|javascript"))
     kept = F.filter(parts, lambda d: d["ok"] & d["p"].isin(*allowed) & (d["v"] != "") & ~bad(d["v"]))
     return F.array_join(F.transform(kept, lambda d: F.concat(d["p"], F.lit(": "), d["v"])), "; ")
+
+
+def asset_urls(content: Column, document: Column, base: str = "/api/ocr-assets") -> Column:
+    """Asset references as addresses of the document's assets; those of practices stay."""
+    return F.regexp_replace(content, F.lit(r"asset://(?!practice/)"), F.concat(F.lit(base + "/"), document, F.lit("/")))
+
+
+def set_attributes(attrs: Column) -> Column:
+    """A map of paragraph attributes without those that are null, zero, false, empty or the default alignment."""
+    return F.map_filter(attrs, lambda k, v: v.isNotNull() & ~v.isin("", "0", "false") & ~((k == "textAlign") & (v == "left")))

@@ -92,3 +92,11 @@ def settings_updated(settings: DataFrame, new: Mapping[str, str | None]) -> Data
     for name, value in new.items():
         settings = settings.withColumn(name, F.coalesce(F.nullif(F.lit(value), F.lit("")), F.col(name)))
     return settings
+
+
+def suggestions_or_default(questions: DataFrame, suggested: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
+    """Every question with its suggestion: known tags, at most three, in the order given; confidence 0 and no tags where there is none."""
+    each = suggested.select(F.col("id"), F.posexplode("tag_ids").alias("at", "tag_id")).join(known.select("tag_id").distinct(), "tag_id", "left_semi")
+    tags = each.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "tag_id"))), 1, most).alias("t")).select("id", F.transform("t", lambda x: x["tag_id"]).alias("tags"))
+    out = questions.select("id").join(suggested.select("id", "confidence"), "id", "left").join(tags, "id", "left")
+    return out.select("id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

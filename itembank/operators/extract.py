@@ -125,3 +125,17 @@ def answer_blocks(lines: DataFrame, parent: str, order: str, text: str) -> DataF
     choice = F.nullif(F.regexp_extract("body", r"故选[：:]\s*([A-D]{1,4})", 1), F.lit(""))
     first = F.row_number().over(Window.partitionBy(parent, "number").orderBy("block"))
     return blocks.withColumn("answer", F.coalesce(mark, choice)).withColumn("rn", first).where("rn = 1").drop("rn", "block")
+
+
+def zipped(inputs: DataFrame, results: DataFrame, by: str, items: str, found: str) -> DataFrame:
+    """Array items beside the results at the same place; a short list of results leaves nulls."""
+    a = inputs.select(by, F.posexplode(items).alias("at", "item"))
+    b = results.select(by, F.posexplode(found).alias("at", "result"))
+    return a.join(b, [by, "at"], "left")
+
+
+def mean_confidence(lines: DataFrame, by: str, text: str, confidence: str, order: str) -> DataFrame:
+    """Per key the lines' text in order and their mean confidence, 4 digits; no lines with text give an empty text and 0."""
+    some = F.trim(F.coalesce(F.col(text), F.lit(""))) != ""
+    parts = F.array_sort(F.collect_list(F.when(some, F.struct(F.col(order).alias("at"), F.col(text).alias("t")))))
+    return lines.groupBy(by).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("text"), F.coalesce(F.round(F.avg(F.when(some, F.col(confidence))), 4), F.lit(0.0)).alias("confidence"))

@@ -125,3 +125,37 @@ def regroup_plan(rows: DataFrame, parent: str, label: str, order: str) -> DataFr
     """Rows whose number would change if the practice were grouped by type, with both numbers."""
     now = renumbered(rows, parent, order, name="old_number")
     return grouped_by_type(now, parent, label, order).where("old_number != number")
+
+
+def inserted(blocks: DataFrame, new: DataFrame, parent: str, segment: str, order: str) -> DataFrame:
+    """New blocks (parent, segment, and the rest) at the end of their segment, else in a segment of their own at the end; then positions anew, from 0."""
+    both = blocks.withColumn("new", F.lit(0)).unionByName(new.withColumn("new", F.lit(1)), allowMissingColumns=True)
+    known = F.max(F.when(F.col("new") == 0, 1)).over(Window.partitionBy(parent, segment)).isNotNull()
+    start = F.when(known, F.min(F.when(F.col("new") == 0, F.col(order))).over(Window.partitionBy(parent, segment)))
+    return renumbered(both.withColumn("start", start), parent, F.col("start").asc_nulls_last(), segment, "new", F.col(order).asc_nulls_last(), name="position", start=0).drop("start", "new")
+
+
+def snapshots(questions: DataFrame, practice: Column, prefix: str) -> DataFrame:
+    """Copies of questions for a practice: asset references point into it, and the copy knows its source and version."""
+    body = F.regexp_replace("content", r"asset://(?!practice/)", f"asset://practice/{prefix}/")
+    return questions.select(practice.alias("practice"), F.col("id").alias("source_question_id"), body.alias("content"), "question_type", "difficulty", F.lit(False).alias("is_modified"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("source_version"))
+
+
+def restored(copies: DataFrame, questions: DataFrame, prefix: str) -> DataFrame:
+    """Copies as their sources are now; copies whose source is gone stay as they are. changed tells which had another version."""
+    now = snapshots(questions, F.lit(None), prefix).select(F.col("source_question_id").alias("q"), F.col("content").alias("q_content"), F.col("question_type").alias("q_type"), F.col("difficulty").alias("q_difficulty"), F.col("source_version").alias("q_version"))
+    j = copies.join(now, F.expr("source_question_id = q"), "left").withColumn("found", F.col("q").isNotNull())
+    pick = lambda new, old: F.when(F.col("found"), F.col(new)).otherwise(F.col(old)).alias(old)
+    return j.select("practice", "source_question_id", pick("q_content", "content"), pick("q_type", "question_type"), pick("q_difficulty", "difficulty"), F.when(F.col("found"), F.lit(False)).otherwise(F.col("is_modified")).alias("is_modified"), pick("q_version", "source_version"), (F.col("found") & (F.col("q_version") != F.col("source_version"))).alias("changed"))
+
+
+#: Page settings where none are stored, for practices made before and after layouts.
+LEGACY, CURRENT = {"size": "A4", "columns": "1", "font_size": "12"}, {"size": "A4", "columns": "2", "font_size": "10.5"}
+
+
+def page_settings(practices: DataFrame, stored: str = "page_config", has_layout: str = "has_layout") -> DataFrame:
+    """Each setting as stored, or the default of the practice's kind where the key is missing; a stored null counts as stored."""
+    config = F.from_json(stored, "map<string,string>")
+    keys = F.coalesce(F.map_keys(config), F.array().cast("array<string>"))
+    value = lambda k: F.when(F.array_contains(keys, k), F.try_element_at(config, F.lit(k))).otherwise(F.when(F.col(has_layout), CURRENT[k]).otherwise(LEGACY[k])).alias(k)
+    return practices.select("practice", *[value(k) for k in LEGACY])

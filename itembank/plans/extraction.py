@@ -306,3 +306,47 @@ def dml_accept_suggestions(spark: SparkSession, d: str) -> DataFrame:
     q, links = T.questions(spark, d), T.question_tags(spark, d)
     suggested = q.select("id", F.lit(3).alias("difficulty"), F.lit("essay").alias("question_type"), F.array(F.lit("quality"), F.lit("toxic"), F.lit("new")).alias("tag_ids"), (F.col("id") % 5 / 6).alias("confidence"))
     return D.suggestions_accepted(q, links, suggested, links.select("tag_id").distinct())[1]
+
+
+@query("asset_urls", "SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'see /api/ocr-assets/' || source || '/f.png' ELSE 'see asset://practice/p/f.png' END AS content FROM documents")
+def asset_urls(spark: SparkSession, d: str) -> DataFrame:
+    ref = F.when(F.col("id") % 2 == 0, "see asset://f.png").otherwise("see asset://practice/p/f.png")
+    return T.questions(spark, d).select("id", X.asset_urls(ref, F.col("source_id")).alias("content"))
+
+
+@query("positional_zip", """
+SELECT c.conv_id, c.turn AS at, c.role AS item, CASE WHEN c.turn < n - 1 THEN 'r' || c.turn END AS result
+FROM conversations c JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) k ON k.conv_id = c.conv_id""")
+def positional_zip(spark: SparkSession, d: str) -> DataFrame:
+    turns = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    inputs = turns.select("conv_id", F.transform("t", lambda x: x["role"]).alias("items"))
+    results = turns.select("conv_id", F.transform(F.slice("t", 1, F.size("t") - 1), lambda x: F.concat(F.lit("r"), x["turn"].cast("string"))).alias("found"))
+    return E.zipped(inputs, results, "conv_id", "items", "found").select("conv_id", F.col("at").cast("long").alias("at"), "item", "result")
+
+
+@query("mean_confidence", """
+SELECT user_id, coalesce(string_agg(CASE WHEN event_type <> 'error' THEN event_type END, chr(10) ORDER BY event_id), '') AS text, coalesce(round(avg(value) FILTER (WHERE event_type <> 'error'), 4), 0)::DOUBLE AS confidence
+FROM events GROUP BY 1""")
+def mean_confidence(spark: SparkSession, d: str) -> DataFrame:
+    lines = _events(spark, d).withColumn("t", F.when(F.col("event_type") != "error", F.col("event_type")).otherwise(" "))
+    return E.mean_confidence(lines, "user_id", "t", "value", "event_id")
+
+
+@query("suggestions_or_default", """
+SELECT id, CASE WHEN id % 3 = 0 THEN '' WHEN id % 2 = 0 THEN 'toxic,quality' ELSE 'quality' END AS tags, CASE WHEN id % 3 = 0 THEN 0 ELSE (id % 10) / 10 END::DOUBLE AS confidence FROM questions""", bank=True)
+def suggestions_or_default(spark: SparkSession, d: str) -> DataFrame:
+    q = T.questions(spark, d)
+    tags = F.when(F.col("id") % 2 == 0, F.array(F.lit("toxic"), F.lit("new"), F.lit("quality"))).otherwise(F.array(F.lit("new"), F.lit("quality")))
+    suggested = q.where("id % 3 <> 0").select("id", tags.alias("tag_ids"), (F.col("id") % 10 / 10).alias("confidence"))
+    known = T.question_tags(spark, d).select("tag_id").distinct()
+    return D.suggestions_or_default(q, suggested, known).select("id", F.array_join("tags", ",").alias("tags"), "confidence")
+
+
+@query("migration_report")
+def migration_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many practices' blocks become valid documents, how many don't, and how many pictures got a layout."""
+    block = F.when(F.col("role") == "system", '{"type": "image", "content": "asset://a.png"}').when(F.col("turn") == 5, '{"type"').otherwise(F.concat(F.lit('{"type": "text", "content": '), F.to_json(F.struct(F.substring("text", 1, 60).alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.substring("text", 1, 60).alias("t")))) - 6), F.lit("}")))
+    parts = F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))
+    rows = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: p["b"]), ","), F.lit("]")).alias("blocks"))
+    m = rows.select("conv_id", rich.migrated("blocks").alias("m"))
+    return m.groupBy("m.ok", F.col("m.error").alias("error")).agg(F.count("*").alias("practices"), F.sum("m.images").alias("images"))

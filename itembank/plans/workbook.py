@@ -233,3 +233,31 @@ def broken_links(spark: SparkSession, d: str) -> DataFrame:
 @query("type_label_counts", "SELECT CASE WHEN question_type IS NULL THEN '未知题型' WHEN question_type IN ('single_choice', '选择题') THEN '选择题' WHEN question_type = 'fill_blank' THEN '填空题' WHEN question_type = 'calculation' THEN '计算题' ELSE '论述题' END AS label, count(*) AS n FROM questions WHERE NOT is_deleted GROUP BY 1", bank=True)
 def type_label_counts(spark: SparkSession, d: str) -> DataFrame:
     return T.questions(spark, d).where("NOT is_deleted").groupBy(type_label(F.col("question_type")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("segment_insert", f"""WITH {PRACTICE}, n AS (
+  SELECT practice, label AS segment, position, 0 AS new FROM practice
+  UNION ALL SELECT DISTINCT practice, '选择题', NULL::BIGINT, 1 FROM practice UNION ALL SELECT DISTINCT practice, '附录', NULL, 1 FROM practice),
+s AS (SELECT *, min(position) OVER (PARTITION BY practice, segment) AS start FROM n)
+SELECT practice, segment, position AS old_position, (row_number() OVER (PARTITION BY practice ORDER BY start NULLS LAST, segment, new, position NULLS LAST) - 1)::INT AS position FROM s""")
+def segment_insert(spark: SparkSession, d: str) -> DataFrame:
+    blocks = _practice(spark, d).select("practice", F.col("label").alias("segment"), F.col("position").alias("old_position"))
+    new = blocks.select("practice").distinct().select("practice", F.explode(F.array(F.lit("选择题"), F.lit("附录"))).alias("segment"))
+    return W.inserted(blocks, new.withColumn("old_position", F.lit(None).cast("long")), "practice", "segment", "old_position").select("practice", "segment", "old_position", "position")
+
+
+@query("snapshot_restore", """
+SELECT id AS source_question_id, CASE WHEN id % 4 = 0 THEN 'old' ELSE question_type END AS question_type, difficulty, id % 4 <> 0 AND id % 3 = 0 AS changed FROM questions""", bank=True)
+def snapshot_restore(spark: SparkSession, d: str) -> DataFrame:
+    q = T.questions(spark, d)
+    copies = W.snapshots(q, F.lit("p"), "p").withColumn("source_version", F.when(F.col("source_question_id") % 3 == 0, "old").otherwise(F.col("source_version"))).withColumn("question_type", F.lit("old"))
+    return W.restored(copies, q.where("id % 4 <> 0"), "p").select("source_question_id", "question_type", "difficulty", "changed")
+
+
+@query("page_settings", """
+SELECT o_orderkey AS practice, 'A4' AS size, CASE WHEN o_orderkey % 3 = 0 THEN '3' WHEN o_orderstatus = 'F' THEN '2' ELSE '1' END AS columns,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN '10.5' ELSE '12' END AS font_size FROM orders""")
+def page_settings(spark: SparkSession, d: str) -> DataFrame:
+    config = F.when(F.col("o_orderkey") % 3 == 0, '{"columns": "3", "font_size": null}').when(F.col("o_orderkey") % 3 == 1, "{}")
+    rows = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("practice"), config.alias("page_config"), (F.col("o_orderstatus") == "F").alias("has_layout"))
+    return W.page_settings(rows)
