@@ -13,6 +13,14 @@ UNITS = ["V", "A", "Ω", "W", "J", "N", "Pa", "Hz", "kg", "g", "mg", "m", "cm",
 VARIANTS = {"kg/m3": "kg/m³", "g/cm3": "g/cm³", "m3": "m³", "cm3": "cm³", "m2": "m²", "cm2": "cm²", "m/s2": "m/s²"}
 #: A number and up to eight unit characters after it.
 NUMBER = r"(\d+(?:[.．]\d+)?)\s*([A-Za-z0-9Ω℃³²/%]{0,8})"
+#: Patterns of page footers, picture marks, links, option marks, bare formulas and question starts.
+FOOTERS = (r"第\s*\d+\s*页[（(]共\s*\d+\s*页[）)]", r"第\s*\d+\s*页")
+PICTURE_MARKS = ((r"(?i)\[figure\][^\s\]\[]*", ""), (r"(?i)\[img\][^\s\]\[]*", ""), (r"(?i)\[(图片|图|figure|img)\]", ""), (r"!\[([^\]]*)\]\([^)]+\)", "$1"))
+LINK = r"\[([^\]]+)\]\([^)]+\)"
+OPTION_MARK = r"(?m)(?:^|\s)[A-D]\s*[.．、]"
+BARE_FORMULA = r"\d+[xXyYzZ]\s*[-+=]"
+START = (r"^\s*(?:[（(]多选[）)])?\s*", r"\s*(?:[.．、]|[（(]\s*\d+\s*分)")
+FILE_ENDING = r"(?i)\.(pdf|docx?|pptx?|txt)$"
 
 
 def strip(text: Column) -> Column:
@@ -44,16 +52,16 @@ def snippet(text: Column, n: int = 80) -> Column:
     t = F.coalesce(text, F.lit(""))
     for mark in ("\\(", "\\)", "\\[", "\\]"):
         t = F.replace(t, F.lit(mark), F.lit(""))
-    for pattern, to in ((r"(?i)\[figure\][^\s\]\[]*", ""), (r"(?i)\[img\][^\s\]\[]*", ""), (r"(?i)\[(图片|图|figure|img)\]", ""), (r"!\[([^\]]*)\]\([^)]+\)", "$1")):
+    for pattern, to in PICTURE_MARKS:
         t = F.regexp_replace(t, pattern, to)
     for mark in ("**", "__", "~~"):
         t = F.replace(t, F.lit(mark), F.lit(""))
-    t = F.regexp_replace(t, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    t = F.regexp_replace(t, LINK, "$1")
     return cut(strip(F.regexp_replace(t, r"(?U)\s+", " ")), n)
 
 
 def file_title(name: Column) -> Column:
-    return F.regexp_replace(name, r"(?i)\.(pdf|docx?|pptx?|txt)$", "")
+    return F.regexp_replace(name, FILE_ENDING, "")
 
 
 def mask_key(key: Column) -> Column:
@@ -94,8 +102,9 @@ def unfenced(text: Column) -> Column:
 
 def clean_up(text: Column) -> Column:
     """Known reading errors mended: page footers, runs of empty lines, blanks at line ends, replacement marks, full-width signs."""
-    t = F.regexp_replace(text, r"第\s*\d+\s*页[（(]共\s*\d+\s*页[）)]", "")
-    t = F.regexp_replace(t, r"第\s*\d+\s*页", "")
+    t = text
+    for pattern in FOOTERS:
+        t = F.regexp_replace(t, pattern, "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     t = F.regexp_replace(t, r"(?m)[ \t]+$", "")
     t = F.translate(t, GARBLED + "□﹣＝", "")
@@ -122,8 +131,8 @@ def problems(content: Column, options: Column) -> Column:
         (2, "too_short", F.length(F.trim(body)) < 10),
         (2, "garbled", garbled > 0),
         (2, "empty_options", empty > 0),
-        (2, "unparsed_options", none & (F.regexp_count(body, F.lit(r"(?m)(?:^|\s)[A-D]\s*[.．、]")) >= 2)),
-        (1, "bare_formula", F.regexp_like(body, F.lit(r"\d+[xXyYzZ]\s*[-+=]"))),
+        (2, "unparsed_options", none & (F.regexp_count(body, F.lit(OPTION_MARK)) >= 2)),
+        (1, "bare_formula", F.regexp_like(body, F.lit(BARE_FORMULA))),
         (1, "split_lines", short > F.size(lines) * 0.3),
     ]
     level = F.greatest(*[F.when(hit, rank).otherwise(0) for rank, _, hit in found])
@@ -174,7 +183,7 @@ def native_quality(text: Column, number: Column) -> Column:
     """From 0 to 1: less for replacement marks (0.08 each, 0.45 at most), a wrong start and a short text; 0 for none."""
     body = F.coalesce(text, F.lit(""))
     marks = F.length(body) - F.length(F.translate(body, GARBLED + "□", ""))
-    starts = F.regexp_like(body, F.concat(F.lit(r"^\s*(?:[（(]多选[）)])?\s*"), number.cast("string"), F.lit(r"\s*(?:[.．、]|[（(]\s*\d+\s*分)")))
+    starts = F.regexp_like(body, F.concat(F.lit(START[0]), number.cast("string"), F.lit(START[1])))
     score = 1.0 - F.least(F.lit(0.45), marks * 0.08) - F.when(starts, 0.0).otherwise(0.25) - F.when(F.length(body) < 12, 0.25).otherwise(0.0)
     return F.when(body == "", F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), score), 4))
 
