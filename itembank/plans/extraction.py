@@ -275,8 +275,10 @@ def dml_tag_batch(spark: SparkSession, d: str) -> DataFrame:
 def dml_cascade(spark: SparkSession, d: str) -> DataFrame:
     customers = T.table(spark, d, "customer")
     c, o, li = D.cascade(customers, [(T.table(spark, d, "orders"), "o_custkey", "o_orderkey"), (T.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")], F.col("c_custkey") % 7 == 3, "c_custkey")
-    counts = c.agg(F.count("*").alias("customers")).crossJoin(o.agg(F.count("*").alias("orders_left"))).crossJoin(li.agg(F.count("*").alias("items_left")))
-    return counts.select(F.lit(False).alias("gone"), "customers", "orders_left", "items_left")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    long = count(c, "customers").unionByName(count(o, "orders_left")).unionByName(count(li, "items_left"))
+    wide = long.groupBy(F.lit(False).alias("gone")).pivot("name", ["customers", "orders_left", "items_left"]).agg(F.first("n"))
+    return wide.select("gone", "customers", "orders_left", "items_left")
 
 
 @query("job_transitions", """

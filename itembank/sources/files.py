@@ -70,6 +70,4 @@ def seed_tags(spark: SparkSession, seed: Mapping[str, Mapping[str, Sequence[str]
     parents = nested.select(key("subject", "parent").alias("id"), F.col("parent").alias("name"), "subject", F.lit("chapter").alias("category"), F.lit(None).cast("string").alias("parent_id"))
     children = nested.select("subject", "parent", F.explode("children").alias("name")).select(key("subject", "parent", "name").alias("id"), "name", "subject", F.lit("topic").alias("category"), key("subject", "parent").alias("parent_id"))
     tags = parents.unionByName(children)
-    if existing is None:
-        return tags
-    return tags.join(existing.agg(F.count("*").alias("n")).where("n = 0"), how="left_semi", on=F.lit(True))
+    return tags if existing is None or existing.isEmpty() else tags.limit(0)

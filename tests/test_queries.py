@@ -39,3 +39,16 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_query_has_rows(spark, sf_dir, name):
     assert plans.QUERIES[name](spark, sf_dir).count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+def test_plans_have_no_cross_or_nested_loop_joins(spark, sf_dir, name):
+    plan = plans.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    plan = plans.QUERIES["library_page"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan and "TakeOrderedAndProject" in plan
+    brief = plans.QUERIES["practice_briefs"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<l_orderkey:bigint>" in brief
