@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,29 +21,54 @@ CAPACITY = 4096
 LONG_SHARE, GROUPS = 16, 512
 #: Pieces that one packing task takes, about; the last sequences of each task are its only loss against packing all at once.
 SHARD_ROWS = 24_000
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE_WORDS = 600_000
+#: Entries of a worker's two caches: of encoded words, and of chunks put together from them. Each is emptied when full.
+CACHE_WORDS, CACHE_CHUNKS = 1_000_000, 500_000
 #: Marks that end a word and that the tokenizer always cuts off it.
 TAIL = ".,;:!?%&$*#)(\"]["
 #: A chunk that stands between others when many are encoded in one call.
 _MARK = "\x01"
+#: Words that are normal and whole to the tokenizer but for their case: these go to its model alone.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: How a byte-level vocabulary writes bytes: printable Latin-1 characters as they are, the other bytes in turn from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) if b in _PRINTED else chr(256 + k) for k, b in enumerate([b for b in range(256) if b not in _PRINTED] + _PRINTED)}
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes. Encodes each distinct white-space-free chunk once: the tokenizer drops white space and never joins across it."""
+    """Token ids of texts as little-endian bytes.
+
+    Where the tokenizer drops white space and never joins across it, each distinct chunk between white space is encoded once; a
+    few probes tell. Other tokenizers encode whole texts.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        probes = ("Word", "été", "don't", "x.")
+        self.by_chunks = all(ids(f" {a}\n {b} ") == ids(a) + ids(b) for a in probes for b in probes)
+        self.by_letters = all(ids(a) == [t.id for t in self.model.tokenize(self._spelled(a))] for a in probes[:2])
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
+    @staticmethod
+    def _spelled(word: str) -> str:
+        word = word.lower()
+        return word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode()))
+
     def _encode(self, chunks: list[str]) -> None:
-        """Fills the cache for chunks without white space, many to a call."""
-        alone = [c for c in chunks if _MARK in c or self.mark is None]
-        plain = [c for c in chunks if _MARK not in c] if self.mark is not None else []
+        """Encodes words without white space: letters by the model, others many to a call."""
+        alone, plain = [], []
+        for c in chunks:
+            if self.by_letters and _LETTERS(c):
+                ids = [t.id for t in self.model.tokenize(self._spelled(c))]
+                self.words[c] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                (alone if _MARK in c or self.mark is None else plain).append(c)
         for lo in range(0, len(plain), 2000):
             part = plain[lo : lo + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -51,27 +78,31 @@ class Encoder:
                 continue
             data, at = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
             for chunk, a, b in zip(part, at, at[1:]):
-                self.cache[chunk] = data[4 * a + 4 : 4 * b]
+                self.words[chunk] = data[4 * a + 4 : 4 * b]
         for chunk in alone:
-            self.cache[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.words[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache, split = self.cache, [t.split() for t in texts]
-        new = {c for chunks in split for c in chunks}.difference(cache)
-        parts, need = {}, set()
-        for chunk in new:  # most new chunks are a known word in capitals or with marks at its end
+        if not self.by_chunks:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks.clear()
+        words, chunks, split = self.words, self.chunks, [t.split() for t in texts]
+        found = [list(map(chunks.get, line)) for line in split]
+        new = {c for line, known in zip(split, found) if None in known for c, data in zip(line, known) if data is None}
+        parts: list[tuple[str, str, str]] = []
+        for chunk in new:  # most are a known word in capitals or with marks at its end
             core = chunk.rstrip(TAIL)
-            if chunk.isascii() and core and core[-1].isalpha() and "<" not in chunk:
-                parts[chunk] = (core.lower(), chunk[len(core) :])
-                need.update(p for p in parts[chunk] if p and p not in cache)
+            if core and core[-1].isalpha() and chunk.isascii() and "<" not in chunk:
+                parts.append((chunk, core.lower(), chunk[len(core) :]))
             else:
-                need.add(chunk)
-        self._encode(sorted(need))
-        for chunk, (core, tail) in parts.items():
-            cache[chunk] = cache[core] + (cache[tail] if tail else b"")
-        return [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
+                parts.append((chunk, chunk, ""))
+        self._encode(sorted({p for _, core, tail in parts for p in (core, tail)}.difference(words, ("",))))
+        for chunk, core, tail in parts:
+            chunks[chunk] = words[core] + words[tail] if tail else words[core]
+        return [b"".join(map(chunks.__getitem__, line) if None in known else known) for line, known in zip(split, found)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -193,7 +224,7 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
 
 
 def _packed(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    frame = frame.sort_values(["doc", "piece", "copy"], kind="stable").reset_index(drop=True)
+    frame = frame.sort_values(["known", "doc", "piece", "crc"], kind="stable").reset_index(drop=True)
     sequence = pack(frame["length"].to_numpy(), capacity)
     frame["sequence_id"] = (frame["shard"].to_numpy(dtype=np.int64) << 32) + sequence
     frame["offset"] = frame.groupby("sequence_id")["length"].cumsum() - frame["length"]
@@ -213,9 +244,10 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     pieces = written(token_pieces(docs, tokenizer, id_col, text_col, end_id, capacity), "pack-pieces")
     shards = max(1, -(-pieces.count() // SHARD_ROWS))
     whole = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.lit(-1).cast("long") - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    rest = pieces.where(F.col("length") < capacity).withColumn("copy", F.col("crc")).withColumn("shard", F.pmod(F.xxhash64("doc", "piece", "crc"), F.lit(shards)))
-    rest = rest.groupBy("shard").applyInPandas(lambda frame: _packed(frame, capacity), "doc long, piece int, start long, length long, crc long, copy long, shard long, sequence_id long, offset long")
-    out = rest.drop("copy", "shard").unionByName(whole)
+    rest = pieces.where(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc", "piece", "crc"), F.lit(shards)))
+    rest = rest.withColumn("known", F.col("doc").isNotNull()).withColumn("doc", F.coalesce("doc", F.lit(0)))  # pandas would make longs with nulls doubles
+    rest = rest.groupBy("shard").applyInPandas(lambda frame: _packed(frame, capacity), "doc long, piece int, start long, length long, crc long, shard long, known boolean, sequence_id long, offset long")
+    out = rest.withColumn("doc", F.when(F.col("known"), F.col("doc"))).drop("known", "shard").unionByName(whole)
     return out.select(F.col("doc").alias(id_col), "piece", "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
