@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from itembank.llm import exact_dedup, mixing, near_dedup, packing, toxicity
@@ -34,7 +37,17 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.best_fit_packing(docs, packing.default_tokenizer())
 
 
-STAGES = [("toxicity", reject_toxic), ("exact dedup", drop_exact_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]
+def shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the package sent to the executors first."""
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
+STAGES = [("toxicity", shipped(reject_toxic)), ("exact dedup", shipped(drop_exact_copies)), ("near dedup", shipped(drop_near_copies)), ("mixing", shipped(mix_sources)), ("packing", shipped(pack_sequences))]
 
 #: The tokenizer and the learned toxicity model can't be expressed in SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
@@ -42,7 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents, each written as Parquet and read again."""
-    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
