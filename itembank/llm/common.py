@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,20 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(small_enough(written(ids, "ids"), BROADCAST_IDS), docs[id_col] == F.col("__id"), "left_anti")
 
 
+def releasing(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A task's work that gives freed memory back to the system when it ends: Python workers live on, and executors count all they hold."""
+    @wraps(work)
+    def run(*args: object, **more: object) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(*args, **more)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def by_block(batches: Iterator[pa.RecordBatch], key: str = "block") -> Iterator[pa.Table]:
     """The rows of each value of an integer column, for rows that come sorted by it."""
     held: list[pa.Table] = []

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itembank.llm import words
-from itembank.llm.common import by_block, dealt_in_blocks, small_enough, without, written
+from itembank.llm.common import by_block, dealt_in_blocks, releasing, small_enough, without, written
 from itembank.llm.graph import connected_components
 
 #: At a Jaccard similarity of 0.8, 42 bands of 6 bins miss a pair with probability (1 - 0.8**6)**42 < 3e-6.
@@ -66,6 +66,7 @@ def signatures(sets: np.ndarray, to: np.ndarray) -> np.ndarray:
     return sig
 
 
+@releasing
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, at in words.row_groups(batch.column(1)):
@@ -84,6 +85,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(print_[0]), pa.array(print_[1]), bands], names=["id", "n", "p", "q", "bands"])
 
 
+@releasing
 def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, at in words.row_groups(batch.column(1)):
@@ -91,6 +93,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(at) - 1), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64)))], names=["id", "s"])
 
 
+@releasing
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links that span each block's components, from its full sets.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import written
+from itembank.llm.common import releasing, written
 
 CAPACITY = 4096
 #: Pieces of at least a sixteenth of a sequence are long; they form this many groups of equal cardinality.
@@ -22,7 +22,7 @@ LONG_SHARE, GROUPS = 16, 512
 #: Pieces that one packing task takes, about; the last sequences of each task are its only loss against packing all at once.
 SHARD_ROWS = 24_000
 #: Entries of a worker's two caches: of encoded words, and of chunks put together from them. Each is emptied when full.
-CACHE_WORDS, CACHE_CHUNKS = 1_000_000, 500_000
+CACHE_WORDS, CACHE_CHUNKS = 400_000, 200_000
 #: Marks that end a word and that the tokenizer always cuts off it.
 TAIL = ".,;:!?%&$*#)(\"]["
 #: A chunk that stands between others when many are encoded in one call.
@@ -108,6 +108,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+@releasing
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     encoder = _encoders.setdefault(path, None) or Encoder(path)
     _encoders[path] = encoder

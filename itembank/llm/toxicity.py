@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from itembank.llm import automata
 from itembank.llm.near_dedup import drop_near_copies
-from itembank.llm.common import without, written
+from itembank.llm.common import releasing, without, written
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 FIT_ROWS = 20_000
@@ -59,6 +59,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_c
     return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
 
 
+@releasing
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many toxic and other texts each word and each stem of 4 to 7 letters stands; sums of up to HELD_TERMS terms at a time."""
     count: dict[str, list[int]] = {}
@@ -124,6 +125,7 @@ def _hits(auto: automata.Automaton, texts: list[str]) -> Iterator[tuple[int, np.
         row = stop
 
 
+@releasing
 def _term_edits(batches: Iterator[pa.RecordBatch], auto: automata.Automaton) -> Iterator[pa.RecordBatch]:
     """How often each term stands with each number of edits in toxic and other texts, MOST to a text, and under -1 all words; summed within the task."""
     count: dict[int, list[int]] = defaultdict(lambda: [0, 0])
@@ -160,6 +162,7 @@ def _features(texts: list[str], model: Model) -> np.ndarray:
     return out
 
 
+@releasing
 def _featured(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = _features(batch.column(0).to_pylist(), model)
@@ -208,10 +211,11 @@ def fit(sample: DataFrame) -> Model:
     return model
 
 
+@releasing
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
             x = (_features([t or "" for t in part.column(1).to_pylist()], model) - model.centre) / model.scale
             z = np.clip(model.coef[0] + x @ model.coef[1:], -30, 30)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["id", "score"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text and rows that are worked on at once; longer single texts are hashed window by window.
-GROUP_BYTES, GROUP_ROWS, WINDOW = 4 << 20, 2048, 1 << 20
+GROUP_BYTES, GROUP_ROWS, WINDOW = 2 << 20, 1024, 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 
 
