@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -21,7 +22,7 @@ from itembank.llm.common import small_enough, written
 HELD_HOSTS = 2000
 #: At most so many hosts' rules are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: A slot whose text is the same on so many pages, and on half of the host's, is a notice rather than text, unless this share of the text would go.
+#: A container whose text is the same on so many pages, and on half of the host's, is a notice rather than text, unless this share of the text would go.
 SAME_PAGES, SAME_SHARE = 5, 0.2
 #: Share of the text that a container must hold for the search to go down into it; share of link text from which a slot is a menu.
 DOWN, LINKS = 0.7, 0.6
@@ -36,6 +37,8 @@ SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"
 DROP_TAGS = set("head title nav footer aside form menu dialog button fieldset".split())
 DROP_WORDS = set("nav navbar navigation menu menubar sidebar aside footer masthead banner ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations comment comments reply replies respond disqus breadcrumb breadcrumbs pagination pager search toolbar widget copyright legal disclaimer hidden skip".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Parts of running text: a constant one is text of the article, not a notice.
+PROSE = set("p h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th thead tbody tfoot caption figcaption pre blockquote summary".split())
 TEXT_WORDS = set("article content post entry story main body text maincontent articlebody postbody".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S | re.I)
@@ -122,6 +125,8 @@ def parse(page: str) -> Node:
         node = Node(tag, *_kind(tag, m[4] or m[7] or ""))
         if node.drop and tag in ("html", "body", "article", "main"):  # a theme's class on the whole page doesn't drop it
             node.drop = bool({"comment", "comments", "reply"} & set(WORDS.findall(node.key))) and tag == "article"
+        if node.drop:  # a key of its own: roles and hidden aren't in the key, and neither is the end of a long name
+            node.key += "!"
         stack[-1].items.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -191,6 +196,11 @@ def _folded(items: list[dict[str, Any]], pages: bool = False) -> list[dict[str,
     return out
 
 
+def _shown(text: str) -> str:
+    """A slot's text as wrappers hold it."""
+    return text if len(text) < 300 else text[:280] + str(zlib.crc32(text.encode()))
+
+
 def wrapper_of(node: Node) -> dict[str, Any]:
     """The wrapper that one page alone gives."""
     items: list[dict[str, Any]] = []
@@ -199,7 +209,7 @@ def wrapper_of(node: Node) -> dict[str, Any]:
     def close() -> None:
         text = " ".join("".join(texts).split())
         if text:
-            items.append({"k": "#", "n": 1, "c": len(text), "l": 0, "t": text if len(text) < 300 else text[:280] + str(zlib.crc32(text.encode())), "d": False, "m": False, "o": False, "r": False, "i": []})
+            items.append({"k": "#", "n": 1, "c": len(text), "l": 0, "t": _shown(text), "d": False, "m": False, "o": False, "r": False, "i": []})
         texts.clear()
 
     for x in node.items:
@@ -231,8 +241,50 @@ def _mass(w: dict[str, Any]) -> tuple[int, int]:
     return c, links
 
 
+def _digest(texts: list[str]) -> str:
+    return hashlib.blake2b("\n".join(texts).encode(), digest_size=8).hexdigest()
+
+
+def _constant(w: dict[str, Any]) -> list[str] | None:
+    """The element's texts in order where they are the same on all pages that have it."""
+    out: list[str] = []
+    for x in w["i"]:
+        if x["k"] == "#":
+            if x["t"] is None or x["o"]:
+                return None
+            out.append(x["t"])
+        elif not x["d"] and _mass(x)[0]:
+            inner = None if x["o"] or x["r"] else _constant(x)
+            if inner is None:
+                return None
+            out += inner
+    return out
+
+
+def _texts_of(node: Node) -> list[str]:
+    """The same of an element of a page."""
+    out: list[str] = []
+    texts: list[str] = []
+
+    def close() -> None:
+        if text := " ".join("".join(texts).split()):
+            out.append(_shown(text))
+        texts.clear()
+
+    for x in node.items:
+        if isinstance(x, str):
+            texts.append(x)
+        else:
+            close()
+            if not x.drop:
+                out.extend(_texts_of(x))
+    close()
+    return out
+
+
 def rules_of(w: dict[str, Any]) -> dict[str, Any]:
-    """root: the path of the main text; drop: paths below it that are boilerplate."""
+    """root: the path of the main text; below it, menus and headers: paths of which those elements go that are menus, or headers
+    without a title, themselves; same: paths and digests of the notices' texts. Siblings share paths, so no path alone drops anything."""
     total = max(1, _mass(w)[0])
     named: list[tuple[int, int, int, tuple[str, ...]]] = []
 
@@ -251,40 +303,79 @@ def rules_of(w: dict[str, Any]) -> dict[str, Any]:
     node, root = w, ()
     if named:
         root = min(named)[3]
-        for key in root:
-            node = next(x for p, x in _inner(node) if p[-1] == key and not x["d"])
     else:
         while True:
             inside = [(_mass(x)[0], p, x) for p, x in _inner(node, root) if not x["d"] and x["k"] != "#"]
             if not inside or max(m for m, _, _ in inside) < DOWN * max(1, _mass(node)[0]) or max(inside, key=lambda v: v[0])[2]["k"].split(".")[0] in ("p", "li", "pre", "td"):
                 break
             _, root, node = max(inside, key=lambda v: v[0])
-    pages, drop, same, same_mass = max(1, w["n"]), [], [], 0
+    nodes = [w]
+    for key in root:
+        nodes = [x for n in nodes for p, x in _inner(n) if p[-1] == key]
+    pages, menus, headers, same, same_mass = max(1, w["n"]), [], [], [], 0
 
     def below(n: dict[str, Any], path: tuple[str, ...]) -> None:
         nonlocal same_mass
         for p, x in _inner(n, path):
-            if x["k"] == "#":
+            if x["k"] == "#" or x["d"]:
                 continue
             mass, links = _mass(x)
-            slots = [y for _, y in _inner(x)]
-            if x["d"] or x["k"].split(".")[0] == "header" and not any(y["k"].startswith("h1") for y in slots):
-                drop.append(p)
-            elif mass and links > LINKS * mass and x["r"] is False and x["k"].split(".")[0] in ("ul", "ol", "div", "section", "table"):
-                drop.append(p)
-            elif slots and all(y["k"] == "#" and y["t"] is not None for y in slots) and x["n"] >= SAME_PAGES and 2 * x["n"] >= pages and not x["r"]:
-                same.append(p)
+            tag = x["k"].split(".")[0]
+            if tag == "header" and not any(y["k"].startswith("h1") for _, y in _inner(x)):
+                headers.append(p)
+            elif mass and links > LINKS * mass and x["r"] is False and tag in ("ul", "ol", "div", "section", "table"):
+                menus.append(p)
+            elif tag not in PROSE and x["n"] >= SAME_PAGES and 2 * x["n"] >= pages and not x["r"] and (texts := _constant(x)):
+                same.append((p, _digest(texts)))
                 same_mass += mass
             else:
                 below(x, p)
 
-    below(node, root)
-    if same_mass <= SAME_SHARE * max(1, _mass(node)[0]):
-        drop += same
-    return {"root": list(root), "drop": [list(p) for p in drop]}
+    for n in nodes:
+        below(n, root)
+    if same_mass > SAME_SHARE * max(1, sum(_mass(n)[0] for n in nodes)):
+        same = []
+    return {"root": list(root), "menus": [list(p) for p in menus], "headers": [list(p) for p in headers], "same": [[list(p), d] for p, d in same]}
+
+
+def _chars(node: Node) -> tuple[int, int]:
+    """Characters of text and of link text of an element of a page, as _mass counts them."""
+    c, links = 0, node.links
+    texts: list[str] = []
+    for x in [*node.items, None]:
+        if isinstance(x, str):
+            texts.append(x)
+            continue
+        c += len(" ".join("".join(texts).split()))
+        texts.clear()
+        if x is not None and not x.drop:
+            a, b = _chars(x)
+            c, links = c + a, links + b
+    return c, links
+
+
+def _told(rule: dict[str, Any]) -> dict[tuple[str, ...], tuple[bool, bool, set[str]]]:
+    """For each path that a rule has: whether menus go there, headers without a title, and notices of which digests."""
+    out: dict[tuple[str, ...], tuple[bool, bool, set[str]]] = {}
+    menus, headers = {tuple(p) for p in rule["menus"]}, {tuple(p) for p in rule["headers"]}
+    for p in menus | headers | {tuple(p) for p, _ in rule["same"]}:
+        out[p] = p in menus, p in headers, {d for q, d in rule["same"] if tuple(q) == p}
+    return out
+
+
+def _goes(node: Node, told: tuple[bool, bool, set[str]]) -> bool:
+    """Whether an element at a path that has rules is itself what they drop."""
+    menus, headers, same = told
+    if headers and not any(not isinstance(x, str) and x.tag == "h1" for x in node.items):
+        return True
+    if menus:
+        c, links = _chars(node)
+        if links > LINKS * c:
+            return True
+    return bool(same) and _digest(_texts_of(node)) in same
 
 
-def _blocks(node: Node, path: tuple[str, ...], drop: set[tuple[str, ...]], out: list[str]) -> None:
+def _blocks(node: Node, path: tuple[str, ...], drop: dict[tuple[str, ...], tuple[bool, bool, set[str]]], out: list[str]) -> None:
     texts: list[str] = []
 
     def close() -> None:
@@ -298,7 +389,7 @@ def _blocks(node: Node, path: tuple[str, ...], drop: set[tuple[str, ...]], out:
         else:
             close()
             p = (*path, x.key)
-            if not x.drop and p not in drop:
+            if not x.drop and not (p in drop and _goes(x, drop[p])):
                 _blocks(x, p, drop, out)
     close()
 
@@ -318,7 +409,7 @@ def main_text(page: str, rules: dict[str, Any] | None) -> str:
         if rule is None:
             rule = rules_of(wrapper_of(tree))
         out: list[str] = []
-        drop = {tuple(p) for p in rule["drop"]}
+        drop = _told(rule)
         for node in _at(tree, rule["root"]):
             _blocks(node, tuple(rule["root"]), drop, out)
         if out:
@@ -374,7 +465,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     The pages of a host are aligned token stream by token stream into one union-free regular expression: what all have stays, what
     some lack becomes optional, runs become repeated groups, texts become slots. On it the main text's path and the boilerplate
-    below it are found by names, share of links and slots that never change. Pages are read twice and never shuffled, unless
+    below it are found by names, share of links and containers whose text never changes; of elements that share a path only those go
+    that are menus or notices themselves. Pages are read twice and never shuffled, unless
     there are more hosts than BROADCAST_ROWS.
 
     Blocks are joined by one line feed; inside a block, white space is one space and character references are decoded.

@@ -58,3 +58,25 @@ def test_same_text_on_every_page_is_a_notice():
         w = H.wrapper_of(H.parse(f"<main><div class=x><p>Same words here</p></div><p>{'own ' * 30}{i}</p></main>"))
         rules = H._merge_into(rules, w) if rules else w
     assert H.main_text("<main><div class=x><p>Same words here</p></div><p>mine</p></main>", H.rules_of(rules)) == "mine"
+
+
+def merged(pages):
+    rules = None
+    for page in pages:
+        w = H.wrapper_of(H.parse(page))
+        rules = H._merge_into(rules, w) if rules else w
+    return H.rules_of(rules)
+
+
+def test_one_constant_or_linked_element_leaves_its_siblings():
+    own = lambda i: "".join(f"<p>{'own ' * 30}{i} {k}</p>" for k in range(3))
+    thanks = [f"<article><h1>t{i}</h1>{own(i)}<h2>End</h2><p>Thanks for reading</p></article>" for i in range(8)]
+    assert H.main_text(thanks[2], merged(thanks)).split("\n") == ["t2", *[f"{'own ' * 30}2 {k}" for k in range(3)], "End", "Thanks for reading"]
+    lists = [f"<article>{own(i)}<ul><li>real {i}<li>list {'word ' * 8}</ul><h2>More</h2><ul><li><a href=x>Link {i}</a><li><a href=y>Link two</a></ul></article>" for i in range(8)]
+    assert H.main_text(lists[3], merged(lists)).split("\n")[3:] == ["real 3", "list" + " word" * 8, "More"]
+    divs = [f"<article><div>{'own ' * 30}{i}</div><hr><div>All rights reserved</div></article>" for i in range(8)]
+    assert H.main_text(divs[1], merged(divs)) == ("own " * 30) + "1"
+    heads = [f"<main><header>Site {i}</header><p>{'own ' * 30}</p><header><h1>Title {i}</h1></header></main>" for i in range(8)]
+    assert H.main_text(heads[4], merged(heads)).split("\n")[1:] == ["Title 4"]
+    hidden = [f"<main><div hidden>secret {i}</div><p>{'own ' * 30}</p><div>text {i} {'more ' * 9}</div></main>" for i in range(8)]
+    assert H.main_text(hidden[5], merged(hidden)).split("\n")[1:] == ["text 5" + " more" * 9]
