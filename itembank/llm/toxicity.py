@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,16 +15,18 @@ from pyspark.sql import functions as F
 
 from itembank.llm import automata
 from itembank.llm.near_dedup import drop_near_copies
-from itembank.llm.common import releasing, without, written
+from itembank.llm.common import WORD, releasing, without, written
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 FIT_ROWS = 20_000
-#: A term stands in at least this share of the toxic rows, at least in so many, and is likelier there: its log odds less two standard errors reach so much.
-SUPPORT, SUPPORT_ROWS, LOG_ODDS = 0.01, 4, 1.3
-#: The lexicon's size; the terms that mark most toxic rows come first.
-TERMS = 150
-#: Rows whose sets of words are this similar count as one when terms are learned: else a toxic text with many copies makes all its words terms.
-COPY_PERCENT = 60
+#: A term stands in at least so many toxic rows, whatever their number, and is likelier there: its log odds less two standard errors reach so much.
+SUPPORT_ROWS, LOG_ODDS = 4, 1.3
+#: Terms to an automaton; a larger lexicon has more of them.
+SLICE = 150
+#: A finding's code: this times the edits, plus the term.
+STRIDE = 1 << 24
+#: Rows of one label whose sets of so many words in turn are this similar count as one when terms are learned: else a toxic text with many copies makes all its words terms.
+COPY_WORDS, COPY_PERCENT = 2, 60
 #: A document's evidence from one term grows with its findings up to MOST of them.
 MOST = 4
 #: Words before and after a term that tell quotation from abuse, and what they do to its evidence.
@@ -34,6 +37,7 @@ ADDRESS = {"you", "your", "youre", "yours", "du", "dein", "dich", "ihr", "tu", "
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
 _TERM = re.compile(r"[^\W\d_]{3,24}")
 GROUP_CHARS = 1 << 20
+NONE = 1 << 30
 #: Terms that a task counts before it hands the counts on.
 HELD_TERMS = 60_000
 
@@ -41,7 +45,7 @@ HELD_TERMS = 60_000
 @dataclass
 class Model:
     terms: list[str]
-    auto: automata.Automaton | None
+    autos: list[automata.Automaton]  # of SLICE terms each, in order
     weight: np.ndarray  # term x edits
     coef: np.ndarray  # bias first
     centre: np.ndarray
@@ -79,18 +83,38 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_terms(support: dict[str, int]) -> list[str]:
-    """A word for each stem that is nearly always that word, else the longest stem that stands as often; nothing twice."""
-    left, chosen = dict(support), []
+    """A word for each stem that is nearly always that word, else the longest stem that stands as often; nothing twice, and no term that these don't find is left out."""
+    names, chosen = sorted(support), []
+    left = dict(support)
     for stem in sorted((s for s in support if s.endswith("*")), key=lambda s: (len(s), s)):
         if stem not in left:
             continue
         root = stem[:-1]
-        near = [s for s in left if s.startswith(root) and left[s] >= 0.85 * support[stem]]
+        under = [s for s in names[bisect_left(names, root) : bisect_left(names, root + chr(0x10FFFF))] if s in left]
+        near = [s for s in under if left[s] >= 0.85 * support[stem]]
         words = [s for s in near if not s.endswith("*")]
-        chosen.append(max(words, key=lambda s: (left[s], s)) if words else max(near, key=lambda s: (len(s), s)))
-        left = {s: n for s, n in left.items() if not s.startswith(root)}
+        term = max(words, key=lambda s: (left[s], s)) if words else max(near, key=lambda s: (len(s), s))
+        chosen.append(term)
+        for s in under:  # what the term finds, and stems that stand for it; other words of the stem stay
+            if s == term or s.endswith("*") and term.startswith(s[:-1]) or term.endswith("*") and s.startswith(term[:-1]):
+                del left[s]
     chosen += [s for s in left if not s.endswith("*")]
-    return sorted(sorted(chosen, key=lambda s: (-support[s], s))[:TERMS])
+    return sorted(chosen)
+
+
+def build(terms: list[str]) -> list[automata.Automaton]:
+    """One automaton for each SLICE terms: the states of a single one grow faster than its terms."""
+    return [automata.build(terms[lo : lo + SLICE]) for lo in range(0, len(terms), SLICE)]
+
+
+def find(autos: list[automata.Automaton], text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As automata.find, over all slices: STRIDE * edits + term, the fewest edits first, or NONE. What is a word doesn't depend on the terms."""
+    starts, ends, best = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
+    for k, auto in enumerate(autos):
+        starts, ends, found = automata.find(auto, text)
+        code = np.where(found < automata.NONE, found // 1000 * STRIDE + found % 1000 + k * SLICE, NONE)
+        best = np.minimum(best, code) if k else code
+    return starts, ends, best
 
 
 def context_factor(before: str, after: str) -> float:
@@ -102,7 +126,7 @@ def context_factor(before: str, after: str) -> float:
     return (QUOTED if quoted else 1.0) * (MENTIONED if mentioned else 1.0) * (ADDRESSED if near & ADDRESS and not (quoted or mentioned) else 1.0)
 
 
-def _hits(auto: automata.Automaton, texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, float]]]]:
+def _hits(autos: list[automata.Automaton], texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, float]]]]:
     """First row, words per text, and (row, code, factor) of each found term, for groups of whole texts."""
     row = 0
     while row < len(texts):
@@ -112,10 +136,10 @@ def _hits(auto: automata.Automaton, texts: list[str]) -> Iterator[tuple[int, np.
             stop += 1
         first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[row:stop]])))
         joined = "\n".join(texts[row:stop])
-        starts, ends, best = automata.find(auto, joined)
+        starts, ends, best = find(autos, joined)
         text = np.searchsorted(first, starts, "right") - 1
         found = []
-        for w in np.flatnonzero(best < automata.NONE).tolist():
+        for w in np.flatnonzero(best < NONE).tolist():
             t = int(text[w])
             lo, hi = max(0, w - WINDOW), min(len(starts) - 1, w + WINDOW)
             a, b = max(int(starts[lo]), int(first[t])), min(int(ends[hi]), int(first[t + 1]) - 1)
@@ -126,12 +150,12 @@ def _hits(auto: automata.Automaton, texts: list[str]) -> Iterator[tuple[int, np.
 
 
 @releasing
-def _term_edits(batches: Iterator[pa.RecordBatch], auto: automata.Automaton) -> Iterator[pa.RecordBatch]:
+def _term_edits(batches: Iterator[pa.RecordBatch], autos: list[automata.Automaton]) -> Iterator[pa.RecordBatch]:
     """How often each term stands with each number of edits in toxic and other texts, MOST to a text, and under -1 all words; summed within the task."""
     count: dict[int, list[int]] = defaultdict(lambda: [0, 0])
     for batch in batches:
         y = batch.column(1).to_pylist()
-        for row, words, found in _hits(auto, batch.column(0).to_pylist()):
+        for row, words, found in _hits(autos, batch.column(0).to_pylist()):
             for (t, code), n in Counter((t, code) for t, code, _ in found).items():
                 count[code][1 - y[row + t]] += min(n, MOST)
             for t, n in enumerate(words.tolist()):
@@ -142,13 +166,13 @@ def _term_edits(batches: Iterator[pa.RecordBatch], auto: automata.Automaton) ->
 def _features(texts: list[str], model: Model) -> np.ndarray:
     """Per text: its evidence summed over terms (the MOST strongest of each), the strongest finding, the number of hits, and hits by words."""
     out = np.zeros((len(texts), 4))
-    if model.auto is None:
+    if not model.autos:
         return out
-    for row, words, found in _hits(model.auto, texts):
+    for row, words, found in _hits(model.autos, texts):
         each: dict[tuple[int, int], list[float]] = defaultdict(list)
         hits = np.zeros(len(words))
         for t, code, factor in found:
-            edits, term = divmod(code, 1000)
+            edits, term = divmod(code, STRIDE)
             if (e := model.weight[term, edits] * factor) > 0.3:
                 hits[t] += 1
                 each[t, term].append(e)
@@ -184,23 +208,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 
 
 def fit(sample: DataFrame) -> Model:
-    """Learns from id, text, y: a bounded sample. The driver sees counts of terms, of which SUPPORT bounds the number, and four numbers a row."""
+    """Learns from id, text, y: a bounded sample. The driver sees the terms that pass the test, which FIT_ROWS bounds, and four numbers a row."""
     sample = written(sample.select("id", "text", "y"), "toxic-labelled")
-    sample = written(drop_near_copies(sample, "id", "text", 1, COPY_PERCENT).select("text", "y"), "toxic-sample")
+    # Words marked with the label: texts of different labels share none.
+    marked = sample.withColumn("marked", F.regexp_replace("text", F.lit(f"({WORD})"), F.concat(F.col("y").cast("string"), F.lit("$1"))))
+    sample = written(drop_near_copies(marked, "id", "marked", COPY_WORDS, COPY_PERCENT).select("text", "y"), "toxic-sample")
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     counts = sample.mapInArrow(_term_counts, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     odds -= 2 * F.sqrt(1 / F.col("t") + 1 / (F.col("c") + 0.5))
-    support = {r["term"]: r["t"] for r in counts.where((F.col("t") >= max(SUPPORT_ROWS, SUPPORT * toxic)) & (odds >= LOG_ODDS)).select("term", "t").collect()}
+    support = {r["term"]: r["t"] for r in counts.where((F.col("t") >= SUPPORT_ROWS) & (odds >= LOG_ODDS)).select("term", "t").collect()}
     terms = choose_terms(support)
-    model = Model(terms, automata.build(terms) if terms else None, np.zeros((len(terms), 3)), np.zeros(5), np.zeros(4), np.ones(4))
+    model = Model(terms, build(terms), np.zeros((len(terms), 3)), np.zeros(5), np.zeros(4), np.ones(4))
     if terms:
-        auto = model.auto
+        autos = model.autos
         seen = {(e, t): (0, 0) for t, term in enumerate(terms) for e in range(automata.edits_allowed(term.rstrip("*")) + 1)}
-        counted = {r["code"]: (r["t"], r["c"]) for r in sample.mapInArrow(lambda it: _term_edits(it, auto), "code long, t long, c long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()}
+        counted = {r["code"]: (r["t"], r["c"]) for r in sample.mapInArrow(lambda it: _term_edits(it, autos), "code long, t long, c long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()}
         many = counted.pop(-1, (0, 0))
-        seen |= {divmod(code, 1000): n for code, n in counted.items()}
+        seen |= {divmod(code, STRIDE): n for code, n in counted.items()}
         for (e, t), (a, b) in seen.items():  # unseen misspellings keep some evidence, those of clean texts none
             model.weight[t, e] = np.clip(np.log((a + 1) / (many[0] + 1)) - np.log((b + 0.25) / (many[1] + 1)), 0, 6)
     rows = sample.mapInArrow(lambda it: _featured(it, model), "a double, b double, c double, d double, y long").toPandas().to_numpy()
