@@ -198,8 +198,7 @@ def strip_options(spark: SparkSession, d: str) -> DataFrame:
 
 @query("math_segments")
 def math_segments(spark: SparkSession, d: str) -> DataFrame:
-    docs = T.table(spark, d, "documents").where(F.contains("text", F.lit("$")))
-    made = docs.select(F.col("doc_id").alias("id"), rich.to_document("text", F.lit(None).cast("string"), F.lit("essay")).alias("m"))
+    made = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), rich.to_document("text", F.lit(None).cast("string"), F.lit("essay")).alias("m"))
     count = lambda kind: F.size(F.regexp_extract_all("m.doc", F.lit(f'("type": "{kind}")'), F.lit(1)))
     return made.select("id", count("inlineFormula").alias("inline"), count("displayFormula").alias("display"), F.size("m.warnings").alias("warnings"))
 
@@ -347,7 +346,8 @@ def suggestions_or_default(spark: SparkSession, d: str) -> DataFrame:
 @query("migration_report")
 def migration_report(spark: SparkSession, d: str) -> DataFrame:
     """How many practices' blocks become valid documents, how many don't, and how many pictures got a layout."""
-    block = F.when(F.col("role") == "system", '{"type": "image", "content": "asset://a.png"}').when(F.col("turn") == 5, '{"type"').otherwise(F.concat(F.lit('{"type": "text", "content": '), F.to_json(F.struct(F.substring("text", 1, 60).alias("t"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.substring("text", 1, 60).alias("t")))) - 6), F.lit("}")))
+    said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
+    block = F.when(F.col("role") == "system", '{"type": "image", "content": "asset://a.png"}').when(F.col("turn") == 5, '{"type"').otherwise(F.concat(F.lit('{"type": "text", "content": '), said.substr(F.lit(6), F.length(said) - 6), F.lit("}")))
     parts = F.array_sort(F.collect_list(F.struct("turn", block.alias("b"))))
     rows = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(F.transform(parts, lambda p: p["b"]), ","), F.lit("]")).alias("blocks"))
     m = rows.select("conv_id", rich.migrated("blocks").alias("m"))
