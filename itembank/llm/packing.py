@@ -25,6 +25,8 @@ SHARD_ROWS = 24_000
 CACHE_WORDS, CACHE_CHUNKS = 400_000, 200_000
 #: Marks that end a word and that the tokenizer always cuts off it.
 TAIL = ".,;:!?%&$*#)(\"]["
+#: Fixed value: Unicode's white space without the separators U+001C to U+001F, which str.split() takes for white space and tokenizers don't.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A chunk that stands between others when many are encoded in one call.
 _MARK = "\x01"
 #: Words that are normal and whole to the tokenizer but for their case: these go to its model alone.
@@ -38,7 +40,9 @@ class Encoder:
     """Token ids of texts as little-endian bytes.
 
     Where the tokenizer drops white space and never joins across it, each distinct chunk between white space is encoded once; a
-    few probes tell. Other tokenizers encode whole texts.
+    few probes tell, for each white-space character by itself: texts are split only where the tokenizer is shown to drop it. Capitals
+    and marks at the end are taken off a chunk only where the normalizer lower-cases and the tokenizer cuts each of these marks off.
+    Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,7 +55,14 @@ class Encoder:
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         probes = ("Word", "été", "don't", "x.")
         self.by_chunks = all(ids(f" {a}\n {b} ") == ids(a) + ids(b) for a in probes for b in probes)
-        self.by_letters = all(ids(a) == [t.id for t in self.model.tokenize(self._spelled(a))] for a in probes[:2])
+        dropped = [c for c in SPACES if all(ids(f"{a}{c}{b}") == ids(a) + ids(b) and ids(f"{c}{a}{c}") == ids(a) for a in probes for b in probes)]
+        self.by_chunks = self.by_chunks and " " in dropped
+        self.chunked = re.compile(f"[^{re.escape(''.join(dropped))}]+" if dropped else ".+", re.S).findall
+        lower = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else lambda t: t
+        self.lowers = all(lower(c) == c.lower() for c in map(chr, range(0x21, 0x7F)))
+        tails = [*TAIL, *(m + n for m in TAIL for n in TAIL)]
+        self.cuts_tails = all(ids(a + t) == ids(a) + ids(t) for a in ("word", "x") for t in tails)
+        self.by_letters = self.lowers and all(lower(c) == c.lower() for c in map(chr, range(0xC0, 0x100)) if _LETTERS(c)) and all(ids(a) == [t.id for t in self.model.tokenize(self._spelled(a))] for a in probes[:2])
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -89,13 +100,13 @@ class Encoder:
             self.words.clear()
         if len(self.chunks) > CACHE_CHUNKS:
             self.chunks.clear()
-        words, chunks, split = self.words, self.chunks, [t.split() for t in texts]
+        words, chunks, split = self.words, self.chunks, [self.chunked(t) for t in texts]
         found = [list(map(chunks.get, line)) for line in split]
         new = {c for line, known in zip(split, found) if None in known for c, data in zip(line, known) if data is None}
         parts: list[tuple[str, str, str]] = []
         for chunk in new:  # most are a known word in capitals or with marks at its end
             core = chunk.rstrip(TAIL)
-            if core and core[-1].isalpha() and chunk.isascii() and "<" not in chunk:
+            if self.lowers and self.cuts_tails and core and core[-1].isalpha() and chunk.isascii() and "<" not in chunk:
                 parts.append((chunk, core.lower(), chunk[len(core) :]))
             else:
                 parts.append((chunk, chunk, ""))

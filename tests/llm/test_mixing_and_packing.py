@@ -121,3 +121,21 @@ def test_pack_of_halves_and_of_nothing():
     assert len(set(packing.pack(np.full(100, 2049)))) == 100
     assert len(set(packing.pack(np.full(100, 2048)))) == 50
     assert len(packing.pack(np.zeros(0, dtype=np.int64))) == 0
+
+
+def test_chunks_end_where_the_tokenizer_drops_white_space():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    texts = [f"{a}{chr(c)}{b}" for c in [*range(1, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF] for a, b in (("a", "b"), ("Word.", "été"), ("x ", " Y!"), ("", "b"))]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encoder.by_chunks and encoder.by_letters and encoder.lowers and encoder.cuts_tails
+    assert encoder.encode(texts) == want
+
+
+def test_a_cased_vocabulary_keeps_its_capitals(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.WordLevel({"?": 0, "tree": 1, "TREE": 2, ".": 3}, unk_token="?"))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    made.save(str(tmp_path / "cased.json"))
+    encoder = packing.Encoder(str(tmp_path / "cased.json"))
+    assert encoder.encode(["TREE. tree."]) == [np.array([2, 3, 1, 3], dtype="<u4").tobytes()]
