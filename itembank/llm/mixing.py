@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epo
     return s.select("source", "source_size", "rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, boundary: str = "cut") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3, boundary: str = "cut", row_col: str | None = None) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, epochs, part, taken.
 
     A source gives its complete epochs first (every document once for each), then documents in the order of their
@@ -68,10 +68,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Nulls: null texts have size 0; null sources are one source, last in order; a null id has the key of the empty text. Ties of
     keys are broken by id, then size; rows that are equal in all three are interchangeable. Repeated rows count each.
+    row_col: a column that names each row; it is handed on, and ties are then broken by the text's hash and by it.
     Documents of size 0 take nothing. Empty table: no rows. Other columns are not read.
     """
     text = F.col(text_col)
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), quality_weight(text).alias("weight"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), quality_weight(text).alias("weight"), *([F.xxhash64(text).alias("__hash"), F.col(row_col).alias("__row")] if row_col else []))
     sized = written(sized.withColumn("key", exponential_key(F.col("id"), F.col("weight"))).drop("weight"), "mix-sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = source_targets(sources, weights, max_epochs)
@@ -88,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edge = written(sums.where("before < rest AND before + words >= rest").select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), F.col("before").alias("e_before")), "mix-edge")
     rows = rows.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
 
-    order = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("key", "id", "size", *(["__hash", "__row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
     inside = rows.where("bucket = e_bucket").withColumn("part", F.col("rest") - F.col("e_before") - F.coalesce(F.sum("size").over(order), F.lit(0)))
     if boundary == "cut":
         inside = inside.withColumn("part", F.greatest(F.lit(0), F.least("size", "part")))
@@ -96,19 +97,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         inside = inside.withColumn("part", F.when(F.col("part") * 2 >= F.col("size"), F.col("size")).otherwise(0))
     outside = rows.where("e_bucket IS NULL OR bucket != e_bucket").withColumn("part", F.when(F.col("bucket") < F.col("e_bucket"), F.col("size")).otherwise(0))
     out = inside.unionByName(outside).withColumn("part", F.col("part").cast("long"))
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *([F.col("__row").alias(row_col)] if row_col else []))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """docs as the mix takes them, with all their columns: a row for each whole time that a document is taken; those never taken go.
 
-    Documents without words are kept once if their source is taken at all; they change no sum.
+    Documents without words are kept once if their source is taken at all; they change no sum. Each row counts for itself, by a
+    key that is written with it: rows without id, and rows that share one, don't share their times.
     """
-    plan = mix(docs, id_col, text_col, source_col, weights, max_epochs, boundary="whole")
+    columns = docs.columns
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(docs, id_col, text_col, source_col, weights, max_epochs, boundary="whole", row_col="__row")
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("part") > 0).cast("long"))
-    times = written(plan.select(F.col(id_col).alias("__id"), times.alias("__times")).dropDuplicates(["__id"]).where("__times > 0"), "mix-times")
-    taken = docs.join(small_enough(times, BROADCAST_IDS), docs[id_col].eqNullSafe(F.col("__id")))
-    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = written(plan.select("__row", times.alias("__times")).where("__times > 0"), "mix-times")
+    taken = docs.join(small_enough(times, BROADCAST_IDS), "__row")
+    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

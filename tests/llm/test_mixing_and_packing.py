@@ -123,6 +123,19 @@ def test_pack_of_halves_and_of_nothing():
     assert len(packing.pack(np.zeros(0, dtype=np.int64))) == 0
 
 
+def test_rows_without_id_or_with_one_id_are_mixed_each(spark, documents):
+    rows = [(None if i % 2 else 7, "w " * (1 + i % 9) + f"t{i}", f"s{i % 3}") for i in range(300)]
+    docs = documents(rows)
+    out = mixing.mixed_documents(docs).collect()
+    target = {r["source"]: r["target"] for r in mixed(docs)}
+    took, times = defaultdict(int), defaultdict(int)
+    for r in out:
+        took[r["source"]] += len(r["text"].split())
+        times[r["text"]] += 1
+    assert all(abs(took[s] - target[s]) <= 10 for s in target)
+    assert max(times.values()) <= 3 and sorted(r["text"] for r in mixing.mixed_documents(documents(rows[::-1])).collect()) == sorted(r["text"] for r in out)
+
+
 def test_chunks_end_where_the_tokenizer_drops_white_space():
     encoder = packing.Encoder(packing.default_tokenizer())
     texts = [f"{a}{chr(c)}{b}" for c in [*range(1, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF] for a, b in (("a", "b"), ("Word.", "été"), ("x ", " Y!"), ("", "b"))]
