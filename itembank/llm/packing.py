@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itembank.llm import words
 from itembank.llm.common import releasing, written
 
 CAPACITY = 4096
@@ -21,8 +22,8 @@ CAPACITY = 4096
 LONG_SHARE, GROUPS = 16, 512
 #: Pieces that one packing task takes, about; the last sequences of each task are its only loss against packing all at once.
 SHARD_ROWS = 24_000
-#: Entries of a worker's two caches: of encoded words, and of chunks put together from them. Each is emptied when full.
-CACHE_WORDS, CACHE_CHUNKS = 400_000, 200_000
+#: Distinct words that a worker remembers the ids of; the memory is emptied when full. Longer ones (bytes) are encoded each time.
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 256
 #: Marks that end a word and that the tokenizer always cuts off it.
 TAIL = ".,;:!?%&$*#)(\"]["
 #: Fixed value: Unicode's white space without the separators U+001C to U+001F, which str.split() takes for white space and tokenizers don't.
@@ -36,106 +37,194 @@ _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) if b in _PRINTED else chr(256 + k) for k, b in enumerate([b for b in range(256) if b not in _PRINTED] + _PRINTED)}
 
 
+#: By byte: a mark of TAIL, an ASCII letter, the second byte of a Latin-1 letter.
+_TAIL_BYTES = np.array([chr(b) in TAIL for b in range(256)])
+_LETTER_BYTES = np.array([b < 0x80 and chr(b).isalpha() for b in range(256)])
+_LATIN_BYTES = np.array([0x80 <= b < 0xC0 and chr(b + 0x40).isalpha() for b in range(256)])
+
+
 class Encoder:
-    """Token ids of texts as little-endian bytes.
+    """Token ids of text columns.
 
-    Where the tokenizer drops white space and never joins across it, each distinct chunk between white space is encoded once; a
-    few probes tell, for each white-space character by itself: texts are split only where the tokenizer is shown to drop it. Capitals
-    and marks at the end are taken off a chunk only where the normalizer lower-cases and the tokenizer cuts each of these marks off.
-    Other tokenizers encode whole texts.
+    Where the tokenizer drops white space and never joins across it, each distinct word between white space is encoded once and
+    then looked up by a 64-bit hash of its bytes, for many texts at a time; a few probes tell, for each white-space character by
+    itself: texts are split only where the tokenizer is shown to drop it. Marks at the end are words of their own, and capitals
+    count as small letters, only where the tokenizer is shown to cut these marks off and to lower-case. Other tokenizers encode
+    whole texts.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self._forget()
         self.model = self.tokenizer.model
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         probes = ("Word", "été", "don't", "x.")
         self.by_chunks = all(ids(f" {a}\n {b} ") == ids(a) + ids(b) for a in probes for b in probes)
         dropped = [c for c in SPACES if all(ids(f"{a}{c}{b}") == ids(a) + ids(b) and ids(f"{c}{a}{c}") == ids(a) for a in probes for b in probes)]
         self.by_chunks = self.by_chunks and " " in dropped
-        self.chunked = re.compile(f"[^{re.escape(''.join(dropped))}]+" if dropped else ".+", re.S).findall
+        self.narrow, self.leads, self.wide = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), []
+        for c in dropped:
+            code = c.encode()
+            if len(code) == 1:
+                self.narrow[code[0]] = True
+            else:
+                self.leads[code[0]] = True
+                self.wide.append(code)
         lower = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else lambda t: t
-        self.lowers = all(lower(c) == c.lower() for c in map(chr, range(0x21, 0x7F)))
+        self.lowers = all(lower(c) == c.lower() for c in map(chr, range(0x21, 0x7F))) and ids("Hello") == ids("hello")
         tails = [*TAIL, *(m + n for m in TAIL for n in TAIL)]
-        self.cuts_tails = all(ids(a + t) == ids(a) + ids(t) for a in ("word", "x") for t in tails)
+        self.cuts_tails = all(ids(a + t) == ids(a) + ids(t) for a in ("word", "x", "été") for t in tails)
         self.by_letters = self.lowers and all(lower(c) == c.lower() for c in map(chr, range(0xC0, 0x100)) if _LETTERS(c)) and all(ids(a) == [t.id for t in self.model.tokenize(self._spelled(a))] for a in probes[:2])
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
+    def _forget(self) -> None:
+        """Chunks by number: where their ids begin in the pool, and how many there are."""
+        self.seen, self.starts, self.sizes, self.pool = words.Seen(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+
     @staticmethod
     def _spelled(word: str) -> str:
         word = word.lower()
         return word if word.isascii() else "".join(map(_BYTES.__getitem__, word.encode()))
 
-    def _encode(self, chunks: list[str]) -> None:
-        """Encodes words without white space: letters by the model, others many to a call."""
+    def _encode(self, chunks: list[str]) -> list[bytes]:
+        """The ids of words without white space: letters by the model, others many to a call."""
+        out: list[bytes] = [b""] * len(chunks)
         alone, plain = [], []
-        for c in chunks:
+        for i, c in enumerate(chunks):
             if self.by_letters and _LETTERS(c):
                 ids = [t.id for t in self.model.tokenize(self._spelled(c))]
-                self.words[c] = struct.pack(f"<{len(ids)}I", *ids)
+                out[i] = struct.pack(f"<{len(ids)}I", *ids)
             else:
-                (alone if _MARK in c or self.mark is None else plain).append(c)
+                (alone if _MARK in c or self.mark is None else plain).append(i)
         for lo in range(0, len(plain), 2000):
             part = plain[lo : lo + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(chunks[i] for i in part)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(part) - 1:
                 alone += part
                 continue
             data, at = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            for chunk, a, b in zip(part, at, at[1:]):
-                self.words[chunk] = data[4 * a + 4 : 4 * b]
-        for chunk in alone:
-            self.words[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for i, a, b in zip(part, at, at[1:]):
+                out[i] = data[4 * a + 4 : 4 * b]
+        for i in alone:
+            out[i] = np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
+
+    def _spaces(self, data: np.ndarray) -> np.ndarray:
+        space = self.narrow[data]
+        lead = np.flatnonzero(self.leads[data])
+        for code in self.wide if len(lead) else ():
+            hit = lead[lead + len(code) <= len(data)]
+            for k, byte in enumerate(code):
+                hit = hit[data[hit + k] == byte]
+            for k in range(len(code)):
+                space[hit + k] = True
+        return space
+
+    def _cut_tails(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words with the marks at their ends as words of their own, and whether each word's capitals count as small letters."""
+        plain = np.ones(len(starts), dtype=bool)
+        special = np.searchsorted(starts, np.flatnonzero(data == ord("<")), "right") - 1
+        plain[special] = False  # it may hold a special token
+        todo = np.flatnonzero(plain & (ends - starts <= CACHE_BYTES) & _TAIL_BYTES[data[ends - 1]]) if self.cuts_tails and len(starts) else np.zeros(0, dtype=np.int64)
+        core, at = ends.copy(), todo
+        while len(at):
+            core[at] -= 1
+            at = at[core[at] > starts[at]]
+            at = at[_TAIL_BYTES[data[core[at] - 1]]]
+        todo = todo[core[todo] > starts[todo]]
+        last = data[core[todo] - 1]
+        todo = todo[_LETTER_BYTES[last] | (data[np.maximum(core[todo] - 2, 0)] == 0xC3) & _LATIN_BYTES[last]]
+        n = np.ones(len(starts), dtype=np.int64)
+        n[todo] = 2
+        of, tail = np.repeat(np.arange(len(starts)), n), np.cumsum(n) - 1
+        a, b = starts[of], ends[of]
+        b[tail[todo] - 1] = a[tail[todo]] = core[todo]
+        return a, b, row[of], plain[of] & self.lowers
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: np.ndarray) -> np.ndarray:
+        """Each word's number; new words are encoded, and the pool gets their ids."""
+        if len(self.sizes) > CACHE_WORDS:
+            self._forget()
+        hashes = words.word_hashes(data, starts, ends)
+        if not folded.all():
+            hashes = np.where(folded, hashes, words.mix64(words.word_hashes(data, starts, ends, words.CASED)))
+        short = ends - starts <= CACHE_BYTES
+        number = np.where(short, self.seen.find(hashes), -1)
+        new, long = np.flatnonzero((number < 0) & short), np.flatnonzero(~short)
+        if not len(new) and not len(long):
+            return number
+        distinct, first, of = np.unique(hashes[new], return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        found = self._encode([raw[starts[i] : ends[i]].decode() for i in [*new[first].tolist(), *long.tolist()]])
+        known, size = len(self.sizes), np.array([len(x) // 4 for x in found], dtype=np.int64)
+        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(size) - size))
+        self.sizes = np.concatenate((self.sizes, size))
+        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(found), dtype="<u4")))
+        self.seen.add(distinct, known)
+        number[new], number[long] = known + of, known + len(first) + np.arange(len(long))
+        return number
+
+    def encoded(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First row, ids and the rows' offsets in them, for groups of rows of a text column; each text's ids are followed by end_id. Null texts are empty."""
+        for first, data, at in words.row_groups(column):
+            n = len(at) - 1
+            if self.by_chunks:
+                starts, ends, row = words.runs(~self._spaces(data), at)
+                starts, ends, row, folded = self._cut_tails(data, starts, ends, row)
+                number = self._numbers(data, starts, ends, folded)
+                begin, size = self.starts[number], self.sizes[number]
+            else:
+                texts = [data[a:b].tobytes().decode() for a, b in zip(at, at[1:])]
+                parts = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                row, size = np.arange(n), np.array([len(p) for p in parts], dtype=np.int64)
+                begin = np.cumsum(size) - size
+            pool = self.pool if self.by_chunks else np.concatenate(parts)
+            before = np.cumsum(size) - size
+            to = np.concatenate(([0], np.cumsum(np.bincount(row, size, n).astype(np.int64) + 1)))
+            ids = np.full(to[-1], end_id, dtype="<u4")
+            place = np.arange(int(size.sum()))
+            ids[place + np.repeat(row, size)] = pool[place + np.repeat(begin - before, size)]
+            yield first, ids, to
+
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_chunks:
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        words, chunks, split = self.words, self.chunks, [self.chunked(t) for t in texts]
-        found = [list(map(chunks.get, line)) for line in split]
-        new = {c for line, known in zip(split, found) if None in known for c, data in zip(line, known) if data is None}
-        parts: list[tuple[str, str, str]] = []
-        for chunk in new:  # most are a known word in capitals or with marks at its end
-            core = chunk.rstrip(TAIL)
-            if self.lowers and self.cuts_tails and core and core[-1].isalpha() and chunk.isascii() and "<" not in chunk:
-                parts.append((chunk, core.lower(), chunk[len(core) :]))
-            else:
-                parts.append((chunk, chunk, ""))
-        self._encode(sorted({p for _, core, tail in parts for p in (core, tail)}.difference(words, ("",))))
-        for chunk, core, tail in parts:
-            chunks[chunk] = words[core] + words[tail] if tail else words[core]
-        return [b"".join(map(chunks.__getitem__, line) if None in known else known) for line, known in zip(split, found)]
+        """The ids of each text, little-endian, without an end."""
+        return [ids[a : b - 1].tobytes() for _, ids, to in self.encoded(pa.array(texts, pa.string()), 0) for a, b in zip(to.tolist(), to[1:].tolist())]
 
 
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def cut(to: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number, first id and number of ids of each piece of texts with these offsets."""
+    n = np.diff(to)
+    pieces = -(-n // capacity)
+    text = np.repeat(np.arange(len(n)), pieces)
+    piece = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return text, piece, piece * capacity, np.minimum(capacity, n[text] - piece * capacity)
+
+
 @releasing
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder = _encoders.setdefault(path, None) or Encoder(path)
-    _encoders[path] = encoder
-    end = int(end_id).to_bytes(4, "little")
+    encoder = encoder_of(path)
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        for lo in range(0, len(ids), 256):
-            out = defaultdict(list)
-            texts = [t or "" for t in batch.column(1).slice(lo, 256).to_pylist()]
-            for doc, data in zip(ids[lo : lo + 256], encoder.encode(texts)):
-                data += end
-                for piece, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at : at + 4 * capacity]
-                    for name, value in zip(("doc", "piece", "start", "length", "crc"), (doc, piece, at // 4, len(part) // 4, zlib.crc32(part))):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc"], pa.int64()), pa.array(out["piece"], pa.int32()), *[pa.array(out[n], pa.int64()) for n in ("start", "length", "crc")]], names=["doc", "piece", "start", "length", "crc"])
+        for first, ids, to in encoder.encoded(batch.column(1), end_id):
+            text, piece, start, length = cut(to, capacity)
+            data = memoryview(ids).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip((to[text] + start).tolist(), (to[text] + start + length).tolist())]
+            doc = batch.column(0).slice(first, len(to) - 1).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([doc.cast(pa.int64()), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc", "piece", "start", "length", "crc"])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:

@@ -29,6 +29,8 @@ def _byte_values() -> np.ndarray:
 
 
 _VALUES = _byte_values()
+#: The same with capitals as they are.
+CASED = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
@@ -59,11 +61,15 @@ def row_groups(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word; words end at ASCII white space and at the end of their text."""
-    if not len(data):
+    return runs(~_SPACE[data], at)
+
+
+def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of places that are inside words."""
+    if not len(inside):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    inside = ~_SPACE[data]
-    first = np.zeros(len(data) + 1, dtype=bool)
+    first = np.zeros(len(inside) + 1, dtype=bool)
     first[at] = True
     before = np.concatenate(([False], inside[:-1])) & ~first[:-1]
     after = np.concatenate((inside[1:], [False])) & ~first[1:]
@@ -71,8 +77,8 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(at, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, with A-Z as a-z: differences of prefix sums of a polynomial in the bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """A 64-bit hash of each word, by default with A-Z as a-z: differences of prefix sums of a polynomial in the values of its letters."""
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -81,13 +87,54 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         hi = ends[j - 1]
         up, down = _power_tables(max(WINDOW, int(hi - lo)) + 1)
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_VALUES[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        np.cumsum(values[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
     return out
 
 
+class Seen:
+    """A number for each 64-bit hash: an open-addressed table that is asked for whole arrays."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.n, self.keys, self.numbers = 0, np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Their numbers; -1 for those that are new."""
+        mask = len(self.keys) - 1
+        place, out, todo = (hashes & np.uint64(mask)).astype(np.int64), np.full(len(hashes), -1, dtype=np.int64), np.arange(len(hashes))
+        while len(todo):
+            number, key = self.numbers[place], self.keys[place]
+            hit = (number >= 0) & (key == hashes[todo])
+            out[todo[hit]] = number[hit]
+            on = (number >= 0) & ~hit
+            todo, place = todo[on], (place[on] + 1) & mask
+        return out
+
+    def add(self, hashes: np.ndarray, first: int) -> None:
+        """Numbers from first on for distinct hashes that are new."""
+        while 2 * (self.n + len(hashes)) > len(self.keys):
+            old = self.numbers >= 0
+            keys, numbers = self.keys[old], self.numbers[old]
+            self.keys, self.numbers = np.zeros(2 * len(self.keys), dtype=np.uint64), np.full(2 * len(self.keys), -1, dtype=np.int64)
+            self._put(keys, numbers)
+        self._put(hashes, np.arange(first, first + len(hashes)))
+        self.n += len(hashes)
+
+    def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        place, todo = (keys & np.uint64(mask)).astype(np.int64), np.arange(len(keys))
+        while len(todo):
+            free = np.flatnonzero(self.numbers[place] < 0)
+            at, first = np.unique(place[free], return_index=True)
+            won = free[first]
+            self.keys[at], self.numbers[at] = keys[todo[won]], numbers[todo[won]]
+            on = np.ones(len(todo), dtype=bool)
+            on[won] = False
+            todo, place = todo[on], (place[on] + 1) & mask
+
+
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct k-word shingles of each text, ascending, and the offsets of the texts in them.
 
