@@ -9,20 +9,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from itembank.llm.common import by_block, shared_dir, small_enough, written
-from itembank.llm.packing import Encoder, default_tokenizer
+from itembank.llm.common import releasing, shared_dir, small_enough, written
+from itembank.llm.packing import cut, default_tokenizer, encoder_of
 from itembank.llm.words import mix64
 
 #: Ids of a sequence, bytes of an id, sequences of a shard: 8 MB shards.
 LENGTH, WIDTH, SHARD_ROWS = 256, 2, 16_384
 ROUNDS = 6
-BROADCAST_ROWS = 1_000_000
-
-_encoders: dict[str, Encoder] = {}
+#: At most so many documents' numbers are broadcast (some 60 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Bytes of records that a writing task gets, about, where there are more than spark.sql.shuffle.partitions tasks' worth.
+TASK_BYTES = 256 << 20
+#: Copies of a repeated row that one row of a task stands for.
+COPIES = 1000
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -41,81 +45,131 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
-    encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-    end, kind = int(end_id).to_bytes(4, "little"), f"<u{width}"
+@releasing
+def _counted(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
+    """With the checksum of each text's ids and the number of its sequences in the text's place."""
+    encoder = encoder_of(path)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            rows: list[tuple[int | None, int, int, int, int, int, bytes]] = []
-            encoded = encoder.encode([t or "" for t in part.column(2).to_pylist()])
-            for row, doc, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoded):
-                ids = np.frombuffer(data + end, dtype="<u4")
-                assert width == 4 or ids.max() < 1 << 8 * width, "ids need more bytes"
-                crc = zlib.crc32(ids.tobytes())
-                for piece, at in enumerate(range(0, len(ids), length)):
-                    rows.append((row, doc, crc, piece, at, min(length, len(ids) - at), ids[at : at + length].astype(kind).tobytes()))
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["row", "doc", "doc_crc", "piece", "start", "length", "data"])
-
-
-def _placed(batches: Iterator[pa.RecordBatch], n: int, key: int, shard_rows: int) -> Iterator[pa.RecordBatch]:
+        for first, ids, to in encoder.encoded(batch.column(3), end_id):
+            n, data = len(to) - 1, memoryview(ids).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(to[:-1].tolist(), to[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, n) for i in range(3)], pa.array(crc, pa.int64()), pa.array(-(-np.diff(to) // length))], names=["doc", "h", "g", "crc", "k"])
+
+
+@releasing
+def _sequences(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, width: int, n: int, key: int) -> Iterator[pa.RecordBatch]:
+    """Each row's sequences with their slots: `copies` times from the number `first` on."""
+    encoder = encoder_of(path)
+    kind = np.dtype(f"<u{width}")
     for batch in batches:
-        slot = permuted(batch.column(batch.schema.get_field_index("index")).to_numpy(), n, key)
-        names = ["doc", "piece", "start", "length", "data"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(slot), pa.array(slot // shard_rows)], names=[*names, "slot", "shard"])
+        for row, ids, to in encoder.encoded(batch.column(1), end_id):
+            if width < 4 and ids.max() >= 1 << 8 * width:
+                raise ValueError(f"token ids of {int(ids.max())} need more than {width} bytes")
+            rows = len(to) - 1
+            copies, begin = (batch.column(i).slice(row, rows).to_numpy() for i in (2, 3))
+            text, piece, start, size = cut(to, length)
+            pieces = np.bincount(text, minlength=rows)
+            again = copies[text]
+            which = np.repeat(np.arange(len(text)), again)
+            copy = np.arange(len(which)) - np.repeat(np.cumsum(again) - again, again)
+            text, piece, start, size = text[which], piece[which], start[which], size[which]
+            slot = permuted(begin[text] + copy * pieces[text] + piece, n, key)
+            narrow = ids.astype(kind)
+            at = np.concatenate(([0], np.cumsum(size * width)))
+            place = np.arange(int(size.sum()))
+            data = narrow[place + np.repeat(to[text] + start - np.cumsum(size) + size, size)]
+            blob = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+            doc = batch.column(0).slice(row, rows).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([doc, pa.array(piece, pa.int32()), pa.array(start), pa.array(size, pa.int32()), pc.cast(blob, pa.binary()), pa.array(slot)], names=["doc", "piece", "start", "length", "data", "slot"])
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+@releasing
 def _shards(batches: Iterator[pa.RecordBatch], uri: str, stride: int, shard_rows: int) -> Iterator[pa.RecordBatch]:
-    """Writes each shard under a name of its own and then renames it, so that a task that runs again or twice leaves the same file."""
+    """Writes shards of rows that come in the order of slots, record by record, each under a name of its own that is then renamed: a task that runs again or twice leaves the same file."""
     store, folder = _store(uri)
     store.create_dir(folder, recursive=True)
-    for block in by_block(batches, "shard"):
-        block = block.combine_chunks().sort_by("slot")
-        slot, shard = block.column("slot").to_numpy(), block.column("shard")[0].as_py()
-        records = [d.ljust(stride, b"\0") for d in block.column("data").to_pylist()]
-        assert (slot == shard * shard_rows + np.arange(len(slot))).all(), "a shard's slots are contiguous"
-        at = posixpath.join(folder, f"shard-{shard:08d}.bin")
-        own = f"{at}.{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as out:
-            out.write(b"".join(records))
-        store.move(own, at)
-        crc = [zlib.crc32(d) for d in block.column("data").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*[block.column(c).combine_chunks() for c in ("doc", "piece", "start", "length", "slot", "shard")], pa.array((slot - shard * shard_rows) * stride), pa.array(crc, pa.int64())], names=["doc", "piece", "start", "length", "slot", "shard", "byte_offset", "crc"])
+    shard = after = own = out = None
+
+    def closed() -> None:
+        if out is not None:
+            out.close()
+            store.move(own, posixpath.join(folder, f"shard-{shard:08d}.bin"))
+
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot = batch.column(batch.schema.get_field_index("slot")).to_numpy()
+            data = batch.column(batch.schema.get_field_index("data"))
+            crc, cuts = [], [0, *(np.flatnonzero(np.diff(slot // shard_rows)) + 1).tolist(), len(slot)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if slot[lo] // shard_rows != shard:
+                    closed()
+                    shard, after = int(slot[lo] // shard_rows), int(slot[lo] // shard_rows) * shard_rows
+                    own = posixpath.join(folder, f"shard-{shard:08d}.bin.{uuid.uuid4().hex}")
+                    out = store.open_output_stream(own)
+                if not (slot[lo:hi] == after + np.arange(hi - lo)).all():
+                    raise RuntimeError(f"shard {shard}: its slots aren't contiguous; did the documents change between two reads?")
+                after += hi - lo
+                records = data.slice(lo, hi - lo).to_pylist()
+                crc += map(zlib.crc32, records)
+                out.write(b"".join(r.ljust(stride, b"\0") for r in records))
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc", "piece", "start", "length", "slot")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(slot // shard_rows), pa.array(slot % shard_rows * stride), pa.array(crc, pa.int64())], names=["doc", "piece", "start", "length", "slot", "shard", "byte_offset", "crc"])
+        closed()
+        out = None
+    finally:
+        if out is not None:  # the task failed or was ended
+            out.close()
+            store.delete_file(own)
 
 
 def in_training_order(docs: DataFrame, tokenizer: str, uri: str, key: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, length: int = LENGTH, width: int = WIDTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Writes the documents' sequences to uri and returns where each is: id, piece, start, length, slot, shard, byte_offset, ids_crc32.
 
     A document's ids and end_id are cut into sequences of `length`; the last may be shorter and is padded with zeros. Sequences are
-    numbered in the order of id, checksum and piece, whatever the partitions; the Feistel network of the key gives each number its slot.
-    Slots of shard_rows make a shard, a file of records of length * width bytes in the order of slots: slot s is at byte
-    s % shard_rows * length * width of shard s // shard_rows, so reading goes on anywhere after one seek.
+    numbered in the order of id, checksum, text hash and piece, whatever the partitions; the Feistel network of the key gives each
+    number its slot. Slots of shard_rows make a shard, a file of records of length * width bytes in the order of slots: slot s is at
+    byte s % shard_rows * length * width of shard s // shard_rows, so reading goes on anywhere after one seek.
 
-    Texts are encoded once. Numbers come from sums over id ranges; the sequences are shuffled once, by shard, and no task holds more
-    than one shard. Tasks that are run again write the same files.
+    Texts are encoded twice rather than kept: a first pass counts sequences, sums over id ranges give each document its first
+    number, and a second pass sends each sequence straight to the task that has the range of its slot. So the ids are moved once and
+    written once. A task writes its shards in order, record by record. Tasks that are run again write the same files; an executor
+    that is killed may leave a part of a shard, named like it with a suffix, that no reader looks at.
 
     Nulls: a null or empty text is end_id alone; a null id comes first in the order. Repeated rows are written each; rows that
-    are equal are interchangeable. Empty table: no rows, no shards. Other columns are not read.
+    are equal are interchangeable. Empty table: no rows, no shards. Other columns are not read. Ids beyond `width` bytes raise.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col))
-    sequences = written(rows.mapInArrow(lambda it: _sequences(it, tokenizer, end_id, length, width), "row long, doc long, doc_crc long, piece int, start long, length int, data binary"), "order-sequences")
-    texts = sequences.groupBy("row", "doc", "doc_crc").agg(F.count("*").alias("k"))
-    texts = written(texts.repartitionByRange("doc", "doc_crc", "row").withColumn("part", F.spark_partition_id()), "order-texts")
-    parts = texts.groupBy("part").agg(F.sum("k").alias("in_part"))
-    parts = parts.withColumn("before", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    inside = Window.partitionBy("part").orderBy(F.col("doc").asc_nulls_first(), "doc_crc", "row").rowsBetween(Window.unboundedPreceding, -1)
-    first = texts.join(parts, "part").select("row", (F.col("before") + F.coalesce(F.sum("k").over(inside), F.lit(0))).alias("first"))
-    n = sequences.count()
-    numbered = sequences.join(small_enough(written(first, "order-first"), BROADCAST_ROWS), "row").withColumn("index", F.col("first") + F.col("piece"))
-    placed = numbered.select("doc", "piece", "start", "length", "data", "index").mapInArrow(lambda it: _placed(it, n, key, shard_rows), "doc long, piece int, start long, length int, data binary, slot long, shard long")
-    stride = length * width
-    shards = placed.repartition("shard").sortWithinPartitions("shard")
-    index = written(shards.mapInArrow(lambda it: _shards(it, uri, stride, shard_rows), "doc long, piece int, start long, length int, slot long, shard long, byte_offset long, crc long"), "order-index")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), text.alias("text"))
+    counted = rows.mapInArrow(lambda it: _counted(it, tokenizer, end_id, length), "doc long, h long, g long, crc long, k long")
+    texts = counted.groupBy("doc", "h", "g", "crc", "k").agg(F.count("*").alias("copies"))
+    texts = written(texts.repartitionByRange(F.col("doc").asc_nulls_first(), "crc", "h", "g").withColumn("part", F.spark_partition_id()), "order-texts")
+    parts = texts.groupBy("part").agg(F.sum(F.col("k") * F.col("copies")).alias("in_part"))
+    parts = written(parts.withColumn("before", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "order-parts")
+    n = parts.agg(F.sum("in_part")).first()[0] or 0
+    inside = Window.partitionBy("part").orderBy(F.col("doc").asc_nulls_first(), "crc", "h", "g").rowsBetween(Window.unboundedPreceding, -1)
+    first = texts.join(parts, "part").withColumn("first", F.col("before") + F.coalesce(F.sum(F.col("k") * F.col("copies")).over(inside), F.lit(0)))
+    first = written(first.select(F.col("doc").alias("t_doc"), F.col("h").alias("t_h"), F.col("g").alias("t_g"), "k", "copies", "first"), "order-first")
+
+    own_first = F.col("doc").eqNullSafe(F.col("t_doc")) & (F.col("h") == F.col("t_h")) & (F.col("g") == F.col("t_g"))
+    ready = rows.join(small_enough(first, BROADCAST_ROWS), own_first)
+    once = ready.where("copies = 1")
+    repeated = first.where("copies > 1")
+    if not repeated.isEmpty():  # one of the equal rows stands for all, in parts that are dealt over tasks
+        spread = rows.join(small_enough(written(repeated, "order-repeated"), BROADCAST_ROWS), own_first).dropDuplicates(["doc", "h", "g"])
+        spread = spread.withColumn("lo", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(COPIES)))).repartition("doc", "h", "lo")
+        once = once.unionByName(spread.withColumn("first", F.col("first") + F.col("lo") * F.col("k")).withColumn("copies", F.least(F.lit(COPIES), F.col("copies") - F.col("lo"))).drop("lo"))
+    placed = once.select("doc", "text", "copies", "first").mapInArrow(lambda it: _sequences(it, tokenizer, end_id, length, width, n, key), "doc long, piece int, start long, length int, data binary, slot long")
+
+    stride, shards = length * width, max(1, -(-n // shard_rows))
+    tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * stride // TASK_BYTES)))
+    ranges = placed.repartitionById(tasks, F.floor(F.floor(F.col("slot") / shard_rows) * tasks / shards).cast("int")).sortWithinPartitions("slot")
+    index = written(ranges.mapInArrow(lambda it: _shards(it, uri, stride, shard_rows), "doc long, piece int, start long, length int, slot long, shard long, byte_offset long, crc long"), "order-index")
     return index.select(F.col("doc").alias(id_col), "piece", "start", F.col("length").cast("long").alias("length"), "slot", "shard", "byte_offset", F.col("crc").alias("ids_crc32"))
 
 

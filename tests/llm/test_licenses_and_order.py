@@ -87,5 +87,21 @@ def test_sequences_come_back_in_any_read(spark, documents, tmp_path):
     assert all((x == y).all() for x, y in zip(O.read_slots(f"{tmp_path}/b", 0, n, shard_rows=16), records))
 
 
+def test_many_repeated_rows(spark, documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "COPIES", 7)
+    rows = [(4, "again " * 700, "s")] * 40 + [(None, None, "s")] * 9 + [(i, f"text {i}", "s") for i in range(10, 15)]
+    where = O.in_training_order(documents(rows), packing.default_tokenizer(), f"file://{tmp_path}/d", key=5, shard_rows=8).collect()
+    assert sorted(r["slot"] for r in where) == list(range(40 * 3 + 9 + 5))
+    records = list(O.read_slots(f"{tmp_path}/d", 0, 999, shard_rows=8))
+    assert all(zlib.crc32(records[r["slot"]][: r["length"]].astype("<u2").tobytes()) == r["ids_crc32"] for r in where)
+    assert sum(r["doc_id"] is None for r in where) == 9 and sum(r["length"] for r in where if r["doc_id"] == 4) == 40 * 701
+    assert not [p for p in (tmp_path / "d").iterdir() if p.suffix != ".bin"]
+
+
+def test_ids_that_are_too_wide_raise(spark, documents, tmp_path):
+    with pytest.raises(Exception, match="need more than 1 bytes"):
+        O.in_training_order(documents([(1, "zebra", "s")]), packing.default_tokenizer(), f"file://{tmp_path}/e", key=1, width=1)
+
+
 def test_no_documents_no_shards(spark, documents, tmp_path):
     assert O.in_training_order(documents([(1, "x", "s")]).where("false"), packing.default_tokenizer(), f"file://{tmp_path}/c", key=1).count() == 0
