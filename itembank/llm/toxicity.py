@@ -21,10 +21,6 @@ from itembank.llm.common import WORD, releasing, without, written
 FIT_ROWS = 20_000
 #: A term stands in at least so many toxic rows, whatever their number, and is likelier there: its log odds less two standard errors reach so much.
 SUPPORT_ROWS, LOG_ODDS = 4, 1.3
-#: Terms to an automaton; a larger lexicon has more of them.
-SLICE = 150
-#: A finding's code: this times the edits, plus the term.
-STRIDE = 1 << 24
 #: Rows of one label whose sets of so many words in turn are this similar count as one when terms are learned: else a toxic text with many copies makes all its words terms.
 COPY_WORDS, COPY_PERCENT = 2, 60
 #: A document's evidence from one term grows with its findings up to MOST of them.
@@ -35,9 +31,8 @@ WINDOW, QUOTED, MENTIONED, ADDRESSED = 8, 0.35, 0.5, 1.2
 MENTION = {"word", "words", "term", "called", "said", "says", "quote", "quoted", "quotes", "wrote", "writes", "slur", "insult", "mot", "terme", "dit", "wort", "sagte", "palabra", "dijo"}
 ADDRESS = {"you", "your", "youre", "yours", "du", "dein", "dich", "ihr", "tu", "toi", "vous", "eres", "usted"}
 _OPEN, _CLOSE = "\"“„«‘", "\"”“»’"
-_TERM = re.compile(r"[^\W\d_]{3,24}")
+_TERM = re.compile(r"[^\W\d_]+")
 GROUP_CHARS = 1 << 20
-NONE = 1 << 30
 #: Terms that a task counts before it hands the counts on.
 HELD_TERMS = 60_000
 
@@ -45,7 +40,6 @@ HELD_TERMS = 60_000
 @dataclass
 class Model:
     terms: list[str]
-    autos: list[automata.Automaton]  # of SLICE terms each, in order
     weight: np.ndarray  # term x edits
     coef: np.ndarray  # bias first
     centre: np.ndarray
@@ -102,19 +96,16 @@ def choose_terms(support: dict[str, int]) -> list[str]:
     return sorted(chosen)
 
 
-def build(terms: list[str]) -> list[automata.Automaton]:
-    """One automaton for each SLICE terms: the states of a single one grow faster than its terms."""
-    return [automata.build(terms[lo : lo + SLICE]) for lo in range(0, len(terms), SLICE)]
+_automata: dict[tuple[str, ...], automata.Automaton] = {}
 
 
-def find(autos: list[automata.Automaton], text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As automata.find, over all slices: STRIDE * edits + term, the fewest edits first, or NONE. What is a word doesn't depend on the terms."""
-    starts, ends, best = np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    for k, auto in enumerate(autos):
-        starts, ends, found = automata.find(auto, text)
-        code = np.where(found < automata.NONE, found // 1000 * STRIDE + found % 1000 + k * SLICE, NONE)
-        best = np.minimum(best, code) if k else code
-    return starts, ends, best
+def automaton_of(terms: list[str]) -> automata.Automaton:
+    """The worker's automaton for a lexicon; it keeps that of the last lexicon alone."""
+    key = tuple(terms)
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = automata.build(terms)
+    return _automata[key]
 
 
 def context_factor(before: str, after: str) -> float:
@@ -126,9 +117,9 @@ def context_factor(before: str, after: str) -> float:
     return (QUOTED if quoted else 1.0) * (MENTIONED if mentioned else 1.0) * (ADDRESSED if near & ADDRESS and not (quoted or mentioned) else 1.0)
 
 
-def _hits(autos: list[automata.Automaton], texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, float]]]]:
+def _hits(terms: list[str], texts: list[str]) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, float]]]]:
     """First row, words per text, and (row, code, factor) of each found term, for groups of whole texts."""
-    row = 0
+    auto, row = automaton_of(terms), 0
     while row < len(texts):
         stop, size = row, 0
         while stop < len(texts) and (stop == row or size + len(texts[stop]) <= GROUP_CHARS):
@@ -136,10 +127,10 @@ def _hits(autos: list[automata.Automaton], texts: list[str]) -> Iterator[tuple[i
             stop += 1
         first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts[row:stop]])))
         joined = "\n".join(texts[row:stop])
-        starts, ends, best = find(autos, joined)
+        starts, ends, best = automata.find(auto, joined)
         text = np.searchsorted(first, starts, "right") - 1
         found = []
-        for w in np.flatnonzero(best < NONE).tolist():
+        for w in np.flatnonzero(best < automata.NONE).tolist():
             t = int(text[w])
             lo, hi = max(0, w - WINDOW), min(len(starts) - 1, w + WINDOW)
             a, b = max(int(starts[lo]), int(first[t])), min(int(ends[hi]), int(first[t + 1]) - 1)
@@ -150,12 +141,12 @@ def _hits(autos: list[automata.Automaton], texts: list[str]) -> Iterator[tuple[i
 
 
 @releasing
-def _term_edits(batches: Iterator[pa.RecordBatch], autos: list[automata.Automaton]) -> Iterator[pa.RecordBatch]:
+def _term_edits(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
     """How often each term stands with each number of edits in toxic and other texts, MOST to a text, and under -1 all words; summed within the task."""
     count: dict[int, list[int]] = defaultdict(lambda: [0, 0])
     for batch in batches:
         y = batch.column(1).to_pylist()
-        for row, words, found in _hits(autos, batch.column(0).to_pylist()):
+        for row, words, found in _hits(terms, batch.column(0).to_pylist()):
             for (t, code), n in Counter((t, code) for t, code, _ in found).items():
                 count[code][1 - y[row + t]] += min(n, MOST)
             for t, n in enumerate(words.tolist()):
@@ -166,13 +157,13 @@ def _term_edits(batches: Iterator[pa.RecordBatch], autos: list[automata.Automato
 def _features(texts: list[str], model: Model) -> np.ndarray:
     """Per text: its evidence summed over terms (the MOST strongest of each), the strongest finding, the number of hits, and hits by words."""
     out = np.zeros((len(texts), 4))
-    if not model.autos:
+    if not model.terms:
         return out
-    for row, words, found in _hits(model.autos, texts):
+    for row, words, found in _hits(model.terms, texts):
         each: dict[tuple[int, int], list[float]] = defaultdict(list)
         hits = np.zeros(len(words))
         for t, code, factor in found:
-            edits, term = divmod(code, STRIDE)
+            edits, term = divmod(code, automata.STRIDE)
             if (e := model.weight[term, edits] * factor) > 0.3:
                 hits[t] += 1
                 each[t, term].append(e)
@@ -220,13 +211,12 @@ def fit(sample: DataFrame) -> Model:
     odds -= 2 * F.sqrt(1 / F.col("t") + 1 / (F.col("c") + 0.5))
     support = {r["term"]: r["t"] for r in counts.where((F.col("t") >= SUPPORT_ROWS) & (odds >= LOG_ODDS)).select("term", "t").collect()}
     terms = choose_terms(support)
-    model = Model(terms, build(terms), np.zeros((len(terms), 3)), np.zeros(5), np.zeros(4), np.ones(4))
+    model = Model(terms, np.zeros((len(terms), 3)), np.zeros(5), np.zeros(4), np.ones(4))
     if terms:
-        autos = model.autos
         seen = {(e, t): (0, 0) for t, term in enumerate(terms) for e in range(automata.edits_allowed(term.rstrip("*")) + 1)}
-        counted = {r["code"]: (r["t"], r["c"]) for r in sample.mapInArrow(lambda it: _term_edits(it, autos), "code long, t long, c long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()}
+        counted = {r["code"]: (r["t"], r["c"]) for r in sample.mapInArrow(lambda it: _term_edits(it, terms), "code long, t long, c long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()}
         many = counted.pop(-1, (0, 0))
-        seen |= {divmod(code, STRIDE): n for code, n in counted.items()}
+        seen |= {divmod(code, automata.STRIDE): n for code, n in counted.items()}
         for (e, t), (a, b) in seen.items():  # unseen misspellings keep some evidence, those of clean texts none
             model.weight[t, e] = np.clip(np.log((a + 1) / (many[0] + 1)) - np.log((b + 0.25) / (many[1] + 1)), 0, 6)
     rows = sample.mapInArrow(lambda it: _featured(it, model), "a double, b double, c double, d double, y long").toPandas().to_numpy()
@@ -250,8 +240,8 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: id, score (0 to 1), predicted (1 if score >= threshold).
 
-    The lexicon's terms are found in whole texts with up to two edits by the deterministic intersection of their trie with the
-    Levenshtein automata; each finding is weighed by term, edits and the words around it, and a logistic regression makes the score.
+    The lexicon's terms are found in whole texts with up to two edits by the intersection of their trie with the Levenshtein
+    automata, whose deterministic states are made as the texts' words need them; each finding is weighed by term, edits and the words around it, and a logistic regression makes the score.
     Rows are scored where they are read; nothing is shuffled.
 
     Nulls: a null text is an empty text, which has no findings; a null id stays null. Repeated rows are scored each. Equal texts

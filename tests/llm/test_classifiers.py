@@ -36,7 +36,7 @@ def test_automaton_equals_edit_distances():
         word = "".join(t) or "a"
         want = min([edits(word, x) for x in terms if not x.endswith("*") and edits(word, x) <= automata.edits_allowed(x)] + [edits(word[:n], "abca") for n in range(len(word) + 1) if edits(word[:n], "abca") <= 1], default=None)
         _, _, best = automata.find(auto, word)
-        assert (None if best[0] == automata.NONE else best[0] // 1000) == want, word
+        assert (None if best[0] == automata.NONE else best[0] // automata.STRIDE) == want, word
 
 
 def test_masks_and_ends():
@@ -136,15 +136,43 @@ def test_every_significant_term_is_kept(spark):
     assert toxicity.toxicity(docs, model).where("predicted = 1").count() == len(insults)
 
 
-def test_slices_find_what_one_automaton_finds(monkeypatch):
+def test_many_terms_of_many_letters(monkeypatch):
+    """5,000 terms over 1,000 letters, some of 60 letters: each is found whole, with an edit where it is long enough, and with small memories alike."""
     rng = random.Random(9)
-    terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) + rng.choice(["", "*"]) for _ in range(25)})
-    text = " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 10))) for _ in range(2000))
-    monkeypatch.setattr(toxicity, "SLICE", 7)
-    starts, ends, best = automata.find(automata.build(terms), text)
-    a, b, got = toxicity.find(toxicity.build(terms), text)
-    want = [toxicity.NONE if x == automata.NONE else x // 1000 * toxicity.STRIDE + x % 1000 for x in best]
-    assert (a == starts).all() and (b == ends).all() and got.tolist() == want
+    letters = [c for c in map(chr, range(0x4E00, 0x4E00 + 600))] + [c for c in map(chr, range(0x400, 0x1000)) if c.isalpha() and c == c.lower() and len(c) == 1][:400]
+    assert len(letters) == 1000
+    terms = sorted({"".join(rng.choices(letters, k=rng.choice([1, 2, 3, 5, 8, 9, 60]))) for _ in range(5100)})[:5000]
+    auto = automata.build(terms)
+    said, want = [], []
+    for t, term in list(enumerate(terms))[::6]:
+        said.append(term)
+        want.append((0, t))
+        if len(term) >= 5:
+            k = rng.randrange(len(term) - 1)
+            said.append(term[:k] + term[k + 1] + term[k] + term[k + 2 :] if k % 2 and term[k] != term[k + 1] else term[:k] + "\u4e00\u4e01" [k % 3 == 0] + term[k + 1 :])
+            want.append((edits(said[-1], term), t))
+    _, _, best = automata.find(auto, " ".join(said))
+    got = [divmod(int(b), automata.STRIDE) for b in best]
+    for (e, t), (f, u), word in zip(want, got, said):
+        assert f <= e and (f < e or u == t or edits(word, terms[u]) == f), word
+    monkeypatch.setattr(automata, "CACHE_ENTRIES", 3000)
+    monkeypatch.setattr(automata, "CACHE_WORDS", 100)
+    small = automata.build(terms[:300])
+    again = [int(automata.find(small, w)[2][0]) for w in said[:200]]
+    monkeypatch.undo()
+    assert again == automata.find(automata.build(terms[:300]), " ".join(said[:200]))[2].tolist()
+
+
+def test_a_thousand_letters_can_be_learned(spark):
+    rng = random.Random(2)
+    letters = [chr(0x4E00 + k) for k in range(1000)]
+    words = ["".join(letters[(7 * k + j) % 1000] for j in range(5)) for k in range(400)]
+    bad = ["".join(letters[(11 * k + 3 * j) % 1000] for j in range(2 + k % 30)) for k in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=6) + ([bad[i % 40]] if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(2700)]
+    model = toxicity.fit(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert len({c for t in model.terms for c in t}) > 60 and max(map(len, model.terms)) > 24 and min(len(t.rstrip("*")) for t in model.terms) < 3
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), model).collect()}
+    assert sum(got[i] == y for i, _, y in rows) >= 0.97 * len(rows)
 
 
 def test_a_stem_leaves_no_word_out():
