@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from itembank.llm.common import BROADCAST_IDS, WORD, small_enough, written
 
-#: Documents to a bucket of keys, on average. Only the bucket in which a source's budget ends is sorted.
-BUCKET_ROWS = 1000
+#: Buckets to each unit of keys at first, and documents to a finer bucket at most, about. Only the fine bucket in which a source's budget ends is sorted.
+COARSE, BUCKET_ROWS = 1000, 1000
 #: Marks that rarely stand in running prose; their share lowers a document's weight.
 NOISE = "!$%&*#|{}<>=_~^"
 
@@ -63,8 +63,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     words. boundary="cut": the document at the end of the target gives its first words only, so the source's words meet the
     target but for less than one word; "whole": it is taken or left as a whole, whichever ends nearer.
 
-    The order is never made as a whole. Keys fall into buckets of about BUCKET_ROWS documents; sums over buckets show where the
-    target ends, and only documents of that one bucket are sorted. So a source with a third of all rows is spread over all tasks.
+    The order is never made as a whole. Sums over coarse buckets of keys show in which of them the target ends, sums over its fine
+    buckets (at most about BUCKET_ROWS documents each, whatever the weights) in which of those, and only documents of that one are
+    sorted. So a source with a third of all rows is spread over all tasks, and no table of sums grows with it but by its share.
 
     Nulls: null texts have size 0; null sources are one source, last in order; a null id has the key of the empty text. Ties of
     keys are broken by id, then size; rows that are equal in all three are interchangeable. Repeated rows count each.
@@ -80,22 +81,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = written(targets.withColumn("epochs", epochs.cast("long")).withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")), "mix-targets")
 
     t = targets.withColumnRenamed("source", "t_source")
-    buckets = F.greatest(F.lit(1), F.floor(F.col("rows") / BUCKET_ROWS))
-    rows = sized.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("bucket", F.least(buckets - 1, F.floor((1 - F.exp(-F.col("key"))) * buckets)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-    # The bucket in which the rest of the target is used up: one for each source.
-    edge = written(sums.where("before < rest AND before + words >= rest").select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), F.col("before").alias("e_before")), "mix-edge")
-    rows = rows.join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").drop("e_source")
+    # No weight is above 1, so no stretch of keys holds more than its length's share of a source's documents.
+    fine = F.floor(F.col("key") * F.greatest(F.lit(1.0), F.col("rows") / BUCKET_ROWS))
+    rows = sized.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("coarse", F.floor(F.col("key") * COARSE)).withColumn("fine", fine)
+
+    def edge(rows: DataFrame, bucket: str, start: Column, name: str) -> DataFrame:
+        """The bucket of each source in which the rest of its target is used up, and the words before it."""
+        sums = rows.groupBy("source", bucket).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first(start).alias("start"))
+        run = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(run), F.lit(0)))
+        ends = sums.where("before < rest AND before + words >= rest")
+        return written(ends.select(F.col("source").alias(f"{bucket}_source"), F.col(bucket).alias(f"e_{bucket}"), F.col("before").alias(f"{bucket}_before")), name)
+
+    for bucket, inside, start in (("coarse", "true", F.lit(0)), ("fine", "coarse = e_coarse", F.col("coarse_before"))):
+        ends = edge(rows.where(inside), bucket, start, f"mix-{bucket}")
+        rows = rows.join(ends, F.col("source").eqNullSafe(F.col(f"{bucket}_source")), "left").drop(f"{bucket}_source")
 
     order = Window.partitionBy("source").orderBy("key", "id", "size", *(["__hash", "__row"] if row_col else [])).rowsBetween(Window.unboundedPreceding, -1)
-    inside = rows.where("bucket = e_bucket").withColumn("part", F.col("rest") - F.col("e_before") - F.coalesce(F.sum("size").over(order), F.lit(0)))
+    inside = rows.where("coarse = e_coarse AND fine = e_fine").withColumn("part", F.col("rest") - F.col("fine_before") - F.coalesce(F.sum("size").over(order), F.lit(0)))
     if boundary == "cut":
         inside = inside.withColumn("part", F.greatest(F.lit(0), F.least("size", "part")))
     else:
         inside = inside.withColumn("part", F.when(F.col("part") * 2 >= F.col("size"), F.col("size")).otherwise(0))
-    outside = rows.where("e_bucket IS NULL OR bucket != e_bucket").withColumn("part", F.when(F.col("bucket") < F.col("e_bucket"), F.col("size")).otherwise(0))
+    before = F.expr("coarse < e_coarse OR coarse = e_coarse AND fine < e_fine")
+    outside = rows.where("NOT coalesce(coarse = e_coarse AND fine = e_fine, false)").withColumn("part", F.when(before, F.col("size")).otherwise(0))
     out = inside.unionByName(outside).withColumn("part", F.col("part").cast("long"))
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"), *([F.col("__row").alias(row_col)] if row_col else []))
 

@@ -28,6 +28,17 @@ def test_mix_equals_sql(spark, documents, texts):
     assert got == want
 
 
+def test_noisy_sources_are_cut_as_sql_cuts_them(spark, documents, monkeypatch):
+    """Documents of low weight have large keys: their source ends in a far bucket."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randint(0, 30) + "#" * rng.randint(0, 400), ("a", "b", "c")[i % 3]) for i in range(1500)]
+    got = sorted((r["doc_id"], r["taken"]) for r in mixed(documents(rows)))
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    assert got == sorted((a, e) for a, b, c, d, e in con.execute(mixing.SQL).fetchall())
+
+
 def test_targets_shares_and_caps(spark):
     s = spark.createDataFrame([("a", 10, 1), ("b", 1000, 1), ("c", 1000, 1), (None, 5, 1)], "source string, source_size long, rows long")
     t = {r["source"]: r["target"] for r in mixing.source_targets(s).collect()}
