@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itembank.llm import words
-from itembank.llm.common import by_block, dealt_in_blocks, releasing, small_enough, without, written
+from itembank.llm.common import BROADCAST_IDS, by_block, releasing, small_enough, without, written
 from itembank.llm.graph import connected_components
 
 #: At a Jaccard similarity of 0.8, 42 bands of 6 bins miss a pair with probability (1 - 0.8**6)**42 < 3e-6.
 BANDS, BAND_BINS, BINS = 42, 6, 256
 #: At most so many ids or buckets are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Texts of one centre that one part of a block holds (see dealt_in_blocks).
-BLOCK_ROWS = 1000
+#: Texts and shingles of one centre that a block holds, about; a centre with more has several blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 4_000_000
 
 
 def _donors() -> tuple[np.ndarray, np.ndarray]:
@@ -95,18 +95,22 @@ def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
 
 @releasing
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links that span each block's components, from its full sets.
+    """Links that span each block's components, from its full sets; and (id, null) for members of a block that is a part (`cut`) which aren't in their centre's component there.
 
     The block's first text is compared with all others at once, then each that isn't in one component with all others yet, so a
-    block of near copies takes few steps. Texts of one component aren't compared with each other.
+    block of near copies takes few steps. Texts of one component aren't compared with each other; `known` texts are in one already.
     """
     for block in by_block(batches):
         block = block.combine_chunks().sort_by("id")
         ids, column = block.column("id").to_numpy(), block.column("s").combine_chunks()
+        centre, known, cut = (block.column(c).to_numpy() for c in ("centre", "known", "cut"))
         size = column.value_lengths().to_numpy().astype(np.int64)
         _, shingle = np.unique(column.flatten().to_numpy(), return_inverse=True)
         at = np.concatenate(([0], np.cumsum(size)))
         label, mark, a, b = np.arange(len(ids)), np.zeros(int(shingle.max()) + 1, dtype=bool), [], []
+        for c in np.unique(centre[known]):
+            one = np.flatnonzero(known & (centre == c))
+            label[one] = label[one[0]]
         for o in range(len(ids)):
             other = (label != label[o]) & (100 * np.minimum(size, size[o]) >= percent * np.maximum(size, size[o]))
             if not other.any():
@@ -116,12 +120,52 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             mark[shingle[at[o] : at[o + 1]]] = True
             shared = np.add.reduceat(mark[shingle], at[:-1], dtype=np.int64)
             mark[shingle[at[o] : at[o + 1]]] = False
-            for new in np.unique(label[other & (100 * shared >= percent * (size + size[o] - shared))]):
+            near = other & (100 * shared >= percent * (size + size[o] - shared))
+            for new in np.unique(label[near]):
                 a.append(ids[o])
-                b.append(ids[new])
+                b.append(ids[np.flatnonzero(near & (label == new))[0]])
                 label[label == new] = label[o]
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, dtype=np.int64)), pa.array(np.array(b, dtype=np.int64))], names=["a", "b"])
+        own = np.searchsorted(ids, centre)  # a part holds its centre
+        far = np.flatnonzero(cut & (label != label[np.minimum(own, len(ids) - 1)]))
+        if a or len(far):
+            none = pa.nulls(len(far), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(np.array(a, dtype=np.int64)), pa.array(ids[far])]), pa.concat_arrays([pa.array(np.array(b, dtype=np.int64)), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(centre[far])])], names=["a", "b", "centre"])
+
+
+def _confirmed(spokes: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """a, b: links that span the components of each centre's members (columns centre, id, n).
+
+    A centre with few members is one block. The members of others are dealt over parts, each with the centre. A member that is
+    connected with the centre inside its part is so with all others that are; only those that aren't go on to the other parts. So
+    a group of near copies costs its size, and what isn't near its centre is still compared with all members.
+    """
+    ids = written(spokes.select("id").distinct(), "near-ids")
+    chosen = texts.join(small_enough(ids, BROADCAST_ROWS), "id", "left_semi")
+    sets = chosen.mapInArrow(lambda it: _with_sets(it, shingle_words), "id long, s array<long>")
+
+    def linked(blocks: DataFrame) -> DataFrame:
+        dealt = blocks.join(sets, "id").repartition("block").sortWithinPartitions("block")
+        return written(dealt.select("block", "id", "centre", "known", "cut", "s").mapInArrow(lambda it: _linked(it, percent), "a long, b long, centre long"), "near-links")
+
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    large = written(spokes.groupBy("centre").agg(parts.alias("parts")).where("parts > 1"), "near-large")
+    dealt = spokes.join(small_enough(large, BROADCAST_IDS), "centre", "left").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
+    dealt = dealt.where("parts IS NULL OR id != centre").select("centre", "id", "part", F.col("parts").isNotNull().alias("cut"))
+    centres = large.select("centre", F.col("centre").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("cut"))
+    first = linked(dealt.unionByName(centres).withColumn("known", F.lit(False)).withColumn("block", F.xxhash64("centre", "part")))
+    links, far = first.where("b IS NOT NULL").select("a", "b"), first.where("b IS NULL").select("centre", F.col("a").alias("id"))
+    if far.isEmpty():
+        return links
+    far = written(far.join(large, "centre").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "near-far")
+    lots = written(far.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("lots")), "near-lots")
+    far = far.join(lots, "centre").withColumn("lot", F.pmod(F.xxhash64("id", F.lit(1)), F.col("lots")).cast("int"))
+    beside = far.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("other != part").select("centre", "id", F.col("other").alias("part"), "lot", F.lit(False).alias("known"))
+    members = dealt.where("cut").join(small_enough(lots, BROADCAST_IDS), "centre")
+    near = F.col("f_id").isNull()
+    members = members.join(far.select(F.col("centre").alias("f_centre"), F.col("id").alias("f_id")), F.expr("centre = f_centre AND id = f_id"), "left")
+    members = members.select("centre", "id", "part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), near.alias("known"))
+    second = linked(members.unionByName(beside).withColumn("cut", F.lit(False)).withColumn("block", F.xxhash64("centre", "part", "lot")))
+    return links.unionByName(second.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -133,10 +177,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with the same set become one representative. Representatives that share a band's values are in one bucket, and each
     bucket hands its members to its smallest id: the star's centre. Candidates are these spokes, so they grow with the documents,
-    not with their square. The sets of a centre's members, made from the texts again for candidates alone, come together once, in
-    blocks of bounded size, where they are confirmed in full, centre first; only links that span components leave the task. Every
-    two texts that share a band have a common centre, so none but pairs without a common band are missed (fewer than 3 in a
-    million at the threshold).
+    not with their square. The sets of a centre's members (64-bit hashes of all shingles), made from the texts again for candidates
+    alone, come together in blocks of bounded size, where they are confirmed in full, centre first (_confirmed); only links that
+    span components leave the task. Every two texts that share a band have a common centre, so none but pairs without a common
+    band are missed (fewer than 3 in a million at the threshold).
 
     Nulls: a null text has no shingles; a null id is linked with nothing, has a null component and is kept. Texts without words
     have an empty set and are linked with nothing. Repeated rows: rows with one id are one document. Empty table: no rows.
@@ -153,16 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in_bands = known.join(reps, F.expr("id = rep"), "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
     buckets = in_bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("a"), F.max(F.struct("id", "n")).alias("b"), F.count("*").alias("k"))
     buckets = written(buckets.where("k > 1 AND a.id < b.id").select("bucket", "a", "b", "k"), "near-buckets")
-    of_two = buckets.where(F.expr(f"k = 2 AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")).select(F.col("a.id").alias("centre"), F.explode(F.array("a.id", "b.id")).alias("id"))
-    large = buckets.where("k > 2").select("bucket", F.col("a.id").alias("centre"))
-    of_more = in_bands.join(small_enough(large, BROADCAST_ROWS), "bucket").select("centre", "id")
+    of_two = buckets.where(F.expr(f"k = 2 AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")).select(F.col("a.id").alias("centre"), F.explode(F.array("a", "b")).alias("m")).select("centre", "m.id", "m.n")
+    larger = buckets.where("k > 2").select("bucket", F.col("a.id").alias("centre"))
+    of_more = in_bands.join(small_enough(larger, BROADCAST_ROWS), "bucket").select("centre", "id", "n")
     spokes = written(of_two.unionByName(of_more).distinct(), "near-spokes")
 
-    ids = written(spokes.select("id").distinct(), "near-ids")
-    chosen = texts.join(small_enough(ids, BROADCAST_ROWS), "id", "left_semi")
-    sets = chosen.mapInArrow(lambda it: _with_sets(it, shingle_words), "id long, s array<long>")
-    blocks = dealt_in_blocks(spokes, ["centre"], "id", BLOCK_ROWS).select("block", "id").join(sets, "id").repartition("block").sortWithinPartitions("block")
-    links = written(blocks.mapInArrow(lambda it: _linked(it, percent), "a long, b long").distinct(), "near-links")
+    links = written(_confirmed(spokes, texts, shingle_words, percent).distinct(), "near-confirmed")
     component = connected_components(links, "near-components")
     found = members.join(component, F.expr("rep = node"), "left").withColumn("component_id", F.coalesce("component", "rep", "id"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -91,6 +91,18 @@ def test_large_blocks_are_cut(spark, documents, texts, monkeypatch):
     assert got == roots(range(len(sets)), links)
 
 
+def test_members_that_are_not_near_their_centre_are_compared_with_all(spark, documents, texts, monkeypatch):
+    """One centre for all texts, in parts of four: most members aren't near it, but near each other."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    sets = {i: shingles(t, 2) for i, t in enumerate(texts)}
+    spokes = spark.createDataFrame([(0, i, len(s)) for i, s in sets.items() if s], "centre long, id long, n long")
+    table = documents([(i, t, "s") for i, t in enumerate(texts)]).select(F.col("doc_id").alias("id"), "text")
+    links = [(r["a"], r["b"]) for r in near_dedup._confirmed(spokes, table, 2, 80).collect()]
+    near = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    assert all(near(sets[a], sets[b]) for a, b in links)
+    assert roots(sets, links) == roots(sets, [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
+
+
 def test_empty_tables(spark, documents):
     none = documents([(1, "x", "s")]).where("false")
     assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_exact_copies(none).count() == 0
