@@ -19,7 +19,7 @@ TYPE_LABELS = {
     "解答题": "解答题",
 }
 #: Order of sections when a practice is made; other types follow as they come.
-SECTION_ORDER = ["选择题", "多选题", "填空题", "实验题", "计算题", "简答题", "论述题", "综合题", "解答题", "未知题型"]
+SECTION_ORDER = ["选择题", "多选题", "填空题", "实验题", "计算题", "解答题", "简答题", "论述题", "综合题", "未知题型"]
 #: Difficulty bands and the names of the five levels.
 BANDS = {"easy": [1, 2], "medium": [3], "hard": [4, 5]}
 LEVELS = {1: "易", 2: "较易", 3: "中等", 4: "较难", 5: "难"}

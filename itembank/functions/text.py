@@ -101,19 +101,13 @@ def unfenced(text: Column) -> Column:
 
 
 def clean_up(text: Column) -> Column:
-    """Known reading errors mended: page footers, runs of empty lines, blanks at line ends, replacement marks, full-width signs."""
+    """Known reading errors mended: page footers, runs of empty lines, blanks at line ends; replacement marks and boxes go, full-width minus and equals signs become ASCII ones."""
     t = text
     for pattern in FOOTERS:
         t = F.regexp_replace(t, pattern, "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    t = F.regexp_replace(t, r"(?m)[ \t]+$", "")
-    t = F.translate(t, GARBLED + "□﹣＝", "")
-    return strip(t)
-
-
-def clean_up_signs(text: Column) -> Column:
-    """clean_up with full-width minus and equals signs kept as ASCII ones."""
-    return clean_up(F.translate(text, "﹣＝", "-="))
+    t = F.regexp_replace(t, r"(?md)[ \t]+$", "")
+    return strip(F.translate(t, "﹣＝" + GARBLED + "□", "-="))
 
 
 def problems(content: Column, options: Column) -> Column:
@@ -219,3 +213,91 @@ def asset_urls(content: Column, document: Column, base: str = "/api/ocr-assets")
 def set_attributes(attrs: Column) -> Column:
     """A map of paragraph attributes without those that are null, zero, false, empty or the default alignment."""
     return F.map_filter(attrs, lambda k, v: v.isNotNull() & ~v.isin("", "0", "false") & ~((k == "textAlign") & (v == "left")))
+
+
+#: A picture with its text and address; fences of formulas.
+PICTURE = r"!\[([^\]]*)\]\(([^)]+)\)"
+BLOCK_FORMULA, INLINE_FORMULA = r"(?s)\$\$(.+?)\$\$|\\\[(.+?)\\\]", r"(?<!\\)\$(?!\$)([^$\n]+?)\$|(?s)\\\((.+?)\\\)"
+#: The style of pictures in full texts, previews and options.
+FULL_STYLE = "max-width:min(100%, 400px);max-height:300px;height:auto;margin:4px 0;border-radius:4px;"
+PREVIEW_STYLE = "max-width:100px;max-height:70px;margin:2px;border-radius:3px;vertical-align:middle;"
+OPTION_STYLE = "max-height:40px;vertical-align:middle;margin:0 4px;border-radius:3px;"
+#: Light mark-up and what it becomes in a full text, in this order.
+MARKDOWN = ((r"\*\*(.+?)\*\*", "<b>$1</b>"), (r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "<i>$1</i>"), (r"(?m)^#### (.+)$", "<h5>$1</h5>"), (r"(?m)^### (.+)$", "<h4>$1</h4>"), (r"(?m)^## (.+)$", "<h3>$1</h3>"), (r"(?m)^# (.+)$", "<h2>$1</h2>"), (r"(?m)^- (.+)$", "<li>$1</li>"), (r"(?m)^\d+\. (.+)$", "<li>$1</li>"))
+
+
+def _picture(style: str) -> str:
+    return f'<img src="$2" alt="$1" style="{style}" loading="lazy" />'
+
+
+def _formulas(text: Column) -> Column:
+    """Formulas as elements that a typesetter fills; the typesetting itself isn't data processing."""
+    text = F.regexp_replace(text, BLOCK_FORMULA, '<span class="math block">$1$2</span>')
+    return F.regexp_replace(text, INLINE_FORMULA, '<span class="math">$1$2</span>')
+
+
+def rendered_full(text: Column, pictures: int | None = 20, empty: str = "") -> Column:
+    """A text as HTML: formulas, at most so many pictures (None: none), emphasis, headings, list items, line breaks."""
+    html = _formulas(F.coalesce(text, F.lit("")))
+    if pictures is None:
+        html = F.regexp_replace(html, PICTURE, "")
+    else:
+        parts, found = F.split(html, PICTURE, -1), F.regexp_extract_all(html, F.lit(f"({PICTURE})"), F.lit(1))
+        shown = F.transform(found, lambda p, i: F.when(i < pictures, F.regexp_replace(p, PICTURE, _picture(FULL_STYLE))).otherwise(""))
+        html = F.array_join(F.zip_with(parts, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    for pattern, to in MARKDOWN:
+        html = F.regexp_replace(html, pattern, to)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(empty)).otherwise(F.replace(html, F.lit("\n"), F.lit("<br>")))
+
+
+def rendered_preview(text: Column, n: int = 150) -> Column:
+    """At most n characters without mark-up, and the pictures as thumbnails below."""
+    t = F.coalesce(text, F.lit(""))
+    thumbs = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(f"({PICTURE})"), F.lit(1)), lambda p: F.regexp_replace(p, PICTURE, _picture(PREVIEW_STYLE))), "")
+    plain = F.regexp_replace(F.regexp_replace(t, PICTURE, ""), r"(?s)\$\$\s*(.+?)\s*\$\$", "[$1]")
+    plain = F.regexp_replace(plain, r"(?<!\\)\$(?!\$)[ \t]*([^$\n]+?)[ \t]*\$", "$1")
+    for pattern, to in ((MARKDOWN[0][0], "$1"), (MARKDOWN[1][0], "$1"), (r"(?m)^#{1,4}\s+", "")):
+        plain = F.regexp_replace(plain, pattern, to)
+    plain = F.when(F.length(plain) > n, F.concat(F.left(plain, F.lit(n)), F.lit("..."))).otherwise(plain)
+    return F.concat(plain, F.when(thumbs != "", F.concat(F.lit('<div style="margin-top:4px;">'), thumbs, F.lit("</div>"))).otherwise(""))
+
+
+def rendered_option(text: Column) -> Column:
+    """An option's formulas, and its pictures in the line."""
+    return F.regexp_replace(_formulas(F.coalesce(text, F.lit(""))), PICTURE, _picture(OPTION_STYLE))
+
+
+OPTION = "array<struct<label: string, content: string>>"
+
+
+def normal_options(options: Column) -> Column:
+    """label, content of each item of a JSON array: objects as they are, texts under the letter of their place; other items go. What is no array gives null."""
+    items = F.from_json(options, "array<variant>")
+
+    def one(item: Column, i: Column) -> Column:
+        letter = F.char(F.lit(65) + i)
+        kind = F.schema_of_variant(item)
+        given = F.struct(F.coalesce(F.try_variant_get(item, "$.label", "string"), letter).alias("label"), F.coalesce(F.try_variant_get(item, "$.content", "string"), F.lit("")).alias("content"))
+        said = F.struct(letter.alias("label"), F.try_variant_get(item, "$", "string").alias("content"))
+        return F.when(F.startswith(kind, F.lit("OBJECT")), given).when(kind == "STRING", said)
+
+    return F.array_compact(F.transform(items, one)).cast(OPTION)
+
+
+#: Dots of an inch of screen and page, and lengths of an inch and a centimetre in units of a page.
+DPI, INCH, CENTIMETRE = 96, 914_400, 360_000
+#: The tallest picture that fits, and the tallest of all, in centimetres.
+FIT_HEIGHT, MOST_HEIGHT = 8, 24
+
+
+def page_units(pixels: Column) -> Column:
+    return F.floor(pixels.cast("long") * INCH / DPI).cast("long")
+
+
+def fitted_width(width: Column, height: Column, room: int) -> Column:
+    """Width of a picture of this size in pixels on a page: at most half of the room, no taller than FIT_HEIGHT; null where it stays as it is."""
+    w, h = page_units(width), page_units(height)
+    cap, fit, most = room // 2, FIT_HEIGHT * CENTIMETRE, MOST_HEIGHT * CENTIMETRE
+    lower = F.when(h > fit, F.floor(w * fit / h)).otherwise(w)
+    lower = F.when(h > most, F.least(lower, F.floor(lower * most / h))).otherwise(lower).cast("long")
+    return F.when(lower >= cap, F.lit(cap).cast("long")).when(lower != w, lower)

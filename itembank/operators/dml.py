@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itembank.session import checkpointed
+
 #: Which job states may follow which.
 TRANSITIONS = [("queued", "running"), ("queued", "cancelled"), ("running", "success"), ("running", "failed"), ("running", "cancelled"), ("failed", "queued")]
 
@@ -57,15 +59,33 @@ def cascade(parent: DataFrame, children: Sequence[tuple[DataFrame, str, str]], g
     return out
 
 
-def without_subtree(tags: DataFrame, root: object, depth: int = 8) -> DataFrame:
-    """Tags without one tag and all below it, level by level down to a depth that trees of tags don't exceed."""
-    level = gone = tags.where(F.col("id") == root).select(F.col("id").alias("gone_key"))
-    for _ in range(depth):
-        level = tags.join(level, F.col("parent_id") == F.col("gone_key")).select(F.col("id").alias("gone_key"))
-        gone = gone.unionByName(level)
+def without_subtree(tags: DataFrame, root: object) -> DataFrame:
+    """Tags without one tag and all below it, level by level until a level is empty, each written out before the next; a tag that is its own ancestor ends its branch. The driver sees whether a level is empty, no more."""
+    level = gone = checkpointed(tags.where(F.col("id") == root).select(F.col("id").alias("gone_key")))
+    while not level.isEmpty():
+        below = tags.join(level, F.col("parent_id") == F.col("gone_key")).select(F.col("id").alias("below_key")).distinct()
+        level = checkpointed(below.join(gone, F.col("below_key") == F.col("gone_key"), "left_anti").withColumnRenamed("below_key", "gone_key"))
+        gone = checkpointed(gone.unionByName(level))
     return tags.join(gone, F.col("id") == F.col("gone_key"), "left_anti")
 
 
+def deleted(table: DataFrame, chosen: Column) -> tuple[DataFrame, DataFrame]:
+    """The table without chosen rows (a null choice keeps a row), and one row that counts the deleted ones."""
+    gone = F.coalesce(chosen, F.lit(False))
+    return table.where(~gone), table.agg(F.count_if(gone).alias("deleted"))
+
+
+def get_or_create(table: DataFrame, default: DataFrame, *order: str) -> DataFrame:
+    """The first row of the table in the given order, or the default row where the table has none."""
+    both = table.withColumn("__made", F.lit(1)).unionByName(default.withColumn("__made", F.lit(2)))
+    return both.orderBy("__made", *order).limit(1).drop("__made")
+
+
+def evolved(table: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """The table with new columns and their defaults; columns that it has already stay as they are."""
+    return table.select("*", *[value.alias(name) for name, value in columns.items() if name not in table.columns])
+
+
 def transitions(log: DataFrame, job: str, status: str, *order: str, allowed: Sequence[tuple[str, str]] = tuple(TRANSITIONS)) -> DataFrame:
     """Every event with the state before it and whether it may follow."""
     before = F.lag(status).over(Window.partitionBy(job).orderBy(*order))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from itembank.functions.text import numbers_with_units
+from itembank.functions.text import numbers_with_units, review_score, unit_warnings
 
 
 def with_heading(rows: DataFrame, parent: str, at: Sequence[str], is_heading: Column, value: str) -> DataFrame:
@@ -127,6 +127,41 @@ def answer_blocks(lines: DataFrame, parent: str, order: str, text: str) -> DataF
     return blocks.withColumn("answer", F.coalesce(mark, choice)).withColumn("rn", first).where("rn = 1").drop("rn", "block")
 
 
+#: A line that opens a question, and one that is a page header.
+ANCHOR = r"^\s*(?:[（(]\s*多选\s*[）)])?\s*(\d{1,2})\s*(?:[．、：，,]|\.(?!\d))\s*(?:[（(]\s*\d+\s*分\s*[）)])?"
+HEADER = r"^\s*第\s*\d+\s*页"
+
+
+def candidate_anchors(lines: DataFrame, by: Sequence[str], y: str, text: str) -> DataFrame:
+    """Lines that may open a question: number 1 to 99, no page headers; of lines with one number at the same height (2 digits) one."""
+    number = F.regexp_extract(text, ANCHOR, 1)
+    found = lines.where(~F.regexp_like(text, F.lit(HEADER)) & (number != "")).withColumn("number", number.cast("int")).where("number BETWEEN 1 AND 99")
+    place = [*by, "number", F.round(y, 2).alias("at")]
+    return found.select(*place, F.col(y).alias("y"), F.trim(text).alias("line")).groupBy(*by, "number", "at").agg(F.min(F.struct("y", "line")).alias("f")).select(*by, "number", "f.y", "f.line")
+
+
+def with_answers(questions: DataFrame, answers: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Every question with the answer of its number; questions without one keep nulls."""
+    own = answers.select(*by, *[c for c in answers.columns if c not in (*by, *questions.columns)])
+    return questions.join(own, list(by), "left")
+
+
+def fused(readings: DataFrame, by: str, native: str, other: str, native_score: Column, confidence: Column, least: float = 0.85) -> DataFrame:
+    """by, conflicts, warnings, formula_lines, review_score, needs_review of two readings of each key.
+
+    Numbers are compared only where both readings have text and the other one has a confidence; warnings and lines with marks of
+    lost formulas are those of the native text, or of the other one where it is empty.
+    """
+    base = readings.select(F.col(by), F.coalesce(F.col(native), F.lit("")).alias("a"), F.coalesce(F.col(other), F.lit("")).alias("b"), native_score.alias("score"), confidence.alias("confidence"))
+    both = base.where("a != '' AND b != '' AND confidence IS NOT NULL")
+    conflicts = unit_conflicts(both, by, "a", "b").where("conflict").groupBy(by).agg(F.count("*").cast("int").alias("conflicts"))
+    text = F.when(F.col("a") != "", F.col("a")).otherwise(F.col("b"))
+    lines = F.size(F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit("[\ufffd□]"))))
+    out = base.withColumn("warnings", F.size(unit_warnings(text))).withColumn("formula_lines", lines).drop("a", "b").join(conflicts, by, "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
+    out = out.withColumn("review_score", review_score(F.col("score"), F.col("confidence"), F.col("conflicts") > 0, F.col("warnings")))
+    return out.select(by, "conflicts", "warnings", "formula_lines", "review_score", ((F.col("review_score") < least) | (F.col("conflicts") > 0)).alias("needs_review"))
+
+
 def zipped(inputs: DataFrame, results: DataFrame, by: str, items: str, found: str) -> DataFrame:
     """Array items beside the results at the same place; a short list of results leaves nulls."""
     a = inputs.select(by, F.posexplode(items).alias("at", "item"))

@@ -7,6 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A question number in a page's text; words that open the answers.
+NUMBERED = r"(?:[（(]\s*多选\s*[）)])?\s*(\d{1,2})\s*[.．、]\s*(?:[（(]\s*\d+\s*分\s*[）)])?"
+ANSWER_MARKERS = ("参考答案与试题解析", "参考答案", "答案与解析", "试题解析")
+
 
 def counts_by(df: DataFrame, column: str, missing: str = "(无)") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(column), F.lit(missing)).alias("value")).agg(F.count("*").alias("n"))
@@ -42,11 +46,39 @@ def picked(df: DataFrame, by: Sequence[str], quota: int, *order: Column | str, t
 
 
 def gaps(rows: DataFrame, parent: str, number: str) -> DataFrame:
-    """Per parent: the largest number, how many there are, which are missing from 1 on, and whether none is. Numbers of one parent are bounded."""
-    found = F.array_sort(F.collect_set(number))
-    out = rows.groupBy(parent).agg(F.max(number).alias("expected"), found.alias("found"))
-    missing = F.array_except(F.sequence(F.lit(1), F.col("expected")), "found")
-    return out.select(parent, "expected", F.size("found").alias("n_found"), F.array_join(missing, ",").alias("missing"), (F.size(missing) == 0).alias("contiguous"))
+    """Per parent: the largest number, how many there are, which are missing from 1 on (3 or 5-9), and whether none is. An outlier makes one range, not an array of its size."""
+    found = rows.select(parent, number).where(F.col(number).isNotNull()).distinct()
+    before = F.coalesce(F.lag(number).over(Window.partitionBy(parent).orderBy(number)), F.lit(0))
+    lo, hi = before + 1, F.col(number) - 1
+    gap = F.when(hi == lo, lo.cast("string")).when(hi > lo, F.concat_ws("-", lo.cast("string"), hi.cast("string")))
+    gaps = found.withColumn("gap", F.when(gap.isNotNull(), F.struct(F.col(number).alias("at"), gap.alias("text"))))
+    missing = F.array_join(F.transform(F.array_sort(F.collect_list("gap")), lambda g: g["text"]), ",")
+    out = gaps.groupBy(parent).agg(F.max(number).alias("expected"), F.count("*").cast("int").alias("n_found"), missing.alias("missing"))
+    return out.withColumn("contiguous", F.col("missing") == "")
+
+
+def has_repeats(values: Column) -> Column:
+    """Whether an array holds a value twice."""
+    return F.size(values) != F.size(F.array_distinct(values))
+
+
+def page_inspections(pages: DataFrame, by: str, page: str, text: str, markers: Sequence[str]) -> DataFrame:
+    """Per page: its characters, replacement marks, the question numbers it names, whether it holds answers, and whether it needs another reading."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    marks = F.length(t) - F.length(F.replace(t, F.lit("\ufffd"), F.lit("")))
+    answers = F.lit(False)
+    for m in markers:
+        answers = answers | F.contains(t, F.lit(m))
+    numbers = F.transform(F.regexp_extract_all(t, F.lit(NUMBERED), F.lit(1)), lambda n: n.cast("int"))
+    return pages.select(by, page, F.length(t).alias("chars"), marks.alias("replaced"), numbers.alias("numbers"), answers.alias("is_answer"), ((F.length(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")) < 20) | (marks >= 3)).alias("needs_ocr"))
+
+
+def answer_boundaries(inspected: DataFrame, by: str, page: str) -> DataFrame:
+    """Per document: its pages, the first page with answers, and the pages of questions before it (all where there is none)."""
+    first = F.min(F.when(F.col("is_answer"), F.col(page)))
+    out = inspected.groupBy(by).agg(F.count("*").alias("pages"), first.alias("answer_start"))
+    before = inspected.join(out, by).groupBy(by).agg(F.count_if(F.col("answer_start").isNull() | (F.col(page) < F.col("answer_start"))).alias("question_pages"))
+    return out.join(before, by)
 
 
 def broken_links(texts: DataFrame, files: DataFrame, pattern: str) -> DataFrame:

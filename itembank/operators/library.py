@@ -47,6 +47,26 @@ class Filter:
         return reduce(lambda a, b: a & b, parts)
 
 
+def only(df: DataFrame, **wanted: str | Sequence[str] | None) -> DataFrame:
+    """Rows whose columns have the wanted value, or one of several; empty conditions are off."""
+    for name, value in wanted.items():
+        if value:
+            df = df.where(F.col(name) == value if isinstance(value, str) else F.col(name).isin(list(value)))
+    return df
+
+
+def shuffled(df: DataFrame, seed: int, id_col: str = "id") -> DataFrame:
+    """The rows in a random order that the seed fixes, whatever the partitions."""
+    return df.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(id_col).cast("string"))), id_col)
+
+
+def choices(fixed: Sequence[str], found: DataFrame, column: str) -> DataFrame:
+    """One row, `choices`: fixed values in their order, then those found beside them, by name. A column of few distinct values."""
+    own = found.where(present(F.col(column))).agg(F.array_sort(F.collect_set(column)).alias("found"))
+    known = F.array(*[F.lit(x) for x in fixed]).cast("array<string>")
+    return own.select(F.array_union(known, "found").alias("choices"), F.array_except("found", known).alias("added"))
+
+
 def live(questions: DataFrame) -> DataFrame:
     return questions.where(~F.col("is_deleted"))
 

@@ -159,3 +159,13 @@ def page_settings(practices: DataFrame, stored: str = "page_config", has_layout:
     keys = F.coalesce(F.map_keys(config), F.array().cast("array<string>"))
     value = lambda k: F.when(F.array_contains(keys, k), F.try_element_at(config, F.lit(k))).otherwise(F.when(F.col(has_layout), CURRENT[k]).otherwise(LEGACY[k])).alias(k)
     return practices.select("practice", *[value(k) for k in LEGACY])
+
+
+def numbered_blocks(blocks: DataFrame, questions: DataFrame, by: str, position: str, type_col: str, ref: str) -> DataFrame:
+    """Layout blocks in order: titles with their place among titles, questions joined to their snapshot (columns other than by and ref) with their number; references that no snapshot answers are skipped."""
+    snaps = questions.select(F.col(by).alias("q_by"), F.col(ref).alias("q_ref"), *[c for c in questions.columns if c not in (by, ref)])
+    is_ref = F.col(type_col) == "question_ref"
+    out = blocks.join(snaps, is_ref & (F.col(by) == F.col("q_by")) & (F.col(ref) == F.col("q_ref")), "left").where(~is_ref | F.col("q_ref").isNotNull())
+    run = Window.partitionBy(by).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda cond: F.when(cond, F.sum(F.when(cond, 1).otherwise(0)).over(run)).cast("int")
+    return out.withColumn("number", count(is_ref)).withColumn("title_number", count(F.col(type_col) == "subtitle")).drop("q_by", "q_ref")

@@ -86,12 +86,12 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return E.token_agreement(r.select("key", "native"), r.select("key", "other"), "key", tokens("native"), tokens("other"))
 
 
-UNITS = "['V','A','W','J','N','Pa','Hz','kg','g','mg','m','cm','mm','km','mL','L','s','h','min']"
+MEASURED = "SELECT key, native || ' 长 ' || (key % 3) || ' cm，' || (key % 2) || '.5 kg/m3' AS native, other || ' 长 ' || (key % 4) || 'cm ' || (key % 5) || ' N' AS other FROM readings"
 
 
-@query("unit_conflicts", f"""WITH {READINGS},
-t AS (SELECT key, 1 AS side, unnest(regexp_extract_all(native, '([0-9]+(?:[.．][0-9]+)?)\\s*([A-Za-z0-9Ω℃³²/%]{{0,8}})')) AS m FROM readings
-      UNION ALL SELECT key, 2, unnest(regexp_extract_all(other, '([0-9]+(?:[.．][0-9]+)?)\\s*([A-Za-z0-9Ω℃³²/%]{{0,8}})')) FROM readings),
+@query("unit_conflicts", f"""WITH {READINGS}, measured AS ({MEASURED}),
+t AS (SELECT key, 1 AS side, unnest(regexp_extract_all(native, '([0-9]+(?:[.．][0-9]+)?)\\s*([A-Za-z0-9Ω℃³²/%]{{0,8}})')) AS m FROM measured
+      UNION ALL SELECT key, 2, unnest(regexp_extract_all(other, '([0-9]+(?:[.．][0-9]+)?)\\s*([A-Za-z0-9Ω℃³²/%]{{0,8}})')) FROM measured),
 u AS (SELECT key, side, replace(regexp_extract(m, '^([0-9]+(?:[.．][0-9]+)?)', 1), '．', '.') AS number,
   regexp_extract(m, '^[0-9]+(?:[.．][0-9]+)?\\s*([A-Za-z0-9Ω℃³²/%]{{0,8}})', 1) AS raw FROM t),
 v AS (SELECT key, side, number, CASE raw WHEN 'kg/m3' THEN 'kg/m³' WHEN 'g/cm3' THEN 'g/cm³' WHEN 'm3' THEN 'm³' WHEN 'cm3' THEN 'cm³' WHEN 'm2' THEN 'm²' WHEN 'cm2' THEN 'cm²' WHEN 'm/s2' THEN 'm/s²' ELSE raw END AS unit FROM u),
@@ -101,7 +101,9 @@ SELECT key, unit, array_to_string(a, ',') AS native_numbers, array_to_string(b,
   len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0 AND len(list_filter(b, lambda x: NOT list_contains(a, x))) > 0 AS conflict
 FROM s WHERE a IS NOT NULL AND b IS NOT NULL""")
 def unit_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    out = E.unit_conflicts(_readings(spark, d), "key", "native", "other")
+    k = lambda n: (F.col("key") % n).cast("string")
+    r = _readings(spark, d).withColumn("native", F.concat("native", F.lit(" 长 "), k(3), F.lit(" cm，"), k(2), F.lit(".5 kg/m3"))).withColumn("other", F.concat("other", F.lit(" 长 "), k(4), F.lit("cm "), k(5), F.lit(" N")))
+    out = E.unit_conflicts(r, "key", "native", "other")
     return out.select("key", "unit", F.array_join("native_numbers", ",").alias("native_numbers"), F.array_join("other_numbers", ",").alias("other_numbers"), "conflict")
 
 
@@ -119,20 +121,20 @@ def fusion_verdict(spark: SparkSession, d: str) -> DataFrame:
 @query("native_quality", r"""
 SELECT doc_id AS id, CASE WHEN t = '' THEN 0.0::DOUBLE ELSE round(greatest(0.0::DOUBLE, 1.0::DOUBLE - least(0.45::DOUBLE, (length(t) - length(replace(replace(t, '%', ''), '$', ''))) * 0.08::DOUBLE)
   - CASE WHEN regexp_matches(t, '^\s*' || (doc_id % 30 + 1) || '\s*[.．、]') THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END - CASE WHEN length(t) < 12 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END), 4) END AS quality
-FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE CASE WHEN doc_id % 2 = 0 THEN (doc_id % 30 + 1) || '. ' ELSE '' END || left(text, 1 + doc_id % 60) END AS t FROM documents)""")
+FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE CASE WHEN doc_id % 2 = 0 THEN (doc_id % 30 + 1) || '. ' ELSE '' END || text END AS t FROM documents)""")
 def native_quality(spark: SparkSession, d: str) -> DataFrame:
     q = T.questions(spark, d)
     lead = F.when(F.col("id") % 2 == 0, F.concat(F.col("question_number").cast("string"), F.lit(". "))).otherwise("")
-    t = F.when(F.col("id") % 9 == 0, "").otherwise(F.concat(lead, F.left("content", (F.col("id") % 60 + 1).cast("int"))))
+    t = F.when(F.col("id") % 9 == 0, "").otherwise(F.concat(lead, "content"))
     return q.select("id", X.native_quality(F.translate(t, "%$", "□□"), F.col("question_number")).alias("quality"))
 
 
 @query("cleanup_text", r"""
-SELECT doc_id AS id, md5(trim(replace(replace(regexp_replace(regexp_replace(text || '□ 第 3 页', '第\s*\d+\s*页', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '□', ''), '＝', '='), ' ' || chr(10) || chr(9))) AS cleaned
-FROM documents WHERE NOT regexp_matches(text, '[ \t]\n')""")
+SELECT doc_id AS id, md5(trim(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(replace(text, '. ', '. ' || chr(9) || chr(10)) || '□ 2﹣1＝1 第 3 页', '第\s*\d+\s*页', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '�', ''), '□', ''), '﹣', '-'), '＝', '='), ' ' || chr(10) || chr(9))) AS cleaned
+FROM documents""")
 def cleanup_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = T.table(spark, d, "documents").where(~F.col("text").rlike(r"[ \t]\n"))
-    return docs.select(F.col("doc_id").alias("id"), F.md5(X.clean_up_signs(F.concat("text", F.lit("□ 第 3 页")))).alias("cleaned"))
+    text = F.concat(F.replace("text", F.lit(". "), F.lit(". \t\n")), F.lit("□ 2﹣1＝1 第 3 页"))
+    return T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(X.clean_up(text)).alias("cleaned"))
 
 
 @query("problem_severity", r"""
@@ -168,12 +170,12 @@ def type_correction(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("source_selection", """
-WITH s AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN '���' || left(text, 9) ELSE left(text, 20) END AS native, CASE WHEN doc_id % 7 <> 0 THEN substr(text, 5, 20) END AS ocr, (doc_id % 10) / 10.0::DOUBLE AS score FROM documents)
-SELECT id, CASE WHEN contains(native, '���') AND coalesce(ocr, '') <> '' THEN ocr WHEN native <> '' AND score >= 0.7 THEN native WHEN coalesce(ocr, '') <> '' THEN ocr ELSE native END AS selected FROM s""")
+WITH s AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN '' WHEN doc_id % 5 = 1 THEN '���' || text ELSE text END AS native, CASE WHEN doc_id % 7 <> 0 THEN 'read: ' || text END AS ocr, (doc_id % 10) / 10.0::DOUBLE AS score FROM documents)
+SELECT id, CASE WHEN length(native) - length(replace(native, '�', '')) >= 3 AND coalesce(ocr, '') <> '' THEN ocr WHEN native <> '' AND score >= 0.7 THEN native WHEN coalesce(ocr, '') <> '' THEN ocr ELSE native END AS selected FROM s""")
 def source_selection(spark: SparkSession, d: str) -> DataFrame:
     i, t = F.col("doc_id"), F.col("text")
-    native = F.when(i % 5 == 0, "").when(i % 5 == 1, F.concat(F.lit(X.GARBLED * 3), F.substring(t, 1, 9))).otherwise(F.substring(t, 1, 20))
-    return T.table(spark, d, "documents").select(i.alias("id"), X.selected_text(native, F.when(i % 7 != 0, F.substring(t, 5, 20)), (i % 10) / 10.0).alias("selected"))
+    native = F.when(i % 5 == 0, "").when(i % 5 == 1, F.concat(F.lit(X.GARBLED * 3), t)).otherwise(t)
+    return T.table(spark, d, "documents").select(i.alias("id"), X.selected_text(native, F.when(i % 7 != 0, F.concat(F.lit("read: "), t)), (i % 10) / 10.0).alias("selected"))
 
 
 @query("sanitize_html")
@@ -186,14 +188,19 @@ def parse_options(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat((F.col("doc_id") % 30 + 1).cast("string"), F.lit(". (3 分) "), "text", F.lit("\nA. 1\nB. 2\nC. "), F.substring("text", 1, 10))
     p = rich.parsed_question(F.regexp_replace(text, r"\(3 分\)", "（3 分）"))
     out = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), p.alias("p"))
-    return out.select("id", "p.score", F.length("p.stem").alias("stem_chars"), F.array_join(F.transform("p.options", lambda o: F.concat(o["label"], F.lit("="), F.coalesce(o["content"], F.lit("")))), ";").alias("options"))
+    return out.select("id", "p.score", "p.stem", F.array_join(F.transform("p.options", lambda o: F.concat(o["label"], F.lit("="), F.coalesce(o["content"], F.lit("")))), ";").alias("options"))
 
 
-@query("strip_options", r"SELECT doc_id AS id, md5(trim(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))) AS body FROM documents WHERE NOT regexp_matches(text, '(?m)^\s*[AB][. ．]')")
+@query("strip_options", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text || chr(10) || 'A. 1' || chr(10) || chr(10) || 'B．2' || chr(10) || 'end', chr(10))) AS line, generate_subscripts(string_split(text || chr(10) || 'A. 1' || chr(10) || chr(10) || 'B．2' || chr(10) || 'end', chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM l),
+o AS (SELECT *, t = '选项' OR starts_with(t, 'A.') OR starts_with(t, 'A ') OR starts_with(t, 'A．') OR starts_with(t, 'B.') OR starts_with(t, 'B ') OR starts_with(t, 'B．') AS option FROM k),
+s AS (SELECT *, last_value(CASE WHEN option THEN 1 WHEN t <> '' THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside FROM o)
+SELECT doc_id AS id, md5(regexp_replace(trim(string_agg(line, chr(10) ORDER BY i), ' ' || chr(10) || chr(9)), '\n{3,}', chr(10) || chr(10), 'g')) AS body
+FROM s WHERE NOT option AND (t <> '' OR coalesce(inside, 0) = 0) GROUP BY 1""")
 def strip_options(spark: SparkSession, d: str) -> DataFrame:
-    docs = T.table(spark, d, "documents").where(~F.col("text").rlike(r"(?m)^\s*[AB][. ．]"))
-    text = F.concat("text", F.lit("\nA. 1\nB．2\n"))
-    return docs.select(F.col("doc_id").alias("id"), F.md5(rich.body_without_options(text, F.lit('[{"label":"A"},{"label":"B"}]'))).alias("body"))
+    text = F.concat("text", F.lit("\nA. 1\n\nB．2\nend"))
+    return T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(rich.body_without_options(text, F.lit('[{"label":"A"},{"label":"B"}]'))).alias("body"))
 
 
 @query("math_segments")
@@ -237,7 +244,7 @@ def doc_validate(spark: SparkSession, d: str) -> DataFrame:
 @query("doc_html")
 def doc_html(spark: SparkSession, d: str) -> DataFrame:
     q = T.questions(spark, d).select("id", "question_number", rich.to_document("content", F.lit(None).cast("string"), "question_type")["doc"].alias("doc"))
-    return q.select("id", F.length(rich.rendered("doc", F.concat(F.col("question_number").cast("string"), F.lit(". ")))).alias("html_chars"))
+    return q.select("id", rich.rendered("doc", F.concat(F.col("question_number").cast("string"), F.lit(". "))).alias("html"))
 
 
 @query("anchor_sequence")

@@ -157,7 +157,7 @@ def _region_tags(spark: SparkSession, d: str) -> DataFrame:
 def tags_without_subtree(spark: SparkSession, d: str) -> DataFrame:
     from itembank.operators.dml import without_subtree
 
-    return without_subtree(_region_tags(spark, d), "r1", depth=2).select("id", "name")
+    return without_subtree(_region_tags(spark, d), "r1").select("id", "name")
 
 
 @query("first_wins", """

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -18,6 +18,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return builder.getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame written to spark.checkpoint.dir, as a cut in its lineage; only local sessions without that setting get a folder of their own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-shared-"))
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each context, as spark-submit --py-files would."""
     context = spark.sparkContext

@@ -132,9 +132,9 @@ def test_content_is_joined_in_order(spark):
 
 
 def test_gaps(spark):
-    rows = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("b", 1)], "p string, n int")
+    rows = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("b", 1), ("c", 2_000_000_000), ("c", 7)], "p string, n int")
     got = {r["p"]: (r["missing"], r["contiguous"]) for r in I.gaps(rows, "p", "n").collect()}
-    assert got == {"a": ("2", False), "b": ("", True)}
+    assert got == {"a": ("2", False), "b": ("", True), "c": ("1-6,8-1999999999", False)}
 
 
 def test_heading_is_strictly_before(spark):
@@ -206,7 +206,7 @@ def test_upsert_is_null_safe(spark):
 
 def test_texts(spark):
     row = spark.createDataFrame([(r"a \(x\) ![p](u) **b** [l](v)" + "\n c", "sk-1234567890abcdef", "short", "第 3 页 x□  \n\n\n\ny ﹣1")], "t string, k string, s string, c string")
-    r = row.select(X.snippet(F.col("t")).alias("a"), X.mask_key(F.col("k")).alias("b"), X.mask_key(F.col("s")).alias("c"), X.clean_up_signs(F.col("c")).alias("d"), ordinal(F.lit(3)).alias("e"), ordinal(F.lit(13)).alias("f"), X.clean_css(F.lit("color: red; position: fixed; font-size: url(x); margin-top:4px")).alias("g"), X.plain_number(F.lit(2.5)).alias("h"), X.unfenced(F.lit("```json\n{}\n```")).alias("i"), X.escape_html(F.lit("<a&'>")).alias("j")).first()
+    r = row.select(X.snippet(F.col("t")).alias("a"), X.mask_key(F.col("k")).alias("b"), X.mask_key(F.col("s")).alias("c"), X.clean_up(F.col("c")).alias("d"), ordinal(F.lit(3)).alias("e"), ordinal(F.lit(13)).alias("f"), X.clean_css(F.lit("color: red; position: fixed; font-size: url(x); margin-top:4px")).alias("g"), X.plain_number(F.lit(2.5)).alias("h"), X.unfenced(F.lit("```json\n{}\n```")).alias("i"), X.escape_html(F.lit("<a&'>")).alias("j")).first()
     assert tuple(r) == ("a x p b l c", "sk-1****cdef", None, "x\n\ny -1", "三", "13", "color: red; margin-top: 4px", "2.5", "{}\n", "&lt;a&amp;&#x27;&gt;")
 
 
