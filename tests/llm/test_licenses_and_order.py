@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -18,16 +19,33 @@ def grams(text):
 
 def brute(text):
     text = text or ""
-    units = [*text.split("\n"), *[p for p in __import__("re").split(r"\n[ \t]*\n", text) if "\n" in p]]
+    apart, sentences = re.split(r"\n[ \t]*\n", text), re.split(r"[.!?][ \t\n\r\f]+", text)
+    units = [*text.split("\n"), *([p for p in apart if "\n" in p] + [text] if len(apart) > 1 else []), *(sentences if len(sentences) > 1 else [])]
     found = []
     for i, u in enumerate(units):
         a = grams(u)
         for name, t in licenses.TEMPLATES.items():
             b = grams(t)
-            d = round(2 * len(a & b) / (len(a) + len(b)), 4) if a else 0
+            d = 2 * len(a & b) / (len(a) + len(b)) if a else 0
             if d >= licenses.LEAST:
                 found.append((-d, i, name))
-    return ",".join(sorted({n for _, _, n in found})), min(found)[2] if found else None, -min(found)[0] if found else 0.0, min(found)[1] if found else None, len(units)
+    return ",".join(sorted({n for _, _, n in found})), min(found)[2] if found else None, round(-min(found)[0], 4) if found else 0.0, min(found)[1] if found else None, text.count("\n") + 1
+
+
+PROBES = {"Some text here. Released under the MIT License. Thanks to all": "MIT short", "Copyright 2020 Foo. All rights reserved.": "Proprietary", "MIT License": "MIT name", "# SPDX-License-Identifier: GPL-3.0-or-later": "SPDX GPL-3.0-or-later", "as said in\nthe paper. Licensed under\nCC BY 4.0. See more": "CC-BY", (licenses.TEMPLATES["Apache-2.0"] + "\n\n") * 6: "Apache-2.0", "It is said. This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser\nGeneral Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\ncode": "LGPL"}
+
+
+@pytest.mark.parametrize("text", sorted(PROBES))
+def test_notices_inside_other_text(spark, documents, text):
+    assert PROBES[text] in licenses.scan_licenses(documents([(1, text, "s")])).first()["licenses"]
+
+
+def test_cues_lose_no_match():
+    """Any text with the least share of a template's bigrams has a cue."""
+    cues = {*licenses._cues(licenses.TEMPLATES, 0.8)}
+    for t in licenses.TEMPLATES.values():
+        b = grams(t)
+        assert 3 * sum(not cues & {*g} for g in b) < 2 * len(b), t  # a match has two thirds of the bigrams
 
 
 def test_scan_equals_brute_force(spark, documents):
@@ -39,7 +57,7 @@ def test_scan_equals_brute_force(spark, documents):
     want = {i: brute(x) for i, x, _ in rows}
     assert len(got) == len(rows)
     for r in got:
-        assert (r["licenses"], r["best_license"], r["best_dice"], r["unit"], r["n_units"]) == want[r["doc_id"]], r["doc_id"]
+        assert (r["licenses"], r["best_license"], r["best_dice"], r["unit"], r["n_lines"]) == want[r["doc_id"]], r["doc_id"]
     assert licenses.query(documents(rows).where("false")).count() == 0
 
 
