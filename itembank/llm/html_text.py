@@ -7,7 +7,10 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -16,26 +19,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import small_enough, written
+from itembank.llm.common import releasing, small_enough, written
 
 #: Hosts whose partial wrappers a task holds before it hands them on.
 HELD_HOSTS = 2000
-#: At most so many hosts' rules are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Partial wrappers of a host are merged in so many groups first.
+SALTS = 256
+#: At most so many hosts' rules, and bytes of them, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 #: A container whose text is the same on so many pages, and on half of the host's, is a notice rather than text, unless this share of the text would go.
 SAME_PAGES, SAME_SHARE = 5, 0.2
 #: Share of the text that a container must hold for the search to go down into it; share of link text from which a slot is a menu.
 DOWN, LINKS = 0.7, 0.6
-LONGEST_GROUP = 4
+#: Shares of a page's text from which a named main part, and a form or a vaguely named element, can't be boilerplate.
+MAIN_SHARE, MOST_SHARE = 0.25, 0.5
+#: Lists of items are aligned cell by cell up to so many cells; longer ones between the items that both have once.
+ALIGN_CELLS = 40_000
+#: Longer element keys are cut and given a digest of the whole.
+KEY_CHARS = 80
 
 #: Elements and class words.
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select|math"
+RAW = "script|style|noscript|template|svg|iframe|object|canvas|textarea|select"
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 DROP_TAGS = set("head title nav footer aside form menu dialog button fieldset".split())
-DROP_WORDS = set("nav navbar navigation menu menubar sidebar aside footer masthead banner ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations comment comments reply replies respond disqus breadcrumb breadcrumbs pagination pager search toolbar widget copyright legal disclaimer hidden skip".split())
+#: Names that say what an element is.
+DROP_WORDS = set("nav navbar navigation menu menubar sidebar footer masthead banner ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal newsletter signup login comment comments reply replies disqus breadcrumb breadcrumbs pagination pager hidden".split())
+#: Names that are often given to parts of a text as well: these only count where the host's pages don't tell.
+VAGUE_WORDS = set("aside promo promotion notice notices notification alert overlay subscribe subscription share sharing social related recommended recommendations respond search toolbar widget copyright legal disclaimer skip".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Parts of running text: a constant one is text of the article, not a notice.
 PROSE = set("p h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th thead tbody tfoot caption figcaption pre blockquote summary".split())
@@ -47,33 +60,37 @@ DIGITS, WORDS = re.compile(r"\d+"), re.compile(r"[a-z]+")
 
 
 class Node:
-    """A block element: its key, whether its name marks it as boilerplate, and texts and children in order; links: characters in links."""
+    """A block element: its key, whether its name marks it as boilerplate (2, or 1 for a vague name), and texts and children in order; links: characters in links."""
 
     __slots__ = ("tag", "key", "drop", "main", "items", "links")
 
-    def __init__(self, tag: str, key: str, drop: bool, main: bool) -> None:
+    def __init__(self, tag: str, key: str, drop: int, main: bool) -> None:
         self.tag, self.key, self.drop, self.main, self.items, self.links = tag, key, drop, main, [], 0
 
 
-_kinds: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_kinds: dict[tuple[str, str], tuple[str, int, bool]] = {}
 
 
-def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
+def _kind(tag: str, attrs: str) -> tuple[str, int, bool]:
     """Key, boilerplate by name, main text by name of an element."""
     known = _kinds.get((tag, attrs))
     if known is None:
-        name, drop, main = [], tag in DROP_TAGS, tag in ("article", "main")
+        name, drop, main = [], 2 if tag in DROP_TAGS else 0, tag in ("article", "main")
         for m in ATTR.finditer(attrs):
             what, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             found = set(WORDS.findall(DIGITS.sub(" ", value)))
             if what == "role":
-                drop, main = drop or value in DROP_ROLES, main or value == "main"
+                drop, main = 2 if value in DROP_ROLES else drop, main or value == "main"
             elif what in ("hidden", "aria-hidden"):
-                drop = drop or (value != "false" if what == "hidden" else value == "true")
+                drop = 2 if (value != "false" if what == "hidden" else value == "true") else drop
             else:
                 name.append(DIGITS.sub("0", value))
-                drop, main = drop or bool(found & DROP_WORDS), main or bool(found & TEXT_WORDS)
-        known = ".".join([tag, *name])[:80], drop, main
+                drop = max(drop, 2 if found & DROP_WORDS else 1 if found & VAGUE_WORDS and not found & TEXT_WORDS else 0)
+                main = main or bool(found & TEXT_WORDS)
+        key = ".".join([tag, *name])
+        if len(key) > KEY_CHARS:
+            key = key[:KEY_CHARS] + "~" + hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+        known = key, drop, main
         if len(_kinds) > 50_000:
             _kinds.clear()
         _kinds[tag, attrs] = known
@@ -82,7 +99,7 @@ def _kind(tag: str, attrs: str) -> tuple[str, bool, bool]:
 
 def parse(page: str) -> Node:
     """The page's tree of block elements. Unclosed and stray tags are mended as browsers do for paragraphs, lists and tables."""
-    root = Node("", "", False, False)
+    root = Node("", "", 0, False)
     stack, link = [root], 0
     for m in TOKEN.finditer(page):
         tag = m[3] or m[6]
@@ -124,305 +141,394 @@ def parse(page: str) -> Node:
                     break
         node = Node(tag, *_kind(tag, m[4] or m[7] or ""))
         if node.drop and tag in ("html", "body", "article", "main"):  # a theme's class on the whole page doesn't drop it
-            node.drop = bool({"comment", "comments", "reply"} & set(WORDS.findall(node.key))) and tag == "article"
-        if node.drop:  # a key of its own: roles and hidden aren't in the key, and neither is the end of a long name
-            node.key += "!"
+            node.drop = 2 if tag == "article" and {"comment", "comments", "reply"} & set(WORDS.findall(node.key)) else 0
         stack[-1].items.append(node)
         if tag not in VOID:
             stack.append(node)
+    _guarded(root)
     return root
 
 
+def _preorder(root: Node) -> list[Node]:
+    """The element and all below it, parents first, in page order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack += [x for x in reversed(node.items) if not isinstance(x, str)]
+    return out
+
+
+def _runs(node: Node) -> Iterator[str | Node]:
+    """The node's texts, white space as one space, and children in order."""
+    texts: list[str] = []
+    for x in [*node.items, None]:
+        if isinstance(x, str):
+            texts.append(x)
+            continue
+        if text := " ".join("".join(texts).split()):
+            yield text
+        texts.clear()
+        if x is not None:
+            yield x
+
+
+def _guarded(root: Node) -> None:
+    """What holds the page's main part isn't boilerplate, whatever its name; nor is a form or a vaguely named element that holds most of the text. Boilerplate gets keys of its own."""
+    nodes = _preorder(root)
+    mass: dict[Node, int] = {}
+    inside: dict[Node, int] = {}  # the largest named main part
+    for node in reversed(nodes):
+        c, best = -node.links, 0
+        for x in _runs(node):
+            if isinstance(x, str):
+                c += len(x)
+            else:
+                c += 0 if x.drop == 2 else mass[x]
+                best = max(best, inside[x])
+        mass[node], inside[node] = c, max(best, c if node.main and node.drop < 2 else 0)
+    total = max(1, sum(len(x) for node in nodes for x in _runs(node) if isinstance(x, str)) - sum(node.links for node in nodes))
+    for node in nodes:
+        if node.drop and (inside[node] >= MAIN_SHARE * total or (node.drop == 1 or node.tag == "form") and mass[node] >= MOST_SHARE * total):
+            node.drop = 0
+        node.key += ("", "?", "!")[node.drop]
+
+
 # A wrapper is a dict: k its key ("#" a text slot, "()" a repeated group), n pages, c characters, l those in links, t the text if it is
 # always the same, d and m boilerplate and main text by name, o optional, r repeated, i its items in order.
 
 
 def _merge_into(a: dict[str, Any], b: dict[str, Any], pages: bool = True) -> dict[str, Any]:
-    a["n"] = a["n"] + b["n"] if pages else max(a["n"], b["n"])
-    a["c"] += b["c"]
-    a["l"] += b["l"]
-    a["o"] |= b["o"]
-    a["r"] |= b["r"]
-    if a["t"] != b["t"]:
-        a["t"] = None
-    a["i"] = _align(a["i"], b["i"], pages)
+    """One wrapper for the pages of both (pages), or for two of the same page's elements."""
+    work = [(a, b, pages)]
+    while work:
+        x, y, pages = work.pop()
+        x["n"] = x["n"] + y["n"] if pages else max(x["n"], y["n"])
+        x["c"] += y["c"]
+        x["l"] += y["l"]
+        x["o"] |= y["o"]
+        x["r"] |= y["r"]
+        if x["t"] != y["t"]:
+            x["t"] = None
+        x["i"] = _align(x["i"], y["i"], pages, work)
     return a
 
 
-def _align(a: list[dict[str, Any]], b: list[dict[str, Any]], pages: bool) -> list[dict[str, Any]]:
-    """The items of two token streams as one: equal keys are merged in a longest common subsequence, mismatches become optional."""
-    ka, kb = [x["k"] for x in a], [x["k"] for x in b]
-    if ka == kb:
-        return [_merge_into(x, y, pages) for x, y in zip(a, b)]
-    best = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1, j], best[i, j + 1])
+def _pairs(ka: list[str], kb: list[str]) -> list[tuple[int, int]]:
+    """Places of equal keys in a common subsequence: the longest one, or that of the keys which both have once with the longest ones between them."""
+    lo = 0
+    while lo < min(len(ka), len(kb)) and ka[lo] == kb[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(ka), len(kb)) - lo and ka[-1 - hi] == kb[-1 - hi]:
+        hi += 1
+    n, m = len(ka) - lo - hi, len(kb) - lo - hi
+    head, tail = [(i, i) for i in range(lo)], [(len(ka) - hi + i, len(kb) - hi + i) for i in range(hi)]
+    if not n or not m:
+        return head + tail
+    if n * m <= ALIGN_CELLS:
+        best = np.zeros((n + 1, m + 1), dtype=np.int32)
+        same = np.array(ka[lo : lo + n], dtype=object)[:, None] == np.array(kb[lo : lo + m], dtype=object)[None, :]
+        for i in range(n - 1, -1, -1):  # along a row, a cell is the largest of what lies below it and what matches from it on
+            best[i, :m] = np.maximum(best[i + 1, :m], np.where(same[i], best[i + 1, 1:] + 1, 0))
+            best[i] = np.maximum.accumulate(best[i, ::-1])[::-1]
+        out, i, j = [], 0, 0
+        while i < n and j < m:
+            if same[i, j]:
+                out.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1, j] >= best[i, j + 1]:
+                i += 1
+            else:
+                j += 1
+        return head + out + tail
+    a, b = Counter(ka[lo : lo + n]), Counter(kb[lo : lo + m])
+    at = {k: lo + j for j, k in enumerate(kb[lo : lo + m]) if b[k] == 1 and a[k] == 1}
+    ends: list[int] = []
+    chain: list[tuple[int, int, int]] = []  # place in a, place in b, the one before
+    last: list[int] = []
+    for i in range(lo, lo + n):
+        if ka[i] in at:
+            k = bisect_left(ends, at[ka[i]])
+            chain.append((i, at[ka[i]], last[k - 1] if k else -1))
+            ends[k : k + 1], last[k : k + 1] = [at[ka[i]]], [len(chain) - 1]
+    anchors, k = [], last[-1] if last else -1
+    while k >= 0:
+        anchors.append(chain[k][:2])
+        k = chain[k][2]
+    out, i, j = [], lo, lo
+    for x, y in [*anchors[::-1], (lo + n, lo + m)]:
+        if x > i and y > j and (x - i) * (y - j) <= ALIGN_CELLS:
+            out += [(i + p, j + q) for p, q in _pairs(ka[i:x], kb[j:y])]
+        if x < lo + n:
+            out.append((x, y))
+        i, j = x + 1, y + 1
+    return head + out + tail
+
+
+def _align(a: list[dict[str, Any]], b: list[dict[str, Any]], pages: bool, work: list[Any]) -> list[dict[str, Any]]:
+    """The items of two token streams as one: equal keys of a common subsequence are to be merged (work), mismatches become optional."""
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and ka[i] == kb[j]:
-            out.append(_merge_into(a[i], b[j], pages))
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1, j] >= best[i, j + 1]:
-            out.append(a[i] | {"o": True})
-            i += 1
-        else:
-            out.append(b[j] | {"o": True})
-            j += 1
-    return _folded(out, pages)
-
-
-def _folded(items: list[dict[str, Any]], pages: bool = False) -> list[dict[str, Any]]:
-    """With runs of equal items, and of equal groups of items, as one repeated item."""
-    out: list[dict[str, Any]] = []
-    keys, i = [x["k"] for x in items], 0
-    while i < len(items):
-        for p in range(1, LONGEST_GROUP + 1):
-            times = 1
+    for x, y in [*_pairs([x["k"] for x in a], [y["k"] for y in b]), (len(a), len(b))]:
+        out += [z | {"o": True} for z in a[i:x]] + [z | {"o": True} for z in b[j:y]]
+        if x < len(a):
+            work.append((a[x], b[y], pages))
+            out.append(a[x])
+        i, j = x + 1, y + 1
+    return _folded(out, pages, work) if len(out) > len(a) or len(out) > len(b) else out
+
+
+def _folded(items: list[dict[str, Any]], pages: bool, work: list[Any]) -> list[dict[str, Any]]:
+    """With runs of equal items, and then of equal groups of items of any length, as one repeated item; their parts are to be merged (work)."""
+    for groups in (False, True):
+        out: list[dict[str, Any]] = []
+        keys, i = [x["k"] for x in items], 0
+        again = {}  # the next place with the same key
+        follows = [len(keys)] * len(keys)
+        for k in range(len(keys) - 1, -1, -1):
+            follows[k] = again.get(keys[k], len(keys))
+            again[keys[k]] = k
+        while i < len(items):
+            p, times = follows[i] - i if groups else 1, 1
             while i + (times + 1) * p <= len(items) and keys[i + times * p : i + (times + 1) * p] == keys[i : i + p]:
                 times += 1
-            if times > 1:
-                group = items[i : i + p]
-                for t in range(1, times):
-                    group = [_merge_into(x, y, pages) for x, y in zip(group, items[i + t * p : i + (t + 1) * p])]
-                node = group[0] if p == 1 else {"k": "(" + " ".join(keys[i : i + p]) + ")", "n": group[0]["n"], "c": 0, "l": 0, "t": None, "d": False, "m": False, "o": False, "r": True, "i": group}
-                node["r"] = True
-                out.append(node)
-                i += times * p
-                break
-        else:
-            out.append(items[i])
-            i += 1
-    return out
+            if times == 1:
+                out.append(items[i])
+                i += 1
+                continue
+            group = items[i : i + p]
+            for t in range(1, times):
+                work += [(x, y, pages) for x, y in zip(group, items[i + t * p : i + (t + 1) * p])]
+            node = group[0] if p == 1 else {"k": "(" + " ".join(keys[i : i + p]) + ")", "n": group[0]["n"], "c": 0, "l": 0, "t": None, "d": 0, "m": False, "o": False, "r": True, "i": group}
+            node["r"] = True
+            out.append(node)
+            i += times * p
+        items = out
+    return items
 
 
 def _shown(text: str) -> str:
     """A slot's text as wrappers hold it."""
-    return text if len(text) < 300 else text[:280] + str(zlib.crc32(text.encode()))
+    return text if len(text) < 300 else text[:280] + str(zlib.crc32(text.encode("utf-8", "surrogatepass")))
 
 
-def wrapper_of(node: Node) -> dict[str, Any]:
+def wrapper_of(root: Node) -> dict[str, Any]:
     """The wrapper that one page alone gives."""
-    items: list[dict[str, Any]] = []
-    texts: list[str] = []
+    made: dict[Node, dict[str, Any]] = {}
+    for node in reversed(_preorder(root)):
+        items = [{"k": "#", "n": 1, "c": len(x), "l": 0, "t": _shown(x), "d": 0, "m": False, "o": False, "r": False, "i": []} if isinstance(x, str) else made.pop(x) for x in _runs(node)]
+        work: list[Any] = []
+        items = _folded(items, False, work)
+        for x, y, _ in work:
+            _merge_into(x, y, False)
+        made[node] = {"k": node.key, "n": 1, "c": 0, "l": node.links, "t": None, "d": node.drop, "m": node.main, "o": False, "r": False, "i": items}
+    return made[root]
 
-    def close() -> None:
-        text = " ".join("".join(texts).split())
-        if text:
-            items.append({"k": "#", "n": 1, "c": len(text), "l": 0, "t": _shown(text), "d": False, "m": False, "o": False, "r": False, "i": []})
-        texts.clear()
 
-    for x in node.items:
-        if isinstance(x, str):
-            texts.append(x)
-        else:
-            close()
-            items.append(wrapper_of(x))
-    close()
-    return {"k": node.key, "n": 1, "c": 0, "l": node.links, "t": None, "d": node.drop, "m": node.main, "o": False, "r": False, "i": _folded(items)}
+FIELDS = ("k", "n", "c", "l", "t", "d", "m", "o", "r")
 
 
-def _inner(w: dict[str, Any], path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], dict[str, Any]]]:
-    """Items with their paths of element keys; groups are looked through."""
-    for x in w["i"]:
-        if x["k"].startswith("("):
-            yield from _inner(x, path)
-        else:
-            yield (*path, x["k"]), x
+def dumps(w: dict[str, Any]) -> str:
+    """The wrapper as JSON without nesting: each item in preorder, with the number of its items."""
+    out, stack = [], [w]
+    while stack:
+        x = stack.pop()
+        out.append([*(x[f] for f in FIELDS), len(x["i"])])
+        stack += reversed(x["i"])
+    return json.dumps(out)
 
 
-def _mass(w: dict[str, Any]) -> tuple[int, int]:
-    """Characters of text and of link text that aren't inside boilerplate."""
-    c, links = w["c"], w["l"]
-    for _, x in _inner(w):
-        if not x["d"]:
-            a, b = _mass(x)
-            c, links = c + a, links + b
-    return c, links
+def loads(text: str) -> dict[str, Any]:
+    root: dict[str, Any] = {"i": []}
+    open_ = [(root, 1)]
+    for row in json.loads(text):
+        while len(open_[-1][0]["i"]) == open_[-1][1]:
+            open_.pop()
+        x = dict(zip(FIELDS, row)) | {"i": []}
+        open_[-1][0]["i"].append(x)
+        open_.append((x, row[-1]))
+    return root["i"][0]
 
 
-def _digest(texts: list[str]) -> str:
-    return hashlib.blake2b("\n".join(texts).encode(), digest_size=8).hexdigest()
+#: A list of texts as a polynomial of their hashes, so that lists are joined in one step: value and number of texts.
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+Texts = tuple[int, int]
 
 
-def _constant(w: dict[str, Any]) -> list[str] | None:
-    """The element's texts in order where they are the same on all pages that have it."""
-    out: list[str] = []
-    for x in w["i"]:
-        if x["k"] == "#":
-            if x["t"] is None or x["o"]:
-                return None
-            out.append(x["t"])
-        elif not x["d"] and _mass(x)[0]:
-            inner = None if x["o"] or x["r"] else _constant(x)
-            if inner is None:
-                return None
-            out += inner
-    return out
+def _text_hash(text: str) -> Texts:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little"), 1
 
 
-def _texts_of(node: Node) -> list[str]:
-    """The same of an element of a page."""
-    out: list[str] = []
-    texts: list[str] = []
+def _joined(a: Texts, b: Texts) -> Texts:
+    return (a[0] * pow(_BASE, b[1], _PRIME) + b[0]) % _PRIME, a[1] + b[1]
 
-    def close() -> None:
-        if text := " ".join("".join(texts).split()):
-            out.append(_shown(text))
-        texts.clear()
 
-    for x in node.items:
-        if isinstance(x, str):
-            texts.append(x)
+@lru_cache(1 << 16)
+def _step(path: int, key: str) -> int:
+    """The number of a path of element keys that goes on by one."""
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=7, salt=path.to_bytes(8, "little")).digest(), "little")
+
+
+def _weigh(w: dict[str, Any]) -> list[tuple[dict[str, Any], int, int]]:
+    """Items, parents first, with their paths (groups are looked through) and their parents' places.
+
+    Each item gets C and L, its characters of text and link text outside boilerplate; T, its texts where they are the same on all
+    pages that have it; g, whether it goes: by its name, or by a vague name that the host's pages don't refute with text of its own.
+    """
+    order: list[tuple[dict[str, Any], int, int]] = []
+    stack = [(w, 0, -1)]
+    while stack:
+        x, path, parent = stack.pop()
+        own = path if x is w or x["k"][:1] == "(" else _step(path, x["k"])
+        order.append((x, own, parent))
+        stack += [(y, own, len(order) - 1) for y in reversed(x["i"])]
+    for x, _, _ in reversed(order):
+        x["C"], x["L"], texts = x["c"], x["l"], (0, 0)
+        if x["k"] == "#":
+            x["T"] = None if x["t"] is None else _text_hash(x["t"])
         else:
-            close()
-            if not x.drop:
-                out.extend(_texts_of(x))
-    close()
-    return out
+            for y in x["i"]:
+                if not y["g"]:
+                    x["C"], x["L"] = x["C"] + y["C"], x["L"] + y["L"]
+                    if y["C"]:
+                        texts = None if texts is None or y["o"] or y["r"] or y["T"] is None else _joined(texts, y["T"])
+            x["T"] = texts
+        told = x["n"] >= SAME_PAGES and x["C"] and x["T"] is None and x["L"] <= LINKS * x["C"]
+        x["g"] = x["d"] == 2 or x["d"] == 1 and not told
+    return order
 
 
 def rules_of(w: dict[str, Any]) -> dict[str, Any]:
-    """root: the path of the main text; below it, menus and headers: paths of which those elements go that are menus, or headers
-    without a title, themselves; same: paths and digests of the notices' texts. Siblings share paths, so no path alone drops anything."""
-    total = max(1, _mass(w)[0])
-    named: list[tuple[int, int, int, tuple[str, ...]]] = []
-
-    def look(node: dict[str, Any], path: tuple[str, ...]) -> None:
-        for p, x in _inner(node, path):
-            if x["d"] or x["k"] == "#":
-                continue
-            if x["m"]:
-                tag = x["k"].split(".")[0]
-                mass = _mass(x)[0]
-                if mass * 4 >= total:
-                    named.append((0 if tag == "article" else 1 if tag == "main" else 2, len(p), -mass, p))
-            look(x, p)
-
-    look(w, ())
-    node, root = w, ()
+    """Numbers of paths: root, that of the main text; below it, menus and headers: paths of which those elements go that are menus, or
+    headers without a title, themselves; same: paths and the notices' texts; kept: vaguely named elements that hold texts of their own.
+    Siblings share paths, so no path alone drops anything."""
+    order = _weigh(w)
+    total, pages = max(1, w["C"]), max(1, w["n"])
+    gone = [False] * len(order)  # the item or one above it goes
+    depth = [0] * len(order)
+    titled = [False] * len(order)
+    for k, (x, _, parent) in enumerate(order):
+        if parent >= 0:
+            gone[k] = gone[parent] or x["g"]
+            depth[k] = depth[parent] + 1
+    for k in range(len(order) - 1, 0, -1):
+        if titled[k] or order[k][0]["k"].split(".")[0] == "h1":
+            titled[order[k][2]] = True
+    tag = [x["k"].split(".")[0].rstrip("?!") for x, _, _ in order]
+    named = [(0 if tag[k] == "article" else 1 if tag[k] == "main" else 2, depth[k], -x["C"], k) for k, (x, _, _) in enumerate(order) if x["m"] and not gone[k] and x["C"] >= MAIN_SHARE * total]
+    inside: list[list[int]] = [[] for _ in order]
+    for k, (x, _, parent) in enumerate(order):
+        if parent >= 0:
+            above = parent
+            while order[above][0]["k"][:1] == "(":
+                above = order[above][2]
+            if x["k"] != "#" and x["k"][:1] != "(":
+                inside[above].append(k)
+    at = 0
     if named:
-        root = min(named)[3]
+        at = min(named)[3]
     else:
-        while True:
-            inside = [(_mass(x)[0], p, x) for p, x in _inner(node, root) if not x["d"] and x["k"] != "#"]
-            if not inside or max(m for m, _, _ in inside) < DOWN * max(1, _mass(node)[0]) or max(inside, key=lambda v: v[0])[2]["k"].split(".")[0] in ("p", "li", "pre", "td"):
+        while below := [k for k in inside[at] if not gone[k]]:
+            most = max(below, key=lambda k: order[k][0]["C"])
+            title = any((titled[k] or tag[k] == "h1") and order[k][0]["T"] is None for k in below if k != most and tag[k] != "header")
+            if order[most][0]["C"] < max(DOWN * max(1, order[at][0]["C"]), MOST_SHARE * total) or tag[most] in ("p", "li", "pre", "td") or title and pages >= SAME_PAGES:
                 break
-            _, root, node = max(inside, key=lambda v: v[0])
-    nodes = [w]
-    for key in root:
-        nodes = [x for n in nodes for p, x in _inner(n) if p[-1] == key]
-    pages, menus, headers, same, same_mass = max(1, w["n"]), [], [], [], 0
-
-    def below(n: dict[str, Any], path: tuple[str, ...]) -> None:
-        nonlocal same_mass
-        for p, x in _inner(n, path):
-            if x["k"] == "#" or x["d"]:
-                continue
-            mass, links = _mass(x)
-            tag = x["k"].split(".")[0]
-            if tag == "header" and not any(y["k"].startswith("h1") for _, y in _inner(x)):
-                headers.append(p)
-            elif mass and links > LINKS * mass and x["r"] is False and tag in ("ul", "ol", "div", "section", "table"):
-                menus.append(p)
-            elif tag not in PROSE and x["n"] >= SAME_PAGES and 2 * x["n"] >= pages and not x["r"] and (texts := _constant(x)):
-                same.append((p, _digest(texts)))
-                same_mass += mass
-            else:
-                below(x, p)
-
-    for n in nodes:
-        below(n, root)
-    if same_mass > SAME_SHARE * max(1, sum(_mass(n)[0] for n in nodes)):
-        same = []
-    return {"root": list(root), "menus": [list(p) for p in menus], "headers": [list(p) for p in headers], "same": [[list(p), d] for p, d in same]}
+            at = most
+    root = order[at][1]
+    tops = [k for k, (x, path, _) in enumerate(order) if path == root and x["k"][:1] != "(" and x["k"] != "#" and not gone[k]] or [0]
+    menus, headers, same, same_mass = set(), set(), {}, 0
+    stack = [k for top in tops for k in inside[top]]
+    while stack:
+        k = stack.pop()
+        x, path, _ = order[k]
+        if x["g"]:
+            continue
+        if tag[k] == "header" and not titled[k]:
+            headers.add(path)
+        elif x["C"] and x["L"] > LINKS * x["C"] and x["r"] is False and tag[k] in ("ul", "ol", "div", "section", "table"):
+            menus.add(path)
+        elif tag[k] not in PROSE and x["n"] >= SAME_PAGES and 2 * x["n"] >= pages and not x["r"] and x["T"] and x["T"][1]:
+            same[path, x["T"][0]] = None
+            same_mass += x["C"]
+        else:
+            stack += inside[k]
+    if same_mass > SAME_SHARE * max(1, sum(order[k][0]["C"] for k in tops)):
+        same = {}
+    kept = {path for x, path, _ in order if x["d"] == 1 and not x["g"]}
+    return {"root": root, "menus": sorted(menus), "headers": sorted(headers), "same": sorted(map(list, same)), "kept": sorted(kept)}
+
+
+def _matched(root: Node, rule: dict[str, Any]) -> list[str]:
+    """The texts in those slots of the page that the wrapper's rules call main text, as blocks in page order."""
+    nodes = _preorder(root)
+    kept, menus, headers = set(rule["kept"]), set(rule["menus"]), set(rule["headers"])
+    same: dict[int, set[int]] = {}
+    for path, text in rule["same"]:
+        same.setdefault(path, set()).add(text)
+    path: dict[Node, int] = {root: 0}
+    for node in nodes:
+        for x in node.items:
+            if not isinstance(x, str):
+                path[x] = _step(path[node], x.key)
+    goes: dict[Node, bool] = {}  # inside the main part
+    sums: dict[Node, tuple[int, int, Texts]] = {}
+    for node in reversed(nodes):
+        c, links, texts, title = 0, node.links, (0, 0), False
+        for x in _runs(node):
+            if isinstance(x, str):
+                c, texts = c + len(x), _joined(texts, _text_hash(_shown(x))) if same else texts
+            elif not (x.drop == 2 or x.drop == 1 and path[x] not in kept):
+                c, links, texts = c + sums[x][0], links + sums[x][1], _joined(texts, sums[x][2])
+        for x in node.items:
+            title = title or not isinstance(x, str) and x.tag == "h1"
+        sums[node] = c, links, texts
+        own = path[node]
+        goes[node] = node.drop == 2 or node.drop == 1 and own not in kept or own in headers and not title or own in menus and links > LINKS * c or own in same and texts[0] in same[own]
+    out: list[str] = []
+    work: list[tuple[Iterator[str | Node], bool]] = [(_pieces(root), rule["root"] == 0)]
+    dropped = lambda x: x.drop == 2 or x.drop == 1 and path[x] not in kept
+    while work:
+        pieces, taken = work[-1]
+        for x in pieces:
+            if isinstance(x, str):
+                if taken:
+                    out.append(x)
+            elif not (goes[x] if taken else dropped(x)):
+                work.append((_pieces(x), taken or path[x] == rule["root"]))
+                break
+        else:
+            work.pop()
+    return out
 
 
-def _chars(node: Node) -> tuple[int, int]:
-    """Characters of text and of link text of an element of a page, as _mass counts them."""
-    c, links = 0, node.links
+def _pieces(node: Node) -> Iterator[str | Node]:
+    """The node's blocks of text, with character references decoded, and children in order."""
     texts: list[str] = []
     for x in [*node.items, None]:
         if isinstance(x, str):
             texts.append(x)
             continue
-        c += len(" ".join("".join(texts).split()))
-        texts.clear()
-        if x is not None and not x.drop:
-            a, b = _chars(x)
-            c, links = c + a, links + b
-    return c, links
-
-
-def _told(rule: dict[str, Any]) -> dict[tuple[str, ...], tuple[bool, bool, set[str]]]:
-    """For each path that a rule has: whether menus go there, headers without a title, and notices of which digests."""
-    out: dict[tuple[str, ...], tuple[bool, bool, set[str]]] = {}
-    menus, headers = {tuple(p) for p in rule["menus"]}, {tuple(p) for p in rule["headers"]}
-    for p in menus | headers | {tuple(p) for p, _ in rule["same"]}:
-        out[p] = p in menus, p in headers, {d for q, d in rule["same"] if tuple(q) == p}
-    return out
-
-
-def _goes(node: Node, told: tuple[bool, bool, set[str]]) -> bool:
-    """Whether an element at a path that has rules is itself what they drop."""
-    menus, headers, same = told
-    if headers and not any(not isinstance(x, str) and x.tag == "h1" for x in node.items):
-        return True
-    if menus:
-        c, links = _chars(node)
-        if links > LINKS * c:
-            return True
-    return bool(same) and _digest(_texts_of(node)) in same
-
-
-def _blocks(node: Node, path: tuple[str, ...], drop: dict[tuple[str, ...], tuple[bool, bool, set[str]]], out: list[str]) -> None:
-    texts: list[str] = []
-
-    def close() -> None:
         if text := " ".join(html.unescape("".join(texts)).split()):
-            out.append(text)
+            yield text
         texts.clear()
-
-    for x in node.items:
-        if isinstance(x, str):
-            texts.append(x)
-        else:
-            close()
-            p = (*path, x.key)
-            if not x.drop and not (p in drop and _goes(x, drop[p])):
-                _blocks(x, p, drop, out)
-    close()
-
-
-def _at(node: Node, root: list[str]) -> list[Node]:
-    """The nodes that the path leads to, in page order."""
-    found = [node]
-    for key in root:
-        found = [x for n in found for x in n.items if not isinstance(x, str) and x.key == key and not x.drop]
-    return found
+        if x is not None:
+            yield x
 
 
 def main_text(page: str, rules: dict[str, Any] | None) -> str:
     """The page's blocks by its host's rules, or by those that the page alone gives where the host's lead nowhere."""
     tree = parse(page)
-    for rule in (rules, None):
-        if rule is None:
-            rule = rules_of(wrapper_of(tree))
-        out: list[str] = []
-        drop = _told(rule)
-        for node in _at(tree, rule["root"]):
-            _blocks(node, tuple(rule["root"]), drop, out)
-        if out:
-            return "\n".join(out)
-    return ""
+    out = _matched(tree, rules) if rules else []
+    return "\n".join(out or _matched(tree, rules_of(wrapper_of(tree))))
 
 
+@releasing
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A wrapper for each host, of the pages that this task has seen."""
     held: dict[str, dict[str, Any]] = {}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w) for w in held.values()])], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -434,19 +540,21 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _merged(frame: pd.DataFrame) -> pd.DataFrame:
-    ws = [json.loads(w) for w in sorted(frame["wrapper"])]
+def _merged(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
+    ws = [loads(w) for w in sorted(frame["wrapper"])]
     while len(ws) > 1:
         ws = [_merge_into(*ws[i : i + 2]) if i + 1 < len(ws) else ws[i] for i in range(0, len(ws), 2)]
-    return pd.DataFrame({"host": [frame["host"].iloc[0]], "rules": [json.dumps(rules_of(ws[0]))]})
+    return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(rules_of(ws[0])) if last else dumps(ws[0])]})
 
 
 def host_rules(pages: DataFrame) -> DataFrame:
-    """host, rules. Every page takes part; each task hands on one wrapper for each host it has seen, so a host with a third of all pages gathers as many rows as there are tasks."""
-    partial = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_partial, "host string, wrapper string")
-    return partial.groupBy("host").applyInPandas(_merged, "host string, rules string")
+    """host, rules. Every page takes part; each task hands on one wrapper for each host it has seen; a host's wrappers are merged in SALTS groups and then into one, so that no task merges those of all tasks."""
+    partial = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_partial, "host string, wrapper string").withColumn("salt", F.spark_partition_id() % SALTS)
+    some = partial.groupBy("host", "salt").applyInPandas(lambda frame: _merged(frame, False), "host string, wrapper string")
+    return some.groupBy("host").applyInPandas(lambda frame: _merged(frame, True), "host string, wrapper string").withColumnRenamed("wrapper", "rules")
 
 
+@releasing
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rules: dict[str, Any] = {}
     for batch in batches:
@@ -464,10 +572,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One row per row of pages: id, url, text, n_chars.
 
     The pages of a host are aligned token stream by token stream into one union-free regular expression: what all have stays, what
-    some lack becomes optional, runs become repeated groups, texts become slots. On it the main text's path and the boilerplate
-    below it are found by names, share of links and containers whose text never changes; of elements that share a path only those go
-    that are menus or notices themselves. Pages are read twice and never shuffled, unless
-    there are more hosts than BROADCAST_ROWS.
+    some lack becomes optional, runs become repeated groups, texts become slots. Slots whose text never changes, and those of links,
+    are boilerplate; those with texts of their own are main text, and vague names (widget, related, promo) then don't count: they
+    only decide where a host has too few pages. Plain names (nav, footer, ad, comments) mark boilerplate that changes, unless it
+    holds the main part. Each page's stream is then matched with its host's wrapper and its main slots are read; of elements that
+    share a path only those go that are menus or notices themselves. Pages are read twice and never shuffled, unless there are more
+    hosts than BROADCAST_ROWS or bytes of rules than BROADCAST_BYTES. No step recurses, so depth is no limit.
 
     Blocks are joined by one line feed; inside a block, white space is one space and character references are decoded.
 
@@ -477,8 +587,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     rules = written(host_rules(rows), "html-rules")
+    size = rules.agg(F.coalesce(F.sum(F.octet_length("rules")), F.lit(0))).first()[0]
     kinds = dict(rows.dtypes)
-    out = rows.join(small_enough(rules, BROADCAST_ROWS), "host", "left").select("id", "url", "html", "rules").mapInArrow(_texts, f"id {kinds['id']}, url {kinds['url']}, text string")
+    out = rows.join(small_enough(rules, BROADCAST_ROWS) if size <= BROADCAST_BYTES else rules, "host", "left").select("id", "url", "html", "rules").mapInArrow(_texts, f"id {kinds['id']}, url {kinds['url']}, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
 

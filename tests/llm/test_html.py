@@ -80,3 +80,63 @@ def test_one_constant_or_linked_element_leaves_its_siblings():
     assert H.main_text(heads[4], merged(heads)).split("\n")[1:] == ["Title 4"]
     hidden = [f"<main><div hidden>secret {i}</div><p>{'own ' * 30}</p><div>text {i} {'more ' * 9}</div></main>" for i in range(8)]
     assert H.main_text(hidden[5], merged(hidden)).split("\n")[1:] == ["text 5" + " more" * 9]
+
+
+def own(i, n=4):
+    return "".join(f"<p>{'own ' * 30}{i} {k}</p>" for k in range(n))
+
+
+def words_of(i, n=4):
+    return [f"{'own ' * 30}{i} {k}" for k in range(n)]
+
+
+def test_deep_and_wide_pages(spark):
+    deep = "<article>" + "<div>" * 20_000 + "deep" + "</div>x" * 20_000
+    wide = "<body><article>" + "".join(f"<p>one {k}</p><h2>two {k}</h2>" for k in range(15_000)) + "</article></body>"
+    many = ["<article>" + "".join(f"<div class=c{chr(97 + k % 26)}{'x' * (k * (i + 2) % 97)}><p>t {k}</p></div>" for k in range(6000)) + "</article>" for i in range(2)]
+    rows = [(1, "https://a.example", deep), (2, "https://a.example", "<div><p>x</p></div>"), (3, "https://b.example", wide), (4, "https://b.example", wide), (5, "https://c.example", many[0]), (6, "https://c.example", many[1])]
+    got = {r["page_id"]: r["text"] for r in H.query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].startswith("deep\nx") and got[1].count("x") == 20_000 and got[3].count("\n") == 29_999 == got[4].count("\n")
+    assert got[5].split("\n") == [f"t {k}" for k in range(6000)] == got[6].split("\n")
+
+
+def test_wrappers_outlive_their_text_form():
+    w = H.wrapper_of(H.parse("<div>" * 3000 + "<p>a<p>b" + "</div>" * 3000))
+    assert H.dumps(H.loads(H.dumps(w))) == H.dumps(w)
+
+
+def test_names_of_page_builders_do_not_empty_a_page():
+    page = lambda i: f'<body><nav><a href=x>Home</a></nav><div class="elementor-widget"><div class="elementor-widget-container">{own(i)}</div></div></body>'
+    assert H.main_text(page(1), None).split("\n") == words_of(1) == H.main_text(page(1), merged([page(i) for i in range(8)])).split("\n")
+    sides = f'<div class="content has-sidebar"><article>{own(2)}</article><div class=sidebar>menu</div></div>'
+    assert H.main_text(sides, None).split("\n") == words_of(2)
+
+
+def test_a_form_around_the_article():
+    page = f"<form id=x><input name=q><button>Go</button><article>{own(3)}</article></form>"
+    assert H.main_text(page, None).split("\n") == words_of(3)
+    plain = f"<body><form id=aspnet><div>{own(4)}</div></form><form><p>Your mail</p></form></body>"
+    assert H.main_text(plain, None).split("\n") == words_of(4)
+
+
+def test_the_hosts_pages_overrule_vague_names_and_find_unnamed_notices():
+    page = lambda i: f"<article>{own(i)}<div class=promo>{'story ' * 9}{i}</div><div class=zz>Buy now and save</div></article>"
+    alone, by_host = H.main_text(page(5), None).split("\n"), H.main_text(page(5), merged([page(i) for i in range(9)])).split("\n")
+    assert alone == [*words_of(5), "Buy now and save"]
+    assert by_host == [*words_of(5), "story " * 9 + "5"]
+
+
+def test_long_class_lists_stay_apart():
+    same = "a" * 90
+    page = lambda i: f'<article><div class="{same} one">Same words here</div><div class="{same} two">{"text " * 20}{i}</div></article>'
+    assert H.main_text(page(1), merged([page(i) for i in range(8)])) == "text " * 20 + "1"
+
+
+def test_a_headline_beside_the_body():
+    page = lambda i: f"<body><div class=top><h1>Title {i}</h1></div><div class=rest>{own(i)}</div></body>"
+    assert H.main_text(page(2), merged([page(i) for i in range(8)])).split("\n") == ["Title 2", *words_of(2)]
+
+
+def test_groups_of_any_length_repeat():
+    w = H.wrapper_of(H.parse("<div>" + "<h2>a</h2><p>b</p><ul><li>c</ul><table></table><pre>d</pre><hr>" * 3 + "</div>"))
+    assert [(x["k"], x["r"], len(x["i"])) for x in w["i"][0]["i"]] == [("(h2 p ul table pre hr)", True, 6)]
