@@ -14,7 +14,7 @@ NONE = 1 << 30
 #: Code points that can be letters: planes 0 to 3.
 _TOP = 0x40000
 #: Distinct words and entries of states that an automaton remembers; both memories are emptied when full. Longer words (letters) are walked each time.
-CACHE_WORDS, CACHE_ENTRIES, CACHE_LETTERS = 1_000_000, 20_000_000, 256
+CACHE_WORDS, CACHE_ENTRIES, CACHE_LETTERS = 400_000, 4_000_000, 256
 #: More edits than any term allows.
 _FAR = np.uint8(100)
 

@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own in local runs and tests; a cluster without it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -75,6 +77,17 @@ def releasing(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., It
     return run
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """A worker's large object (an encoder, an automaton with its memories), made once; it goes when a task asks for another."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def by_block(batches: Iterator[pa.RecordBatch], key: str = "block") -> Iterator[pa.Table]:
     """The rows of each value of an integer column, for rows that come sorted by it."""
     held: list[pa.Table] = []

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itembank.llm import words
-from itembank.llm.common import releasing, written
+from itembank.llm.common import held, releasing, written
 
 CAPACITY = 4096
 #: Pieces of at least a sixteenth of a sequence are long; they form this many groups of equal cardinality.
@@ -23,7 +23,7 @@ LONG_SHARE, GROUPS = 16, 512
 #: Pieces that one packing task takes, about; the last sequences of each task are its only loss against packing all at once.
 SHARD_ROWS = 24_000
 #: Distinct words that a worker remembers the ids of; the memory is emptied when full. Longer ones (bytes) are encoded each time.
-CACHE_WORDS, CACHE_BYTES = 1_000_000, 256
+CACHE_WORDS, CACHE_BYTES = 600_000, 256
 #: Marks that end a word and that the tokenizer always cuts off it.
 TAIL = ".,;:!?%&$*#)(\"]["
 #: Fixed value: Unicode's white space without the separators U+001C to U+001F, which str.split() takes for white space and tokenizers don't.
@@ -196,14 +196,9 @@ class Encoder:
         return [ids[a : b - 1].tobytes() for _, ids, to in self.encoded(pa.array(texts, pa.string()), 0) for a, b in zip(to.tolist(), to[1:].tolist())]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def cut(to: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itembank.llm import words
@@ -16,6 +16,8 @@ from itembank.llm.toxicity import held_out, labelled
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 FIT_ROWS = 8_000
+#: They have at most so many distinct words together (4 bytes each); rows beyond, in the order of that hash, are left out of the fit.
+FIT_WORDS = 50_000_000
 #: Hash buckets of words, bins of each statistic, rank of the factors.
 BUCKETS, BINS, RANK = 1 << 16, 12, 8
 EPOCHS, STEPS, BATCH, RATE, RIDGE = 8, 250, 256, 0.08, 2e-5
@@ -175,7 +177,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches), schema=pa.schema([("id", pa.int64()), ("y", pa.int32()), ("stats", pa.list_(pa.float64())), ("ids", pa.list_(pa.int32()))])).combine_chunks().sort_by("id")
+    kinds = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("stats", pa.list_(pa.float64())), ("ids", pa.list_(pa.int32()))])
+    table = pa.Table.from_batches([pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, kinds.types)], schema=kinds) for b in batches], schema=kinds).combine_chunks().sort_by("id")
     y = table.column("y").to_numpy().astype(np.float64)
     ids = table.column("ids").combine_chunks()
     at = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))) if len(y) else np.zeros(1, dtype=np.int64)
@@ -185,9 +188,13 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(sample: DataFrame) -> Machine:
-    """Learns from id, text, y: a bounded sample. Features are made where the texts are; one task fits, and the driver sees the model alone."""
+    """Learns from id, text, y: a bounded sample (FIT_ROWS, FIT_WORDS). Features are made where the texts are; one task fits, and the driver sees the model alone."""
     rows = written(sample.select("id", "text", "y").mapInArrow(_featured, "id long, y int, stats array<double>, ids array<int>"), "quality-sample")
-    return Machine.loads(rows.repartition(1).mapInArrow(_fitted, "model binary").first()["model"])
+    sizes = rows.groupBy("id").agg(F.sum(F.size("ids")).alias("n")).withColumn("h", F.xxhash64("id"))
+    fits = sizes.withColumn("sum", F.sum("n").over(Window.orderBy("h", "id"))).where(F.col("sum") <= FIT_WORDS).select("id")  # FIT_ROWS numbers at most
+    rows = rows.join(F.broadcast(fits), "id", "left_semi")
+    found = rows.repartition(1).mapInArrow(_fitted, "model binary").first()
+    return Machine.loads(found["model"]) if found else Machine()  # no rows, no task
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:

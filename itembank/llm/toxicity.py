@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from itembank.llm import automata
 from itembank.llm.near_dedup import drop_near_copies
-from itembank.llm.common import WORD, releasing, without, written
+from itembank.llm.common import WORD, held, releasing, without, written
 
 #: At most so many labelled rows are learned from, chosen by a hash of their id.
 FIT_ROWS = 20_000
@@ -96,16 +96,9 @@ def choose_terms(support: dict[str, int]) -> list[str]:
     return sorted(chosen)
 
 
-_automata: dict[tuple[str, ...], automata.Automaton] = {}
-
-
 def automaton_of(terms: list[str]) -> automata.Automaton:
-    """The worker's automaton for a lexicon; it keeps that of the last lexicon alone."""
-    key = tuple(terms)
-    if key not in _automata:
-        _automata.clear()
-        _automata[key] = automata.build(terms)
-    return _automata[key]
+    """The worker's automaton for a lexicon."""
+    return held(("automaton", *terms), lambda: automata.build(terms))
 
 
 def context_factor(before: str, after: str) -> float:

@@ -109,6 +109,16 @@ def test_no_labels_and_no_rows(spark, documents, module):
     assert module.query(docs.where("false"), none).count() == 0
 
 
+def test_the_fit_is_bounded_by_words_too(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FIT_WORDS", 300)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50)), i % 2) for i in range(20)]
+    seen = []
+    monkeypatch.setattr(quality, "_fitted", lambda batches: iter([__import__("pyarrow").RecordBatch.from_pydict({"model": [str(sum(b.num_rows for b in batches)).encode()]})]))
+    monkeypatch.setattr(quality.Machine, "loads", classmethod(lambda cls, data: seen.append(int(data))))
+    quality.fit(spark.createDataFrame(rows, "id long, text string, y int"))
+    assert seen == [6]
+
+
 def test_sum_of_squares_identity():
     m = quality.Machine()
     rng = np.random.default_rng(0)
