@@ -23,7 +23,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not context.master.startswith("local"):
+        if not at and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-shared-"))
     return df.checkpoint()
