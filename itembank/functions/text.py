@@ -167,7 +167,7 @@ def numbers_with_units(text: Column) -> Column:
 
 def unit_warnings(text: Column) -> Column:
     """Doubtful spellings of units: missing superscripts, doubled units, a letter after a decimal point."""
-    missing = [F.when(F.regexp_like(text, F.lit(rf"(?<![A-Za-z/]){v}(?![A-Za-z0-9])")), F.lit(f"superscript:{v}")) for v in VARIANTS]
+    missing = [F.when(F.contains(text, F.lit(v)) & F.regexp_like(text, F.lit(rf"(?<![A-Za-z/]){v}(?![A-Za-z0-9])")), F.lit(f"superscript:{v}")) for v in VARIANTS]
     doubled = F.transform(F.regexp_extract_all(text, F.lit(r"((\d+(?:[.．]\d+)?)\s*([A-Za-zΩ]{1,3})\3(?![A-Za-z]))"), F.lit(1)), lambda m: F.concat(F.lit("doubled:"), m))
     odd = F.transform(F.regexp_extract_all(text, F.lit(r"(\d\.[A-Za-z])"), F.lit(1)), lambda m: F.concat(F.lit("decimal:"), m))
     return F.concat(F.array_compact(F.array(*missing)), doubled, odd)

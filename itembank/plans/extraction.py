@@ -210,12 +210,27 @@ def math_segments(spark: SparkSession, d: str) -> DataFrame:
     return made.select("id", count("inlineFormula").alias("inline"), count("displayFormula").alias("display"), F.size("m.warnings").alias("warnings"))
 
 
-@query("unit_lint")
+@query("unit_lint", r"""
+WITH d AS (SELECT doc_id AS id, text || ' 长 5 cm' || (2 + doc_id % 3) || '，3.5mm，1' || CASE WHEN doc_id % 2 = 0 THEN '.x' ELSE 'kgkg' END AS t FROM documents),
+v AS (SELECT unnest(['kg/m3', 'g/cm3', 'm3', 'cm3', 'm2', 'cm2', 'm/s2']) AS v),
+r AS (SELECT id, unnest(regexp_extract_all(t, '\d+(?:[.．]\d+)?\s*[A-Za-zΩ]+')) AS m FROM d),
+u AS (SELECT id, m, regexp_extract(m, '[A-Za-zΩ]+$') AS unit FROM r)
+SELECT id, 'superscript:' || v AS warning FROM d, v WHERE regexp_matches(t, '(^|[^A-Za-z/])' || v || '($|[^A-Za-z0-9])')
+UNION ALL SELECT id, 'doubled:' || m FROM u WHERE length(unit) IN (2, 4, 6) AND left(unit, length(unit) // 2) = right(unit, length(unit) // 2)
+UNION ALL SELECT id, 'decimal:' || unnest(regexp_extract_all(t, '\d\.[A-Za-z]')) FROM d""")
 def unit_lint(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(X.unit_warnings(F.col("text"))).alias("warning"))
+    i = F.col("doc_id")
+    text = F.concat("text", F.lit(" 长 5 cm"), (2 + i % 3).cast("string"), F.lit("，3.5mm，1"), F.when(i % 2 == 0, ".x").otherwise("kgkg"))
+    return T.table(spark, d, "documents").select(i.alias("id"), F.explode_outer(X.unit_warnings(text)).alias("warning")).where("warning IS NOT NULL")  # not explode: its inferred size filter would match all patterns again
 
 
-@query("block_tokenize")
+@query("block_tokenize", r"""
+, b AS (SELECT id, question_type, trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM questions),
+l AS (SELECT id, list_filter([{'type': 'text', 'content': t, 'style': NULL}, {'type': 'image', 'content': 'asset://p/1.png', 'style': '{"align": "center", "width": "fit"}'}, {'type': 'text', 'content': 'tail', 'style': NULL},
+  {'type': 'options', 'content': '[{"label": "A", "content": "x"}]', 'style': NULL},
+  {'type': 'answer_space', 'content': NULL, 'style': '{"rows": ' || CASE question_type WHEN 'single_choice' THEN 0 WHEN 'fill_blank' THEN 2 WHEN 'calculation' THEN 8 WHEN 'essay' THEN 6 ELSE 4 END || '}'}], lambda x: x.type <> 'text' OR x.content <> '') AS bs FROM b),
+n AS (SELECT id, (generate_subscripts(bs, 1) - 1)::INT AS position, unnest(bs) AS x FROM l)
+SELECT id, position, x.type AS type, x.content AS content, x.style AS style FROM n""", bank=True)
 def block_tokenize(spark: SparkSession, d: str) -> DataFrame:
     q = T.questions(spark, d)
     content = F.concat("content", F.lit("![图](asset://p/1.png) tail"))
@@ -232,11 +247,16 @@ def doc_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return again.select("id", (text("m.doc") == text("n.doc")).alias("same"), F.size(rich.document_errors("m.doc")).alias("errors"))
 
 
-@query("doc_validate")
+@query("doc_validate", """
+SELECT doc_id AS id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'version 2' END, CASE WHEN contains(text, ' the ') THEN '1: inline link' END, CASE WHEN lang <> 'en' THEN '1: mark ' || lang END,
+    CASE doc_id % 3 WHEN 0 THEN '2: block video' WHEN 1 THEN '2: width 500' END], lambda x: x IS NOT NULL), '; ') AS errors, (doc_id % 3 = 1)::INT AS patched
+FROM documents""")
 def doc_validate(spark: SparkSession, d: str) -> DataFrame:
-    """What is wrong with documents that carry an unknown node, a bad width or a bad version."""
+    """What is wrong with texts as documents that carry an unknown inline node, mark or block, a bad width or a bad version."""
+    inline = F.struct(F.when(F.contains("text", F.lit(" the ")), "link").otherwise("text").alias("type"), "text", F.array(F.struct(F.when(F.col("lang") != "en", F.col("lang")).otherwise("bold").alias("type"))).alias("marks"))
+    said = F.to_json(F.struct(F.lit("paragraph").alias("type"), F.array(inline).alias("content")))
     bad = F.when(F.col("doc_id") % 3 == 0, '{"type": "video"}').when(F.col("doc_id") % 3 == 1, '{"type": "image", "attrs": {"src": "a", "width": 500}}').otherwise('{"type": "paragraph", "content": []}')
-    doc = F.concat(F.lit('{"type": "doc", "schema_version": '), F.when(F.col("doc_id") % 5 == 0, "2").otherwise("1"), F.lit(', "content": ['), bad, F.lit("]}"))
+    doc = F.concat(F.lit('{"type": "doc", "schema_version": '), F.when(F.col("doc_id") % 5 == 0, "2").otherwise("1"), F.lit(', "content": ['), said, F.lit(", "), bad, F.lit("]}"))
     rows = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), doc.alias("doc"))
     return rows.select("id", F.array_join(rich.document_errors("doc"), "; ").alias("errors"), rich.backfilled("doc")["patched"].alias("patched"))
 
@@ -350,7 +370,9 @@ def suggestions_or_default(spark: SparkSession, d: str) -> DataFrame:
     return D.suggestions_or_default(q, suggested, known).select("id", F.array_join("tags", ",").alias("tags"), "confidence")
 
 
-@query("migration_report")
+@query("migration_report", """
+WITH p AS (SELECT conv_id, bool_or(turn = 5 AND role <> 'system') AS broken, count(*) FILTER (WHERE role = 'system') AS images FROM conversations GROUP BY 1)
+SELECT NOT broken AS ok, CASE WHEN broken THEN 'JSONDecodeError' END AS error, count(*) AS practices, sum(CASE WHEN broken THEN 0 ELSE images END)::BIGINT AS images FROM p GROUP BY 1, 2""")
 def migration_report(spark: SparkSession, d: str) -> DataFrame:
     """How many practices' blocks become valid documents, how many don't, and how many pictures got a layout."""
     said = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t")))
