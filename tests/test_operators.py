@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +164,22 @@ def test_best_sequence_prefers_few_gaps():
     assert E.best_sequence([(0, 1.0, 2)]) == [] and E.best_sequence([]) == []
 
 
+def test_best_sequence_equals_all_rising_runs():
+    draw = random.Random(5)
+    for _ in range(300):
+        anchors = [(draw.randrange(3), float(draw.randrange(50)), draw.randrange(1, 7)) for _ in range(draw.randrange(9))]
+        order = sorted(range(len(anchors)), key=lambda i: anchors[i][:2])
+
+        def rank(run):
+            numbers = [anchors[i][2] for i in run]
+            skipped = sum(b - a - 1 for a, b in zip(numbers, numbers[1:]))
+            return (10.0 * len(run) - skipped, len(run), -skipped, numbers[-1])
+
+        runs = [r for n in range(1, len(order) + 1) for r in itertools.combinations(order, n) if anchors[r[0]][2] == 1 and all(anchors[a][2] < anchors[b][2] for a, b in zip(r, r[1:]))]
+        found = E.best_sequence(anchors)
+        assert (tuple(found) in runs and rank(found) == max(map(rank, runs))) if runs else found == []
+
+
 def test_chosen_anchors_by_paper(spark):
     rows = spark.createDataFrame([("a", 0, 1.0, 1), ("a", 0, 2.0, 7), ("a", 0, 3.0, 2), ("b", 0, 1.0, 4)], "paper string, page long, y double, number long")
     assert sorted(tuple(r) for r in E.chosen_anchors(rows, "paper", "page", "y", "number").collect()) == [("a", 0, 1.0, 1), ("a", 0, 3.0, 2)]
