@@ -1,4 +1,4 @@
-"""The queries of the ten operators and their SQL counterparts."""
+"""The queries of the operators and their SQL counterparts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from itembank.llm import embedding_dedup, exact_dedup, html_text, licenses, mixing, near_dedup, packing, quality, toxicity, training_order
+from itembank.llm import embedding_dedup, exact_dedup, html_text, licenses, merkle, mixing, near_dedup, packing, quality, repair, sharding, toxicity, training_order
 from itembank.llm.common import table
 
 
@@ -25,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": over("documents", mixing.query),
     "op9_exact_dedup": over("documents", exact_dedup.query),
     "op10_toxicity": over("documents", toxicity.query, "labels"),
+    "op11_merkle_manifest": over("documents", merkle.query),
+    "op12_sharding": over("documents", sharding.query),
+    "op13_conversation_repair": over("conversations", repair.query),
 }
 
 SQL: dict[str, str] = {
@@ -33,4 +36,7 @@ SQL: dict[str, str] = {
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op8_mix_sources": mixing.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op12_sharding": sharding.SQL,
+    "op13_conversation_repair": repair.SQL,
 }
