@@ -154,12 +154,13 @@ def merkle_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "l
 
     steps, subroots = _reduced(nodes, "merkle-step")
     subroots = written(subroots, "merkle-subroots")
-    top, roots = _reduced(subroots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("rank"), F.lit(groups.count()).cast("long").alias("nodes"), "digest"), "merkle-top")
+    crown = written(subroots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("rank"), F.lit(groups.count()).cast("long").alias("nodes"), "digest"), "merkle-crown")
+    top, roots = _reduced(crown, "merkle-top")
     root = roots.first()
     root = None if root is None else root["digest"]
     none = F.array().cast(_PATH.split(" ", 1)[1])
-    crown = _paths(top, top[-1].select("g").distinct().withColumn("path", none).withColumn("subroot", F.lit(root)), "merkle-down")
-    down = top[0].select("g", "block", "rank", "nodes", "digest").groupBy("g", "block").cogroup(crown.groupBy("g", "block")).applyInArrow(_descend, f"g long, rank long, {_PATH}, subroot string")
+    ways = _paths(top, top[-1].select("g").distinct().withColumn("path", none).withColumn("subroot", F.lit(root)), "merkle-down")
+    down = top[0].select("g", "block", "rank", "nodes", "digest").groupBy("g", "block").cogroup(ways.groupBy("g", "block")).applyInArrow(_descend, f"g long, rank long, {_PATH}, subroot string")
     last = written(down.select(F.col("rank").alias("g"), "path").join(subroots.select("g", F.col("digest").alias("subroot")), "g"), "merkle-last")
 
     blocks = _paths(steps, last, "merkle-down")
