@@ -237,14 +237,19 @@ def block_tokenize(spark: SparkSession, d: str) -> DataFrame:
     return q.select("id", F.posexplode(rich.block_tokens(content, F.lit('[{"label":"A","content":"x"}]'), "question_type")).alias("position", "b")).select("id", "position", "b.*")
 
 
-@query("doc_roundtrip", "SELECT doc_id AS id, true AS same, 0 AS errors FROM documents")
+@query("doc_roundtrip", r"""
+, c AS (SELECT id, question_type, array_to_string(list_transform(string_split(translate(content, '$' || chr(92), ''), chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13))), chr(10)) AS lines FROM questions),
+l AS (SELECT id, list_filter([{'type': 'text', 'content': trim(lines || chr(10) || 'see$x^2$here' || chr(10) || '$$y$$', ' ' || chr(10)), 'style': NULL}, {'type': 'image', 'content': 'asset://p/1.png', 'style': '{"align": "center", "width": "fit"}'},
+  {'type': 'text', 'content': 'tail', 'style': NULL}, {'type': 'options', 'content': '[{"label": "A", "content": "x$z$"}, {"label": "?", "content": ""}]', 'style': NULL},
+  {'type': 'answer_space', 'content': NULL, 'style': '{"rows": ' || CASE question_type WHEN 'single_choice' THEN 0 WHEN 'fill_blank' THEN 2 WHEN 'calculation' THEN 8 WHEN 'essay' THEN 6 ELSE 4 END || '}'}], lambda x: true) AS bs FROM c),
+n AS (SELECT id, (generate_subscripts(bs, 1) - 1)::INT AS position, unnest(bs) AS x FROM l)
+SELECT id, true AS same, 0 AS errors, position, x.type AS type, x.content AS content, x.style AS style FROM n""", bank=True)
 def doc_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents made from blocks are valid, and their blocks give the same document again."""
-    q = T.questions(spark, d).select("id", rich.to_document("content", F.lit(None).cast("string"), "question_type").alias("m"))
-    back = q.withColumn("text", F.array_join(F.transform(F.filter(rich.from_document("m.doc"), lambda b: b["type"] == "text"), lambda b: b["content"]), "\n"))
-    again = back.withColumn("n", rich.to_document("text", F.lit(None).cast("string"), F.lit(None).cast("string")))
-    text = lambda c: F.regexp_replace(F.regexp_replace(c, r'\{"type": "answerSpace".*?\}\}', ""), r'\{"type": "paragraph", "content": \[\{"type": "text", "text": ""\}\]\}(, )?', "")
-    return again.select("id", (text("m.doc") == text("n.doc")).alias("same"), F.size(rich.document_errors("m.doc")).alias("errors"))
+    """The blocks that a document made of a question gives back, one a row. Texts lose dollars and backslashes here and get formulas, a picture and options of their own."""
+    content = F.concat(F.translate("content", "$\\", ""), F.lit("\nsee $ x^2 $ here\n $$y$$ \n![图](asset://p/1.png) tail"))
+    trip = rich.there_and_back(content, F.lit('[{"label":"A","content":"x $z$"},{}]'), "question_type")
+    q = T.questions(spark, d).select("id", trip.alias("t"))
+    return q.select("id", "t.same", "t.errors", F.posexplode("t.blocks").alias("position", "b")).select("id", "same", "errors", "position", "b.*")
 
 
 @query("doc_validate", """
