@@ -182,6 +182,15 @@ def native_quality(text: Column, number: Column) -> Column:
     return F.when(body == "", F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), score), 4))
 
 
+def native_warnings(text: Column, number: Column) -> Column:
+    """What native_quality finds: empty, or replaced:n, start, short."""
+    body = F.coalesce(text, F.lit(""))
+    marks = F.length(body) - F.length(F.translate(body, GARBLED + "□", ""))
+    starts = F.regexp_like(body, F.concat(F.lit(START[0]), number.cast("string"), F.lit(START[1])))
+    found = F.array(F.when(marks > 0, F.concat(F.lit("replaced:"), marks.cast("string"))), F.when(~starts, "start"), F.when(F.length(body) < 12, "short"))
+    return F.when(body == "", F.array(F.lit("empty"))).otherwise(F.array_compact(found))
+
+
 def selected_text(native: Column, ocr: Column, score: Column) -> Column:
     """The better reading: the other one where the native text is broken, else the native one if good, else what there is."""
     garbled = F.length(native) - F.length(F.replace(native, F.lit(GARBLED), F.lit("")))

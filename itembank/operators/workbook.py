@@ -114,9 +114,18 @@ def briefs(headers: DataFrame, children: DataFrame, key: str) -> DataFrame:
     return headers.join(n, key, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
 
 
-def nested(practices: DataFrame, sections: DataFrame, items: DataFrame) -> DataFrame:
-    """practice, sections: array of sections in order, each with its questions in order. Sections and questions of one practice are bounded."""
-    inner = items.groupBy("practice", "section").agg(F.array_sort(F.collect_list(F.struct("position", "question"))).alias("questions"))
+def nested(practices: DataFrame, sections: DataFrame, items: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """practice, sections: array of sections in order, each with its questions in order, these with their blocks in order if they are given.
+
+    blocks: practice, question, and what a block has, the place first. Built from the inside out: each level is gathered by the key of the next, so that
+    no join multiplies rows. Sections, questions and blocks of one practice are bounded.
+    """
+    question = ["position", "question"]
+    if blocks is not None:
+        own = [c for c in blocks.columns if c not in ("practice", "question")]
+        gathered = blocks.groupBy("practice", "question").agg(F.array_sort(F.collect_list(F.struct(*own))).alias("blocks"))
+        items, question = items.join(gathered, ["practice", "question"], "left"), [*question, "blocks"]
+    inner = items.groupBy("practice", "section").agg(F.array_sort(F.collect_list(F.struct(*question))).alias("questions"))
     outer = sections.join(inner, ["practice", "section"], "left").groupBy("practice").agg(F.array_sort(F.collect_list(F.struct("section", "title", "questions"))).alias("sections"))
     return practices.join(outer, "practice", "left")
 
@@ -169,3 +178,109 @@ def numbered_blocks(blocks: DataFrame, questions: DataFrame, by: str, position:
     run = Window.partitionBy(by).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     count = lambda cond: F.when(cond, F.sum(F.when(cond, 1).otherwise(0)).over(run)).cast("int")
     return out.withColumn("number", count(is_ref)).withColumn("title_number", count(F.col(type_col) == "subtitle")).drop("q_by", "q_ref")
+
+
+def blocks_changed(blocks: DataFrame, changes: DataFrame) -> DataFrame:
+    """The blocks of questions after a set of changes, with dense positions from 0 and is_modified for all of a changed question's blocks.
+
+    blocks: question, block, position, type, content, style. changes: question, seq, op, block, and of these what the op needs: add (type,
+    content, style) puts a block at the end; update (content_set, content, style_set, style) gives values, the last of a field counts; move (to)
+    puts a block before the one that has this position; delete takes it away, whatever else the set says about it. Changes of unknown blocks do nothing.
+    """
+    of = lambda op: changes.where(F.col("op") == op)
+    last = lambda flag, value: F.max_by(F.struct(F.col(value).alias("v")), F.when(F.col(flag), F.col("seq")))
+    news = of("update").groupBy("question", "block").agg(last("content_set", "content").alias("c"), last("style_set", "style").alias("s"))
+    moves = of("move").groupBy("question", "block").agg(F.max_by("to", "seq").alias("to"))
+    kept = blocks.join(of("delete").select("question", "block").distinct(), ["question", "block"], "left_anti")
+    kept = kept.join(news, ["question", "block"], "left").join(moves, ["question", "block"], "left")
+    kept = kept.select("question", "block", "type", F.when(F.col("c").isNotNull(), F.col("c.v")).otherwise(F.col("content")).alias("content"), F.when(F.col("s").isNotNull(), F.col("s.v")).otherwise(F.col("style")).alias("style"), F.coalesce("to", "position").cast("long").alias("at"), F.when(F.col("to").isNull(), 1).otherwise(0).alias("late"), F.col("position").cast("long").alias("then"))
+    added = of("add").join(of("delete").select("question", "block"), ["question", "block"], "left_anti").select("question", "block", "type", "content", "style", F.lit(None).cast("long").alias("at"), F.lit(2).alias("late"), F.col("seq").cast("long").alias("then"))
+    dense = renumbered(kept.unionByName(added), "question", F.asc_nulls_last("at"), "late", "then", "block", name="position", start=0)
+    touched = changes.join(blocks.select("question", "block").unionByName(added.select("question", "block")).distinct(), ["question", "block"], "left_semi").select("question").distinct().withColumn("is_modified", F.lit(True))
+    return dense.select("question", "block", "position", "type", "content", "style").join(touched, "question", "left").withColumn("is_modified", F.coalesce("is_modified", F.lit(False)))
+
+
+#: Titles of sections that a layout names without a title, and of the one for questions before any.
+UNTITLED, UNGROUPED = "小节", "未分组"
+
+
+def layout_synced(sections: DataFrame, questions: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections and questions as a saved layout has them.
+
+    sections: practice, section, position, title, show_title, new_page, kind. questions: practice, question, section, position, number. layout:
+    practice, at, type (subtitle, question_ref, others), section, title, show_title, new_page, kind, question.
+
+    A subtitle stands for its section, or for a new one (its id is a digest of practice and place), and gives it its settings; of several for one
+    section the last does. References belong to the last subtitle before them; those before any to the stored section that comes first, or to a
+    new one if none is stored. Referenced questions get their section, place and number from the layout, of several references
+    the last; the others keep theirs. Places in each section are made dense from 1; unknown references do nothing, nothing is deleted.
+    """
+    run = Window.partitionBy("practice").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = sections.select(F.col("practice").alias("k_practice"), F.col("section").alias("known"))
+    own = F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("/", F.col("practice").cast("string"), F.col("at").cast("string")), 256), 1, 12))
+    blocks = layout.join(known, F.expr("practice = k_practice AND section = known"), "left").drop("k_practice")
+    title = F.col("type") == "subtitle"
+    blocks = blocks.withColumn("opened", F.when(title, F.coalesce("known", own))).drop("known", "section")
+    blocks = blocks.withColumn("under", F.last("opened", ignorenulls=True).over(run))
+    first = sections.groupBy("practice").agg(F.min_by("section", F.struct("position", "section")).alias("first"), F.count("*").alias("stored"))
+
+    refs = blocks.where(F.col("type") == "question_ref").select("practice", "at", "under", "question").join(questions.select("practice", "question").distinct(), ["practice", "question"], "left_semi")
+    refs = refs.join(first, "practice", "left").withColumn("target", F.coalesce("under", "first", F.concat(F.lit("new-"), F.substring(F.sha2(F.col("practice").cast("string"), 256), 1, 12))))
+    refs = renumbered(refs, "practice", "at", name="q_number")
+    refs = refs.withColumn("q_place", F.row_number().over(Window.partitionBy("practice", "target").orderBy("at")))
+    placed = refs.groupBy("practice", "question").agg(F.max_by(F.struct("at", "target", "q_number", "q_place"), "at").alias("r"))
+    moved_in = F.col("r").isNotNull() & ~F.col("r.target").eqNullSafe(F.col("section"))
+    there = questions.join(placed, ["practice", "question"], "left").withColumn("late", moved_in.cast("int"))
+    there = there.select("practice", "question", F.coalesce("r.target", "section").alias("section"), F.coalesce("r.q_place", "position").alias("place"), "late", F.when(moved_in, F.col("r.at")).otherwise(F.col("position")).alias("then"), F.coalesce("r.q_number", "number").alias("number"))
+    at = F.row_number().over(Window.partitionBy("practice", "section").orderBy(F.asc_nulls_last("place"), "late", "then", "question"))
+    questions_now = there.withColumn("position", at).select("practice", "question", "section", "position", "number")
+
+    said = blocks.where(title).groupBy("practice", F.col("opened").alias("section")).agg(F.min("at").alias("first_at"), F.max_by(F.struct("title", "show_title", "new_page", "kind"), "at").alias("b"), F.max_by(F.col("kind"), F.when(F.col("kind").isNotNull(), F.col("at"))).alias("b_kind"), F.max_by(F.col("title"), F.when(F.coalesce("title", F.lit("")) != "", F.col("at"))).alias("b_title"))
+    lone = refs.where("under IS NULL AND first IS NULL").select("practice", F.col("target").alias("section")).distinct().withColumn("lone", F.lit(True))
+    all_now = sections.join(said, ["practice", "section"], "full_outer").join(lone, ["practice", "section"], "full_outer").withColumn("lone", F.coalesce("lone", F.lit(False)))
+    order = Window.partitionBy("practice").orderBy(F.asc_nulls_last("position"), F.desc("lone"), "first_at", "section")
+    new_place = F.coalesce(F.col("stored"), F.lit(0)) + F.count_if(F.col("position").isNull()).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    all_now = all_now.join(first.select("practice", "stored"), "practice", "left").withColumn("place", F.coalesce("position", new_place))
+    in_layout = F.col("b").isNotNull()
+    name = F.coalesce("b_title", "title", F.when(F.col("lone"), UNGROUPED).otherwise(UNTITLED))
+    shown = F.when(in_layout, F.coalesce("b.show_title", F.lit(True))).otherwise(F.coalesce("show_title", F.lit(True)))
+    paged = F.when(in_layout, F.coalesce("b.new_page", F.lit(False))).otherwise(F.coalesce("new_page", F.lit(False)))
+    sections_now = all_now.select("practice", "section", F.col("place").cast("int").alias("position"), name.alias("title"), shown.alias("show_title"), paged.alias("new_page"), F.coalesce("b_kind", "kind", F.lit("custom")).alias("kind"))
+    return sections_now, questions_now
+
+
+def regroup_changes(sections: DataFrame, questions: DataFrame) -> DataFrame:
+    """practice, change, detail: what grouping by type would change, before it is done.
+
+    sections: practice, section, position, title, kind (custom: someone's own); questions: practice, question, section, position, number, label.
+    order: the labels in their fixed order, where the titles of sections aren't that; merge: a label whose questions lie under several titles; move: a question
+    that leaves a section of someone's own.
+    """
+    titled = sections.select("practice", "section", "title", "kind", F.col("position").alias("s_position"))
+    rows = questions.join(titled, ["practice", "section"])
+    listed = lambda what: F.array_join(F.transform(F.array_sort(F.collect_list(what)), lambda x: x["label"]), "、")
+    labels = rows.groupBy("practice", "label").agg(F.min(F.struct("s_position", "position")).alias("first")).select("practice", F.struct(section_rank(F.col("label")).alias("rank"), F.when(section_rank(F.col("label")) > 10, F.col("first")).alias("first"), "label").alias("l"))
+    wanted = labels.groupBy("practice").agg(listed(F.col("l")).alias("wanted"))
+    titles = titled.where("kind <> 'custom'").groupBy("practice", "title").agg(F.min("s_position").alias("at"))
+    found = titles.groupBy("practice").agg(listed(F.struct("at", F.col("title").alias("label"))).alias("found"))
+    order = wanted.join(found, "practice", "full_outer").where(F.coalesce("wanted", F.lit("")) != F.coalesce("found", F.lit(""))).select("practice", F.lit("order").alias("change"), F.coalesce("wanted", F.lit("")).alias("detail"))
+    merge = rows.groupBy("practice", "label").agg(F.count_distinct("title").alias("n")).where("n > 1").select("practice", F.lit("merge").alias("change"), F.col("label").alias("detail"))
+    move = rows.where("kind = 'custom'").select("practice", F.lit("move").alias("change"), F.concat_ws(":", F.col("number").cast("string"), "title", "label").alias("detail"))
+    return order.unionByName(merge).unionByName(move)
+
+
+def regrouped(sections: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sections and questions grouped by type: a section for each label in the fixed order, unknown labels after them as they first come, then the sections of someone's own, now empty.
+
+    Questions keep their order and are numbered anew. Doing it again changes nothing.
+    """
+    titled = sections.select("practice", "section", F.col("position").alias("s_position"))
+    rows = renumbered(questions.join(titled, ["practice", "section"]).drop("number"), "practice", "s_position", "position", "question", name="place")
+    grouped = grouped_by_type(rows.drop("section"), "practice", "label", "place")
+    at = F.row_number().over(Window.partitionBy("practice", "section").orderBy("place")) - 1
+    questions_now = grouped.select("practice", "question", F.concat(F.lit("type-"), "label").alias("section_id"), "section", "label", "place", "number").withColumn("position", at).select("practice", "question", F.col("section_id").alias("section"), "position", "number", "label", F.col("section").alias("s"))
+    made = questions_now.select("practice", "section", F.col("s").alias("position"), F.col("label").alias("title"), F.col("label").alias("kind")).distinct()
+    counts = made.groupBy("practice").agg(F.count("*").alias("n"))
+    own = renumbered(sections.where("kind = 'custom'"), "practice", "position", "section", name="k", start=0).join(counts, "practice", "left")
+    sections_now = made.unionByName(own.select("practice", "section", (F.coalesce("n", F.lit(0)) + F.col("k")).cast("int").alias("position"), "title", "kind"))
+    return sections_now, questions_now.drop("s")

@@ -64,11 +64,16 @@ def fragments_joined(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).groupBy("user_id", F.floor(F.col("event_id") / 50).alias("line")).agg(F.array_join(F.transform(parts, lambda p: p["event_type"]), " ").alias("text"))
 
 
+def paired(spark: SparkSession, d: str) -> DataFrame:
+    """key, native, other: every document beside the next one of its source. Ids are put in order without the texts, which then come by id."""
+    docs = T.table(spark, d, "documents")
+    pairs = docs.select(F.col("doc_id").alias("key"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next"))
+    pairs = pairs.join(docs.select(F.col("doc_id").alias("key"), F.col("text").alias("native")), "key")
+    return pairs.join(docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other")), "next", "left").select("key", "native", "other")
+
+
 def _readings(spark: SparkSession, d: str) -> DataFrame:
-    """key, native, other: every document beside the next one of its source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = T.table(spark, d, "documents").select("doc_id", "source", "text")
-    return docs.select(F.col("doc_id").alias("key"), F.col("text").alias("native"), F.lead("text").over(w).alias("other")).where("other IS NOT NULL")
+    return paired(spark, d).where("other IS NOT NULL")
 
 
 READINGS = "readings AS (SELECT * FROM (SELECT doc_id AS key, text AS native, lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS other FROM documents) WHERE other IS NOT NULL)"

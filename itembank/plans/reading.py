@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itembank.functions import text as X
 from itembank.operators import extract as E
 from itembank.operators import inventory as I
+from itembank.plans.extraction import paired
 from itembank.plans.registry import query
 from itembank.sources import tables as T
 
@@ -57,8 +58,8 @@ def candidate_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 @query("answers_matched", r"""
 WITH q AS (SELECT l_orderkey AS paper, l_linenumber AS number, l_partkey AS question FROM lineitem),
-a AS (SELECT l_orderkey AS paper, l_linenumber + 1 AS number, l_returnflag AS answer, l_linestatus AS analysis FROM lineitem WHERE l_linenumber % 3 <> 0)
-SELECT q.paper, q.number, q.question, a.answer, a.analysis FROM q LEFT JOIN a ON a.paper = q.paper AND a.number = q.number""")
+a AS (SELECT l_orderkey AS paper, l_linenumber + 1 AS number, min({'answer': l_returnflag, 'analysis': l_linestatus}) AS f FROM lineitem WHERE l_linenumber % 3 <> 0 GROUP BY ALL)
+SELECT q.paper, q.number, q.question, a.f.answer AS answer, a.f.analysis AS analysis FROM q LEFT JOIN a ON a.paper = q.paper AND a.number = q.number""")
 def answers_matched(spark: SparkSession, d: str) -> DataFrame:
     items = T.table(spark, d, "lineitem")
     questions = items.select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("question"))
@@ -71,16 +72,44 @@ def review_counts(spark: SparkSession, d: str) -> DataFrame:
     return T.questions(spark, d).groupBy("source_id").agg(F.count("*").alias("questions"), F.count_if(F.col("review_status") == "pending").alias("review_count"))
 
 
-@query("fused_readings")
+FUSED = r"""WITH r AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next, coalesce(text, '') || ' 长 ' || (doc_id % 3) || ' cm，' || (doc_id % 2) || ' kg/m3' AS a FROM documents),
+p AS (SELECT r.doc_id, r.a, coalesce(d.text || ' 长 ' || (r.doc_id % 4) || ' cm', '') AS b, CASE WHEN r.doc_id % 4 <> 0 THEN (r.doc_id % 7) / 6.0::DOUBLE END AS confidence FROM r LEFT JOIN documents d ON d.doc_id = r.next),
+t AS (SELECT doc_id, 1 AS side, unnest(regexp_extract_all(a, '([0-9]+(?:[.．][0-9]+)?)\s*([A-Za-z0-9Ω℃³²/%]{0,8})')) AS m FROM p WHERE b <> '' AND confidence IS NOT NULL
+  UNION ALL SELECT doc_id, 2, unnest(regexp_extract_all(b, '([0-9]+(?:[.．][0-9]+)?)\s*([A-Za-z0-9Ω℃³²/%]{0,8})')) FROM p WHERE b <> '' AND confidence IS NOT NULL),
+u AS (SELECT doc_id, side, replace(regexp_extract(m, '^([0-9]+(?:[.．][0-9]+)?)', 1), '．', '.') AS number, regexp_extract(m, '^[0-9]+(?:[.．][0-9]+)?\s*([A-Za-z0-9Ω℃³²/%]{0,8})', 1) AS raw FROM t),
+v AS (SELECT doc_id, side, number, CASE raw WHEN 'kg/m3' THEN 'kg/m³' WHEN 'g/cm3' THEN 'g/cm³' WHEN 'm3' THEN 'm³' WHEN 'cm3' THEN 'cm³' WHEN 'm2' THEN 'm²' WHEN 'cm2' THEN 'cm²' WHEN 'm/s2' THEN 'm/s²' ELSE raw END AS unit FROM u),
+w AS (SELECT * FROM v WHERE list_contains(['V','A','Ω','W','J','N','Pa','Hz','kg','g','mg','m','cm','mm','km','mL','L','s','h','min','m²','cm²','m³','cm³','m/s','m/s²','km/h','kg/m³','g/cm³','℃','%'], unit)),
+n AS (SELECT doc_id, number, unit, count(*) FILTER (side = 1) AS x, count(*) FILTER (side = 2) AS y FROM w GROUP BY ALL),
+g AS (SELECT doc_id, round(sum(least(x, y)) / sum(greatest(x, y)), 4)::DOUBLE AS agreement FROM n GROUP BY 1),
+c AS (SELECT doc_id, count(*)::INT AS conflicts FROM (SELECT doc_id, unit FROM n GROUP BY 1, 2 HAVING count(*) FILTER (x > 0 AND y = 0) > 0 AND count(*) FILTER (y > 0 AND x = 0) > 0 AND sum(x) > 0 AND sum(y) > 0) GROUP BY 1),
+s AS (SELECT doc_id, len(list_filter(['kg/m3', 'g/cm3', 'm3', 'cm3', 'm2', 'cm2', 'm/s2'], lambda q: regexp_matches(a, '(^|[^A-Za-z/])' || q || '($|[^A-Za-z0-9])')))
+  + len(list_filter(regexp_extract_all(a, '\d+(?:[.．]\d+)?\s*[A-Za-zΩ]+'), lambda m: length(regexp_extract(m, '[A-Za-zΩ]+$')) IN (2, 4, 6) AND left(regexp_extract(m, '[A-Za-zΩ]+$'), length(regexp_extract(m, '[A-Za-zΩ]+$')) // 2) = right(m, length(regexp_extract(m, '[A-Za-zΩ]+$')) // 2)))
+  + len(regexp_extract_all(a, '\d\.[A-Za-z]')) AS warnings, len(list_filter(string_split(a, chr(10)), lambda l: regexp_matches(l, '[□�]'))) AS formula_lines,
+  round(greatest(0.0::DOUBLE, 1.0::DOUBLE - least(0.45::DOUBLE, (length(a) - length(replace(replace(a, '□', ''), '�', ''))) * 0.08::DOUBLE) - CASE WHEN regexp_matches(a, '^\s*' || (doc_id % 30 + 1) || '\s*[.．、]') THEN 0.0::DOUBLE ELSE 0.25::DOUBLE END - CASE WHEN length(a) < 12 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END), 4) AS native FROM p),
+z AS (SELECT p.doc_id, coalesce(conflicts, 0) AS conflicts, warnings::INT AS warnings, formula_lines::INT AS formula_lines, CASE WHEN b <> '' AND confidence IS NOT NULL THEN coalesce(agreement, 1.0) END AS agreement,
+  round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN confidence IS NULL THEN native ELSE 0.6::DOUBLE * native + 0.4::DOUBLE * confidence END - (CASE WHEN c.doc_id IS NOT NULL THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + 0.03::DOUBLE * least(warnings, 3)))), 4) AS review_score
+  FROM p JOIN s ON s.doc_id = p.doc_id LEFT JOIN c ON c.doc_id = p.doc_id LEFT JOIN g ON g.doc_id = p.doc_id)
+SELECT *, review_score < 0.85 OR conflicts > 0 AS needs_review FROM z"""
+
+
+@query("fused_readings", FUSED)
 def fused_readings(spark: SparkSession, d: str) -> DataFrame:
     """Each document beside the next one of its source, both with a measured length added."""
-    w = Window.partitionBy("source").orderBy("doc_id")
     i = F.col("doc_id")
-    docs = T.table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" 长 "), (i % 3).cast("string"), F.lit(" cm，"), (i % 2).cast("string"), F.lit(" kg/m3")).alias("native"), F.lead("text").over(w).alias("next"))
-    docs = docs.withColumn("other", F.concat("next", F.lit(" 长 "), (i % 4).cast("string"), F.lit(" cm")))
+    docs = paired(spark, d).withColumnRenamed("key", "doc_id").withColumn("native", F.concat(F.coalesce("native", F.lit("")), F.lit(" 长 "), (i % 3).cast("string"), F.lit(" cm，"), (i % 2).cast("string"), F.lit(" kg/m3"))).withColumn("other", F.concat("other", F.lit(" 长 "), (i % 4).cast("string"), F.lit(" cm")))
     return E.fused(docs, "doc_id", "native", "other", X.native_quality(F.col("native"), (i % 30 + 1)), F.when(i % 4 != 0, (i % 7) / 6.0))
 
 
+@query("native_warnings", r"""
+SELECT doc_id AS id, CASE WHEN t = '' THEN 'empty' ELSE array_to_string(list_filter([CASE WHEN k > 0 THEN 'replaced:' || k END, CASE WHEN NOT regexp_matches(t, '^\s*' || (doc_id % 30 + 1) || '\s*[.．、]') THEN 'start' END, CASE WHEN length(t) < 12 THEN 'short' END], lambda x: x IS NOT NULL), ',') END AS warnings
+FROM (SELECT doc_id, t, length(t) - length(replace(replace(t, '%', ''), '$', '')) AS k FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE CASE WHEN doc_id % 2 = 0 THEN (doc_id % 30 + 1) || '. ' ELSE '' END || text END AS t FROM documents))""")
+def native_warnings(spark: SparkSession, d: str) -> DataFrame:
+    q = T.questions(spark, d)
+    lead = F.when(F.col("id") % 2 == 0, F.concat(F.col("question_number").cast("string"), F.lit(". "))).otherwise("")
+    t = F.when(F.col("id") % 9 == 0, "").otherwise(F.concat(lead, "content"))
+    return q.select("id", F.array_join(X.native_warnings(F.translate(t, "%$", "□□"), F.col("question_number")), ",").alias("warnings"))
+
+
 @query("options_normal", """
 WITH o AS (SELECT doc_id AS id, n_chars % 3 AS k, coalesce(source, '') AS s FROM documents)
 SELECT id, CASE k WHEN 0 THEN 'A=' || s || ';B=two' WHEN 1 THEN 'X=' || s || ';B=;C=three' ELSE NULL END AS options FROM o""")

@@ -47,7 +47,7 @@ def test_readings_are_fused(spark):
     rows = [(1, "3 cm 与 5 kg", "4 cm", 0.9, 1.0), (2, "3 cm", "3 cm 4 cm", 0.9, 1.0), (3, "3 cm", "4 cm", 0.9, None), (4, "", "2 kg/m3 □\nx", 0.5, 0.5), (5, None, None, 0.0, None)]
     df = spark.createDataFrame(rows, "k int, a string, b string, s double, c double")
     got = {r["k"]: tuple(r)[1:] for r in E.fused(df, "k", "a", "b", F.col("s"), F.col("c")).collect()}
-    assert got == {1: (1, 0, 0, 0.79, True), 2: (0, 0, 0, 0.94, False), 3: (0, 0, 0, 0.9, False), 4: (0, 1, 1, 0.47, True), 5: (0, 0, 0, 0.0, True)}
+    assert got == {1: (1, 0, 0, 0.79, True, 0.0), 2: (0, 0, 0, 0.94, False, 0.5), 3: (0, 0, 0, 0.9, False, None), 4: (0, 1, 1, 0.47, True, None), 5: (0, 0, 0, 0.0, True, None)}
 
 
 def test_anchors_from_lines(spark):
@@ -59,6 +59,8 @@ def test_anchors_from_lines(spark):
 def test_questions_keep_missing_answers(spark):
     q, a = spark.createDataFrame([(1, 1), (1, 2)], "p int, n int"), spark.createDataFrame([(1, 2, "B")], "p int, n int, answer string")
     assert sorted(tuple(r) for r in E.with_answers(q, a, ["p", "n"]).collect()) == [(1, 1, None), (1, 2, "B")]
+    twice = a.unionByName(spark.createDataFrame([(1, 2, "A")], a.schema))
+    assert sorted(tuple(r) for r in E.with_answers(q, twice, ["p", "n"]).collect()) == [(1, 1, None), (1, 2, "A")]
 
 
 def test_pages_before_the_answers(spark):
