@@ -219,6 +219,42 @@ def asset_urls(content: Column, document: Column, base: str = "/api/ocr-assets")
     return F.regexp_replace(content, F.lit(r"asset://(?!practice/)"), F.concat(F.lit(base + "/"), document, F.lit("/")))
 
 
+#: A formula, and a reference to a picture.
+HAS_FORMULA = r"\$\$([^$]+?)\$\$|\\\[(.+?)\\\]|(?<![\d$])\$(?!\$)([^$\n]+?)\$(?!\$)|\\\((.+?)\\\)"
+HAS_PICTURE = r"asset://[^\s)\"]+|/api/practices/[^\s)\"]+"
+
+
+def has_formula(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(HAS_FORMULA))
+
+
+def picture_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(HAS_PICTURE))
+
+
+def options_have_picture(options: Column) -> Column:
+    """Whether one of the options (label, content) refers to a picture."""
+    return F.coalesce(F.exists(options, lambda o: F.coalesce(F.regexp_like(o["content"], F.lit(HAS_PICTURE)), F.lit(False))), F.lit(False))
+
+
+def served_assets(text: Column, source: Column, base: str = "/api/ocr-assets") -> Column:
+    """References to assets as addresses below their source, a doubled folder of figures once; without a source they stay."""
+    single = F.replace(text, F.lit("asset://figures/figures/"), F.lit("asset://figures/"))
+    return F.when(source.isNull(), text).otherwise(F.regexp_replace(single, F.lit(r"asset://(?=[^\s)])"), F.concat(F.lit(base + "/"), source, F.lit("/"))))
+
+
+def served_options(options: Column, source: Column) -> Column:
+    return F.transform(options, lambda o: F.struct(o["label"].alias("label"), served_assets(o["content"], source).alias("content")))
+
+
+def served_card(path: Column, source: Column, base: str = "/api/ocr-assets") -> Column:
+    """A card's path on disk as an address: what follows the document's folder below ocr_output. Other paths, and relative ones, stay."""
+    slashed = F.translate(path, "\\", "/")
+    inner = F.regexp_extract(slashed, r"(?:^|/)ocr_output/[^/]+/(.*)$", 1)
+    on_disk = F.contains(path, F.lit("\\")) | path.startswith("/")
+    return F.when(source.isNotNull() & on_disk & (inner != ""), F.concat(F.lit(base + "/"), source, F.lit("/"), inner)).otherwise(path)
+
+
 def set_attributes(attrs: Column) -> Column:
     """A map of paragraph attributes without those that are null, zero, false, empty or the default alignment."""
     return F.map_filter(attrs, lambda k, v: v.isNotNull() & ~v.isin("", "0", "false") & ~((k == "textAlign") & (v == "left")))

@@ -107,10 +107,15 @@ def upserted(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFram
     return table.unionByName(fresh.select(*table.columns))
 
 
-def settings_updated(settings: DataFrame, new: Mapping[str, str | None]) -> DataFrame:
-    """Sent values replace old ones; a blank secret leaves the old one."""
+#: Settings that a blank value doesn't replace.
+SECRETS = ("api_key", "ai_api_key")
+
+
+def settings_updated(settings: DataFrame, new: Mapping[str, str | None], secrets: Sequence[str] = SECRETS) -> DataFrame:
+    """Sent values replace old ones, blank ones too; a blank secret leaves the old one."""
     for name, value in new.items():
-        settings = settings.withColumn(name, F.coalesce(F.nullif(F.lit(value), F.lit("")), F.col(name)))
+        if value or name not in secrets:
+            settings = settings.withColumn(name, F.lit(value).cast(settings.schema[name].dataType))
     return settings
 
 

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itembank.functions.rich import document_errors
+from itembank.functions.text import has_formula, options_have_picture, picture_count
+
 #: A question number in a page's text; words that open the answers.
 NUMBERED = r"(?:[（(]\s*多选\s*[）)])?\s*(\d{1,2})\s*[.．、]\s*(?:[（(]\s*\d+\s*分\s*[）)])?"
 ANSWER_MARKERS = ("参考答案与试题解析", "参考答案", "答案与解析", "试题解析")
@@ -30,6 +33,33 @@ def buckets(df: DataFrame, by: str, rules: Sequence[tuple[str, Column]], exclusi
     return df.select(by, "id", F.explode(found).alias("bucket")).groupBy(by, "bucket").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
+def bucket_members(df: DataFrame, by: str, rules: Sequence[tuple[str, Column]], exclusive: Sequence[tuple[str, Column]] = (), keep: Sequence[str] = ("id",)) -> DataFrame:
+    """group, bucket and the kept columns: a row for each bucket that a row is in. Ids of a bucket are rows, not an array, however many they are."""
+    one = F.lit(None).cast("string")
+    for name, cond in reversed(exclusive):
+        one = F.when(cond, name).otherwise(one)
+    found = F.array_compact(F.array(*[F.when(cond, name) for name, cond in rules], one))
+    return df.select(by, *keep, F.explode(found).alias("bucket"))
+
+
+def practice_features(questions: DataFrame, blocks: DataFrame, by: str) -> DataFrame:
+    """Per practice: its questions, those with a formula, a picture, a picture in an option, its blocks of answer lines, and its characters.
+
+    questions: by, question, content, options (array of label, content); blocks: question, type. Blocks are counted by question before they are joined.
+    """
+    spaces = blocks.where(F.col("type") == "answer_space").groupBy("question").agg(F.count("*").alias("spaces"))
+    content = F.coalesce("content", F.lit(""))
+    rows = questions.select(by, "question", has_formula(content).alias("formula"), (picture_count(content) > 0).alias("image"), options_have_picture(F.col("options")).alias("option_image"), F.length(content).alias("chars")).join(spaces, "question", "left")
+    return rows.groupBy(by).agg(F.count("*").alias("questions"), F.count_if("formula").alias("formula_questions"), F.count_if("image").alias("image_questions"), F.count_if("option_image").alias("option_image_questions"), F.coalesce(F.sum("spaces"), F.lit(0)).alias("answer_space_blocks"), F.sum("chars").alias("total_chars"))
+
+
+def document_totals(documents: DataFrame, doc: str) -> DataFrame:
+    """One row: how many documents there are, are missing, are broken or have errors, and are valid."""
+    there = F.coalesce(F.col(doc), F.lit("")) != ""
+    good = there & (F.size(document_errors(F.col(doc))) == 0)
+    return documents.select(there.alias("there"), good.alias("good")).agg(F.count("*").alias("total"), F.count_if(~F.col("there")).alias("missing"), F.count_if(F.col("there") & ~F.col("good")).alias("bad"), F.count_if("good").alias("valid"))
+
+
 def issues(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     """id, issue: one row for every check that a row fails."""
     return df.select("id", F.explode(F.array_compact(F.array(*[F.when(cond, name) for name, cond in checks.items()]))).alias("issue"))
@@ -47,7 +77,7 @@ def picked(df: DataFrame, by: Sequence[str], quota: int, *order: Column | str, t
 
 def gaps(rows: DataFrame, parent: str, number: str) -> DataFrame:
     """Per parent: the largest number, how many there are, which are missing from 1 on (3 or 5-9), and whether none is. An outlier makes one range, not an array of its size."""
-    found = rows.select(parent, number).where(F.col(number).isNotNull()).distinct()
+    found = rows.select(parent, number).where(F.col(number).isNotNull()).repartition(parent).distinct()  # one exchange for what follows, too
     before = F.coalesce(F.lag(number).over(Window.partitionBy(parent).orderBy(number)), F.lit(0))
     lo, hi = before + 1, F.col(number) - 1
     gap = F.when(hi == lo, lo.cast("string")).when(hi > lo, F.concat_ws("-", lo.cast("string"), hi.cast("string")))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itembank.functions.dictionaries import BANDS, has_type
+from itembank.functions.dictionaries import BANDS, has_type, type_label
 from itembank.functions.text import contains_any_case, present
 
 
@@ -71,8 +71,29 @@ def live(questions: DataFrame) -> DataFrame:
     return questions.where(~F.col("is_deleted"))
 
 
+#: Columns that a search looks into, where a table has them.
+SEARCHED = ("content", "answer", "explanation", "raw_ocr_content")
+
+
 def found(questions: DataFrame, condition: Filter = Filter()) -> DataFrame:
-    return questions.where(condition.condition())
+    return questions.where(condition.condition([c for c in SEARCHED if c in questions.columns]))
+
+
+#: Sources are broadcast up to so many rows.
+BROADCAST_SOURCES = 100_000
+
+
+def with_sources(questions: DataFrame, sources: DataFrame, *columns: str) -> DataFrame:
+    """Every question with these columns of its source, null where the source is unknown. Few sources are broadcast, many are joined by a shuffle."""
+    known = sources.select("source_id", *columns)
+    few = known.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return questions.drop(*columns).join(F.broadcast(known) if few else known, "source_id", "left")
+
+
+def basket_items(items: DataFrame, questions: DataFrame) -> DataFrame:
+    """Items of baskets (basket, question, position) with the label of their question's type; items whose question is deleted or unknown are skipped."""
+    known = live(questions).select(F.col("id").alias("question"), type_label(F.col("question_type")).alias("label"))
+    return items.join(known, "question").select("basket", "position", "question", "label")
 
 
 def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:

@@ -27,21 +27,24 @@ def without_used(candidates: DataFrame, used: DataFrame) -> DataFrame:
     return candidates.join(used.select(F.col("question_id").alias("id")), "id", "left_anti")
 
 
-def quota(candidates: DataFrame, bands: Sequence[str], count: int) -> DataFrame:
+def quota(candidates: DataFrame, bands: Sequence[str], count: int, seed: int | None = None) -> DataFrame:
     """Twice count candidates: an equal part of each band by score, filled up with the best of the rest; score, then id, decides.
 
+    With a seed, candidates of one score are in a random order that the seed fixes, instead of by id.
+
     One window ranks within bands, and one top-k takes those within their part first; nothing else is sorted.
     """
     want, names = max(1, count) * 2, list(dict.fromkeys(b for b in bands if b in BANDS))
+    tie = [F.col("id")] if seed is None else [F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("id").cast("string"))), F.col("id")]
     if len(names) < 2:
-        return candidates.orderBy(F.desc("score"), "id").limit(want)
+        return candidates.orderBy(F.desc("score"), *tie).limit(want)
     part = -(-want // len(names))
     band = F.lit(None).cast("string")
     for name in names:
         band = F.when(F.col("difficulty").isin(BANDS[name]), name).otherwise(band)
     ranked = candidates.withColumn("band", band).where("band IS NOT NULL")
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= want)
-    return ranked.withColumn("within", F.col("rank") <= part).orderBy(F.desc("within"), F.desc("score"), "id").limit(want)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("score"), *tie))).where(F.col("rank") <= want)
+    return ranked.withColumn("within", F.col("rank") <= part).orderBy(F.desc("within"), F.desc("score"), *tie).limit(want)
 
 
 def reasons(picked: DataFrame) -> DataFrame:

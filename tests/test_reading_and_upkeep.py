@@ -103,3 +103,5 @@ def test_small_renderings_and_settings(spark):
     assert one(spark, X.set_attributes(F.create_map(F.lit("textAlign"), F.lit("left"), F.lit("indent"), F.lit("2"), F.lit("bold"), F.lit("false")))) == {"indent": "2"}
     s = spark.createDataFrame([("k", "v")], "api_key string, name string")
     assert tuple(D.settings_updated(s, {"api_key": "", "name": "n"}).first()) == ("k", "n")
+    assert tuple(D.settings_updated(s, {"api_key": None, "name": ""}).first()) == ("k", "")
+    assert tuple(D.settings_updated(s, {"api_key": "new", "name": None}).first()) == ("new", None)
