@@ -58,9 +58,22 @@ def small_enough(df: DataFrame, rows: int) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes for df to have no such column, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def among(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """The rows of docs whose id is (left_semi) or isn't (left_anti) among ids: one column, distinct, not null."""
+    key = free_name(docs, "__id")
+    return docs.join(small_enough(written(ids.toDF(key), "ids"), BROADCAST_IDS), docs[id_col] == F.col(key), how)
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of docs whose id isn't among ids: one column __id, distinct, not null."""
-    return docs.join(small_enough(written(ids, "ids"), BROADCAST_IDS), docs[id_col] == F.col("__id"), "left_anti")
+    return among(docs, ids, id_col, "left_anti")
 
 
 def releasing(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import fold_ascii, small_enough, without, written
+from itembank.llm.common import among, fold_ascii, small_enough, without, written
 
 #: At most so many hashes of groups are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -62,7 +62,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     again = written(verdict.where("kept AND __id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select("__id"), "exact-again")
     if again.isEmpty():
         return left
-    return without(left, again, id_col).unionByName(left.join(again, left[id_col] == F.col("__id"), "left_semi").dropDuplicates([id_col]))
+    return without(left, again, id_col).unionByName(among(left, again, id_col, "left_semi").dropDuplicates([id_col]))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itembank.llm.common import BROADCAST_IDS, WORD, small_enough, written
+from itembank.llm.common import BROADCAST_IDS, WORD, free_name, small_enough, written
 
 #: Buckets to each unit of keys at first, and documents to a finer bucket at most, about. Only the fine bucket in which a source's budget ends is sorted.
 COARSE, BUCKET_ROWS = 1000, 1000
@@ -116,12 +116,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key that is written with it: rows without id, and rows that share one, don't share their times.
     """
     columns = docs.columns
-    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    plan = mix(docs, id_col, text_col, source_col, weights, max_epochs, boundary="whole", row_col="__row")
+    row, often, time = (free_name(docs, n) for n in ("__row", "__times", "__time"))
+    docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(docs, id_col, text_col, source_col, weights, max_epochs, boundary="whole", row_col=row)
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("epochs") + (F.col("part") > 0).cast("long"))
-    times = written(plan.select("__row", times.alias("__times")).where("__times > 0"), "mix-times")
-    taken = docs.join(small_enough(times, BROADCAST_IDS), "__row")
-    return taken.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
+    times = written(plan.select(row, times.alias(often)).where(F.col(often) > 0), "mix-times")
+    taken = docs.join(small_enough(times, BROADCAST_IDS), row)
+    return taken.withColumn(time, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from itembank.llm.graph import connected_components
 BANDS, BAND_BINS, BINS = 42, 6, 256
 #: At most so many ids or buckets are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The seed of the hashes that confirm links; candidates are found by those of seed 0, so that what collides in one set of hashes doesn't in the other.
+CONFIRM = 1
 #: Texts and shingles of one centre that a block holds, about; a centre with more has several blocks.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 4_000_000
 
@@ -66,6 +68,12 @@ def signatures(sets: np.ndarray, to: np.ndarray) -> np.ndarray:
     return sig
 
 
+def _print(sets: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """A fingerprint of each set: the sum of its members, mixed once more."""
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words.mix64(sets + np.uint64(11)), dtype=np.uint64)))
+    return (sums[to[1:]] - sums[to[:-1]]).view(np.int64)
+
+
 @releasing
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -77,10 +85,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             for i in range(BAND_BINS):
                 band = words.mix64(band * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, i])
             full = size > 0
-            print_ = []
-            for seed in (11, 13):
-                sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words.mix64(sets + np.uint64(seed)), dtype=np.uint64)))
-                print_.append((sums[to[1:]] - sums[to[:-1]]).view(np.int64))
+            print_ = [_print(sets, to), _print(*words.shingle_sets(data, at, k, CONFIRM))]
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full * BANDS))), pa.int32()), pa.array(band[full].reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size, pa.int64()), pa.array(print_[0]), pa.array(print_[1]), bands], names=["id", "n", "p", "q", "bands"])
 
@@ -89,7 +94,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 def _with_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, data, at in words.row_groups(batch.column(1)):
-            sets, to = words.shingle_sets(data, at, k)
+            sets, to = words.shingle_sets(data, at, k, CONFIRM)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(at) - 1), pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(sets.view(np.int64)))], names=["id", "s"])
 
 
@@ -175,10 +180,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable over links, kept tells whether that is the row's own id. Words are runs of non-space characters, A-Z as
     a-z. Ids are integers.
 
-    Documents with the same set become one representative. Representatives that share a band's values are in one bucket, and each
+    Documents with the same set (by fingerprints of two independent hashes of all shingles) become one representative. Representatives that share a band's values are in one bucket, and each
     bucket hands its members to its smallest id: the star's centre. Candidates are these spokes, so they grow with the documents,
-    not with their square. The sets of a centre's members (64-bit hashes of all shingles), made from the texts again for candidates
-    alone, come together in blocks of bounded size, where they are confirmed in full, centre first (_confirmed); only links that
+    not with their square. The sets of a centre's members (64-bit hashes of all shingles, independent of those that found the candidates), made from the
+    texts again for candidates alone, come together in blocks of bounded size, where they are confirmed in full, centre first (_confirmed); only links that
     span components leave the task. Every two texts that share a band have a common centre, so none but pairs without a common
     band are missed (fewer than 3 in a million at the threshold).
 

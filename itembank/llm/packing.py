@@ -24,6 +24,8 @@ LONG_SHARE, GROUPS = 16, 512
 SHARD_ROWS = 24_000
 #: Distinct words that a worker remembers the ids of; the memory is emptied when full. Longer ones (bytes) are encoded each time.
 CACHE_WORDS, CACHE_BYTES = 600_000, 256
+#: Ids that the memory may hold; it is emptied when it has more, even if it has few words.
+CACHE_IDS = 4_000_000
 #: Marks that end a word and that the tokenizer always cuts off it.
 TAIL = ".,;:!?%&$*#)(\"]["
 #: Fixed value: Unicode's white space without the separators U+001C to U+001F, which str.split() takes for white space and tokenizers don't.
@@ -43,6 +45,21 @@ _LETTER_BYTES = np.array([b < 0x80 and chr(b).isalpha() for b in range(256)])
 _LATIN_BYTES = np.array([0x80 <= b < 0xC0 and chr(b + 0x40).isalpha() for b in range(256)])
 
 
+class Grown:
+    """An array that grows at its end, in room that doubles."""
+
+    def __init__(self, dtype: str) -> None:
+        self.room, self.n = np.zeros(1024, dtype=dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            room = np.zeros(max(2 * len(self.room), self.n + len(more)), dtype=self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Encoder:
     """Token ids of text columns.
 
@@ -82,7 +99,7 @@ class Encoder:
 
     def _forget(self) -> None:
         """Chunks by number: where their ids begin in the pool, and how many there are."""
-        self.seen, self.starts, self.sizes, self.pool = words.Seen(), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+        self.seen, self.starts, self.sizes, self.pool = words.Seen(), Grown("int64"), Grown("int64"), Grown("<u4")
 
     @staticmethod
     def _spelled(word: str) -> str:
@@ -146,51 +163,60 @@ class Encoder:
         return a, b, row[of], plain[of] & self.lowers
 
     def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, folded: np.ndarray) -> np.ndarray:
-        """Each word's number; new words are encoded, and the pool gets their ids."""
-        if len(self.sizes) > CACHE_WORDS:
+        """Each word's number, -1 for long words; new short words are encoded, and the memory gets their ids."""
+        if self.sizes.n > CACHE_WORDS or self.pool.n > CACHE_IDS:
             self._forget()
         hashes = words.word_hashes(data, starts, ends)
         if not folded.all():
             hashes = np.where(folded, hashes, words.mix64(words.word_hashes(data, starts, ends, words.CASED)))
         short = ends - starts <= CACHE_BYTES
         number = np.where(short, self.seen.find(hashes), -1)
-        new, long = np.flatnonzero((number < 0) & short), np.flatnonzero(~short)
-        if not len(new) and not len(long):
-            return number
-        distinct, first, of = np.unique(hashes[new], return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        found = self._encode([raw[starts[i] : ends[i]].decode() for i in [*new[first].tolist(), *long.tolist()]])
-        known, size = len(self.sizes), np.array([len(x) // 4 for x in found], dtype=np.int64)
-        self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(size) - size))
-        self.sizes = np.concatenate((self.sizes, size))
-        self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(found), dtype="<u4")))
-        self.seen.add(distinct, known)
-        number[new], number[long] = known + of, known + len(first) + np.arange(len(long))
+        new = np.flatnonzero((number < 0) & short)
+        if len(new):
+            distinct, first, of = np.unique(hashes[new], return_index=True, return_inverse=True)
+            found = self._encode([data[starts[i] : ends[i]].tobytes().decode() for i in new[first].tolist()])
+            known, size = self.sizes.n, np.array([len(x) // 4 for x in found], dtype=np.int64)
+            self.starts.add(self.pool.n + np.cumsum(size) - size)
+            self.sizes.add(size)
+            self.pool.add(np.frombuffer(b"".join(found), dtype="<u4"))
+            self.seen.add(distinct, known)
+            number[new] = known + of
         return number
 
+    def _by_words(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' rows, their sizes, and all their ids in turn. Long words are encoded here and kept nowhere."""
+        starts, ends, row = words.runs(~self._spaces(data), at)
+        starts, ends, row, folded = self._cut_tails(data, starts, ends, row)
+        number = self._numbers(data, starts, ends, folded)
+        kept, long = number >= 0, np.flatnonzero(number < 0)
+        own = [np.frombuffer(self._encode([data[starts[i] : ends[i]].tobytes().decode()])[0], dtype="<u4") for i in long.tolist()]
+        size, begin = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
+        size[kept], begin[kept] = self.sizes.room[number[kept]], self.starts.room[number[kept]]
+        size[long] = [len(ids) for ids in own]
+        before = np.cumsum(size) - size
+        from_pool = np.arange(int(size.sum())) + np.repeat(begin - before, size)
+        if not len(long):
+            return row, size, self.pool.room[from_pool]
+        remembered, ids = np.repeat(kept, size), np.empty(int(size.sum()), dtype="<u4")
+        ids[remembered] = self.pool.room[from_pool[remembered]]
+        ids[~remembered] = np.concatenate(own)
+        return row, size, ids
+
     def encoded(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """First row, ids and the rows' offsets in them, for groups of rows of a text column; each text's ids are followed by end_id. Null texts are empty."""
         for first, data, at in words.row_groups(column):
             n = len(at) - 1
             if self.by_chunks:
-                starts, ends, row = words.runs(~self._spaces(data), at)
-                starts, ends, row, folded = self._cut_tails(data, starts, ends, row)
-                number = self._numbers(data, starts, ends, folded)
-                begin, size = self.starts[number], self.sizes[number]
+                row, size, said = self._by_words(data, at)
             else:
                 texts = [data[a:b].tobytes().decode() for a, b in zip(at, at[1:])]
                 parts = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-                row, size = np.arange(n), np.array([len(p) for p in parts], dtype=np.int64)
-                begin = np.cumsum(size) - size
-            pool = self.pool if self.by_chunks else np.concatenate(parts)
-            before = np.cumsum(size) - size
+                row, size, said = np.arange(n), np.array([len(p) for p in parts], dtype=np.int64), np.concatenate(parts)
             to = np.concatenate(([0], np.cumsum(np.bincount(row, size, n).astype(np.int64) + 1)))
             ids = np.full(to[-1], end_id, dtype="<u4")
-            place = np.arange(int(size.sum()))
-            ids[place + np.repeat(row, size)] = pool[place + np.repeat(begin - before, size)]
+            ids[np.arange(len(said)) + np.repeat(row, size)] = said
             yield first, ids, to
 
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian, without an end."""
         return [ids[a : b - 1].tobytes() for _, ids, to in self.encoded(pa.array(texts, pa.string()), 0) for a, b in zip(to.tolist(), to[1:].tolist())]

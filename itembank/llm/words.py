@@ -94,6 +94,41 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values:
     return out
 
 
+def letter_places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The place of each byte in its word, from 1; for bytes between words, counted on from the word before."""
+    at = np.arange(len(data), dtype=np.int64)
+    first = np.zeros(len(data), dtype=np.int64)
+    first[starts] = starts
+    return (at - np.maximum.accumulate(first) + 1).astype(np.uint64)
+
+
+def spread_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word with A-Z as a-z: the sum of a mix of each letter with its place, mixed with the length.
+
+    A letter's part depends on its place in no simple way, so that no pattern of repeated letters cancels out, as it can in a polynomial. Seeds give
+    independent hashes.
+    """
+    values = mix64(_VALUES + np.uint64(seed)) if seed else _VALUES
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + WINDOW, "right")))
+        part = data[lo : ends[j - 1]]
+        mixed = letter_places(part, starts[i:j] - lo)
+        mixed *= np.uint64(_ODD)
+        mixed += values[part]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(mixed, out=sums[1:])
+        out[i:j] = mix64(sums[ends[i:j] - lo] - sums[starts[i:j] - lo] + (ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return out
+
+
 class Seen:
     """A number for each 64-bit hash: an open-addressed table that is asked for whole arrays."""
 
@@ -135,13 +170,13 @@ class Seen:
             todo, place = todo[on], (place[on] + 1) & mask
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct k-word shingles of each text, ascending, and the offsets of the texts in them.
+def shingle_sets(data: np.ndarray, at: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-word shingles of each text, ascending, and the offsets of the texts in them; seeds give independent hashes.
 
     A text of fewer than k words has its whole sequence of words as one shingle; one without words has none.
     """
     starts, ends, row = word_bounds(data, at)
-    words, n = word_hashes(data, starts, ends), len(at) - 1
+    words, n = spread_hashes(data, starts, ends, seed), len(at) - 1
     count = np.bincount(row, minlength=n)
     first = np.concatenate(([0], np.cumsum(count)))
     made = np.where(count >= k, count - k + 1, np.minimum(count, 1))

@@ -138,3 +138,25 @@ def test_components_of_chains_stars_and_rings(spark):
     clean = [(a, b) for a, b in links if a is not None and a != b]
     assert got == roots({x for p in clean for x in p}, clean)
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_word_of_the_thue_morse_pattern_is_not_its_complement(spark, documents):
+    """In a polynomial hash with an odd base modulo 2**64 the two are equal, whatever the base."""
+    pattern = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = pattern.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{pattern} {pattern} x", "s"), (2, f"{other} {other} x", "s"), (3, f"{pattern} {pattern} X", "s")]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(rows), shingle_words=2).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    from itembank.llm import exact_dedup, mixing
+
+    rows = [(i, text, "s", "en", 1) for i, text in enumerate(["a b c d e f", "A b c d e f", "a b c d e f g", "other words", None, "other words"])]
+    docs = spark.createDataFrame([*rows, *rows[-1:]], "doc_id long, text string, source string, lang string, n_chars long")
+    for name in ("__id", "_id", "__row", "___row", "__times", "__time", "__hash"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for stage in (exact_dedup.drop_exact_copies, near_dedup.drop_near_copies, mixing.mixed_documents):
+        left = stage(docs)
+        assert left.columns == docs.columns
+        assert all(r["__id"] == f"__id{r.doc_id}" and r["__row"] == f"__row{r.doc_id}" and r["__times"] == f"__times{r.doc_id}" for r in left.collect())

@@ -45,6 +45,20 @@ def test_random_texts(encoder, monkeypatch):
     assert encoded(encoder, texts) == want
 
 
+def test_long_words_are_kept_nowhere(encoder, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000)) + " short words." for _ in range(2000)]
+    encoder._forget()
+    for lo in range(0, len(texts), 200):
+        for _, ids, to in encoder.encoded(pa.array(texts[lo : lo + 200], pa.string()), 1):
+            assert len(ids) == to[-1]
+    assert encoder.pool.n < 100 and encoder.sizes.n < 10 and encoder.pool.room.nbytes < 10_000
+    assert encoded(encoder, texts[:3]) == wanted(encoder, texts[:3])
+    monkeypatch.setattr(packing, "CACHE_IDS", 500)
+    many = [" ".join("".join(rng.choices("qxzj", k=200)) for _ in range(30)) for _ in range(40)]
+    assert encoded(encoder, many) == wanted(encoder, many)
+
+
 @pytest.mark.parametrize("lower", [False, True])
 def test_other_tokenizers(tmp_path, lower):
     words = {w: i for i, w in enumerate(["?", "Hello", "hello", "world", "World", "hello.", "x", ".", ",", "été", "don't", "word", "Word", "x."])}
