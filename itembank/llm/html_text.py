@@ -47,6 +47,11 @@ SELF_CLOSING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"
 DROP_TAGS = set("head title nav footer aside form menu dialog button fieldset".split())
 #: Names that say what an element is.
 DROP_WORDS = set("nav navbar navigation menu menubar sidebar footer masthead banner ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal newsletter signup login comment comments reply replies disqus breadcrumb breadcrumbs pagination pager hidden".split())
+#: Words that say where or what kind of part something is: beside one of these, or alone, a name above counts in full; beside any other word (ad-hoc-study, menu-of-the-day) as a vague one.
+PLACE_WORDS = set("site page global main top bottom left right upper lower inner outer primary secondary sub mobile desktop sticky fixed floating visually is has js list item items box block area bar wrap wrapper wrapping container content section inline slot unit space row col column grid link links button buttons btn form field group panel head header body widget module component post article entry user thread tree count text label icon toggle trail native xs sm md lg xl".split())
+#: Names of inline elements whose text is no part of the running text.
+INLINE_DROP = set("ad ads advert adverts advertisement advertising sponsor sponsored hidden".split())
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Names that are often given to parts of a text as well: these only count where the host's pages don't tell.
 VAGUE_WORDS = set("aside promo promotion notice notices notification alert overlay subscribe subscription share sharing social related recommended recommendations respond search toolbar widget copyright legal disclaimer skip".split())
 DROP_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -55,7 +60,7 @@ PROSE = set("p h1 h2 h3 h4 h5 h6 hgroup li dt dd tr td th thead tbody tfoot capt
 TEXT_WORDS = set("article content post entry story main body text maincontent articlebody postbody".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S | re.I)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 DIGITS, WORDS = re.compile(r"\d+"), re.compile(r"[a-z]+")
 
 
@@ -71,6 +76,30 @@ class Node:
 _kinds: dict[tuple[str, str], tuple[str, int, bool]] = {}
 
 
+def _by_name(value: str) -> tuple[int, bool]:
+    """What the names of a class or id say: boilerplate (2, 1 for vague names and for plain ones beside other words), and main text."""
+    drop, found = 0, set()
+    for name in value.split():
+        parts = set(WORDS.findall(DIGITS.sub(" ", name)))
+        found |= parts
+        if parts & DROP_WORDS:
+            drop = max(drop, 2 if parts <= DROP_WORDS | VAGUE_WORDS | PLACE_WORDS else 1)
+    if found & VAGUE_WORDS and not found & TEXT_WORDS:
+        drop = max(drop, 1)
+    return drop, bool(found & TEXT_WORDS)
+
+
+def _unseen(tag: str, attrs: str) -> bool:
+    """Whether an inline element is an advert by name, or hidden."""
+    for m in ATTR.finditer(attrs):
+        what, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if what == "hidden" and value != "false" or what == "style" and UNSEEN.search(value):
+            return True
+        if what in ("class", "id") and any(parts & INLINE_DROP and parts <= DROP_WORDS | PLACE_WORDS for name in value.split() if (parts := set(WORDS.findall(DIGITS.sub(" ", name))))):
+            return True
+    return False
+
+
 def _kind(tag: str, attrs: str) -> tuple[str, int, bool]:
     """Key, boilerplate by name, main text by name of an element."""
     known = _kinds.get((tag, attrs))
@@ -78,15 +107,16 @@ def _kind(tag: str, attrs: str) -> tuple[str, int, bool]:
         name, drop, main = [], 2 if tag in DROP_TAGS else 0, tag in ("article", "main")
         for m in ATTR.finditer(attrs):
             what, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            found = set(WORDS.findall(DIGITS.sub(" ", value)))
-            if what == "role":
+            if what == "style":
+                drop = 2 if UNSEEN.search(value) else drop
+            elif what == "role":
                 drop, main = 2 if value in DROP_ROLES else drop, main or value == "main"
             elif what in ("hidden", "aria-hidden"):
                 drop = 2 if (value != "false" if what == "hidden" else value == "true") else drop
             else:
                 name.append(DIGITS.sub("0", value))
-                drop = max(drop, 2 if found & DROP_WORDS else 1 if found & VAGUE_WORDS and not found & TEXT_WORDS else 0)
-                main = main or bool(found & TEXT_WORDS)
+                by_name, text = _by_name(value)
+                drop, main = max(drop, by_name), main or text
         key = ".".join([tag, *name])
         if len(key) > KEY_CHARS:
             key = key[:KEY_CHARS] + "~" + hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
@@ -116,6 +146,8 @@ def parse(page: str) -> Node:
             if tag == "a":
                 link = 0
             if tag in INLINE:
+                if stack[-1].tag == tag:  # only unseen ones, and what is inside them, are on the stack
+                    stack.pop()
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -124,7 +156,10 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in INLINE:
-            if tag == "a":
+            attrs = m[4] or m[7] or ""
+            if tag not in VOID and (stack[-1].tag in INLINE or attrs and _unseen(tag, attrs)):
+                stack.append(Node(tag, tag, 2, False))  # beside the tree: its text goes, and the text around it stays one
+            elif tag == "a":
                 link = 1
             elif tag == "br":
                 stack[-1].items.append(" ")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import random
 
+import pytest
+
 from itembank.llm import html_text as H
 
 LAYOUTS = [
@@ -140,3 +142,32 @@ def test_a_headline_beside_the_body():
 def test_groups_of_any_length_repeat():
     w = H.wrapper_of(H.parse("<div>" + "<h2>a</h2><p>b</p><ul><li>c</ul><table></table><pre>d</pre><hr>" * 3 + "</div>"))
     assert [(x["k"], x["r"], len(x["i"])) for x in w["i"][0]["i"]] == [("(h2 p ul table pre hr)", True, 6)]
+
+
+def on_host(extra, i=0, pages=8):
+    """The text of page i of a host whose articles hold extra(page) between two paragraphs of their own."""
+    page = lambda k: f'<html><body><nav><a href="/a">Home</a> <a href="/b">News</a></nav><article>{own(k)}{extra(k)}{own(k + 50)}</article><footer>Copyright</footer></body></html>'
+    return H.main_text(page(i), merged([page(k) for k in range(pages)]))
+
+
+@pytest.mark.parametrize("name", ["ad-hoc-study", "hidden-gems", "menu-of-the-day", "banner-title", "comment-free-analysis", "signup-numbers", "cookie-recipe", "pager-history"])
+def test_names_that_only_hold_a_plain_word_drop_no_text(name):
+    assert "findings of page 3" in on_host(lambda k: f'<div class="{name}"><p>{"findings " * 9}</p><p>findings of page {k} and more</p></div>', 3)
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-banner", "ads-slot-17", "site-nav", "comments-list", "newsletter-signup", "sidebar-left", "cookie-consent-bar", "ad ad-300x250"])
+def test_plain_names_still_drop(name):
+    assert "findings" not in on_host(lambda k: f'<div class="{name}"><p>findings of page {k} and more</p></div>', 3)
+
+
+@pytest.mark.parametrize("advert", ['<span class="ad">BUY</span>', '<a class="ads" href="x">BUY</a>', "<span hidden>BUY</span>", '<span style="color:red; display : none">BUY <b>it</b> <span>BUY</span> now</span>', '<b class="ad-label sponsored">BUY <br> now</b>'])
+def test_unseen_inline_elements_leave_the_text_around_them_whole(advert):
+    assert "before after words" in on_host(lambda k: f"<p>before {advert} after words</p>").split("\n")
+
+
+def test_inline_names_that_are_no_adverts_stay():
+    assert "a comment hid word" in on_host(lambda k: '<p>a <span class="comment">comment</span> <i class="ad-hoc">hid</i> <span aria-hidden="false">word</span></p>')
+
+
+def test_unseen_blocks_go():
+    assert "BUY" not in on_host(lambda k: '<div style="Display: none"><p>BUY</p></div><div style="visibility:hidden">BUY</div>')

@@ -28,8 +28,8 @@ def brute(text):
             b = grams(t)
             d = 2 * len(a & b) / (len(a) + len(b)) if a else 0
             if d >= licenses.LEAST:
-                found.append((-d, i, name))
-    return ",".join(sorted({n for _, _, n in found})), min(found)[2] if found else None, round(-min(found)[0], 4) if found else 0.0, min(found)[1] if found else None, text.count("\n") + 1
+                found.append((-len(a & b), -d, i, name))
+    return ",".join(sorted({f[-1] for f in found})), min(found)[3] if found else None, round(-min(found)[1], 4) if found else 0.0, min(found)[2] if found else None, text.count("\n") + 1
 
 
 PROBES = {"Some text here. Released under the MIT License. Thanks to all": "MIT short", "Copyright 2020 Foo. All rights reserved.": "Proprietary", "MIT License": "MIT name", "# SPDX-License-Identifier: GPL-3.0-or-later": "SPDX GPL-3.0-or-later", "as said in\nthe paper. Licensed under\nCC BY 4.0. See more": "CC-BY", (licenses.TEMPLATES["Apache-2.0"] + "\n\n") * 6: "Apache-2.0", "It is said. This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser\nGeneral Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\ncode": "LGPL"}
@@ -40,6 +40,14 @@ def test_notices_inside_other_text(spark, documents, text):
     assert PROBES[text] in licenses.scan_licenses(documents([(1, text, "s")])).first()["licenses"]
 
 
+@pytest.mark.parametrize("name", ["BSD-3-Clause full", "BSD-2-Clause full", "MIT full", "ISC full"])
+def test_a_licence_outranks_the_notice_above_it(spark, documents, name):
+    """The notices of a copyright line are found, too, but the licence below it is the best one."""
+    text = f"Copyright (c) 2020, Foo.\nAll rights reserved.\n\n{licenses.TEMPLATES[name].replace(', ', ',' + chr(10), 5)}"
+    found = licenses.scan_licenses(documents([(1, text, "s")])).first()
+    assert found.best_license == name and found.best_dice > 0.9 and "Proprietary" in found.licenses
+
+
 def test_cues_lose_no_match():
     """Any text with the least share of a template's bigrams has a cue."""
     cues = {*licenses._cues(licenses.TEMPLATES, 0.8)}
@@ -51,7 +59,7 @@ def test_cues_lose_no_match():
 def test_scan_equals_brute_force(spark, documents):
     t = licenses.TEMPLATES
     long = "word " * 50_000
-    texts = [None, "", "all", "All rights reserved.", "all RIGHTS -- reserved!\nx", f"intro\n{t['MIT short']}\n{t['CC-BY-NC']}", t["MIT"].replace(", ", ",\n", 4), f"head\n\n{t['BSD'].replace(' in ', chr(10) + 'in ')}\n\ntail", t["Apache-2.0"][:-60], "Licensed under the Apache License, Version 3.0.", long, f"{long}\nReleased under the MIT License.", t["GPL"] + " " + t["GPL"]]
+    texts = [None, "", "all", "All rights reserved.", "all RIGHTS -- reserved!\nx", f"intro\n{t['MIT short']}\n{t['CC-BY-NC']}", f"All rights reserved.\n{t['BSD-3-Clause full']}", f"{t['GPL']}\n\n{t['GPL no warranty']}\nAll rights reserved.", t["MIT"].replace(", ", ",\n", 4), f"head\n\n{t['BSD'].replace(' in ', chr(10) + 'in ')}\n\ntail", t["Apache-2.0"][:-60], "Licensed under the Apache License, Version 3.0.", long, f"{long}\nReleased under the MIT License.", t["GPL"] + " " + t["GPL"]]
     rows = [(i, x, "s") for i, x in enumerate(texts)] + [(None, "All rights reserved.", "s"), (3, texts[3], "s")]
     got = licenses.query(documents(rows)).collect()
     want = {i: brute(x) for i, x, _ in rows}
