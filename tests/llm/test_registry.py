@@ -19,7 +19,7 @@ ROOT = Path(__file__).resolve().parents[2]
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = queries.QUERIES[name](spark, sf_dir)
     found = con.execute(queries.SQL[name])
