@@ -35,6 +35,8 @@ DOWN, LINKS = 0.7, 0.6
 MAIN_SHARE, MOST_SHARE = 0.25, 0.5
 #: Lists of items are aligned cell by cell up to so many cells; longer ones between the items that both have once.
 ALIGN_CELLS = 40_000
+#: An element that at most one page in RARE_ONE has, and fewer than SAME_PAGES in all, or one page in RARE_ALL, is known by its tag alone.
+RARE_ONE, RARE_ALL = 32, 256
 #: Longer element keys are cut and given a digest of the whole.
 KEY_CHARS = 80
 
@@ -229,16 +231,35 @@ def _guarded(root: Node) -> None:
         node.key += ("", "?", "!")[node.drop]
 
 
-# A wrapper is a dict: k its key ("#" a text slot, "()" a repeated group), n pages, c characters, l those in links, t the text if it is
-# always the same, d and m boilerplate and main text by name, o optional, r repeated, i its items in order.
+# A wrapper is a dict: k its key ("#" a text slot, "()" a repeated group, "tag.*" any element of the tag that is rare there), n pages,
+# c characters, l those in links, t the text if it is always the same, s a slot's texts (hashes) that all pages have, d and m boilerplate
+# and main text by name, o optional, r repeated, i its items in order.
+
+
+def _wild(key: str, main: bool, drop: int) -> str:
+    """The key by tag alone: names are left out, what they say of the element stays. Text slots and elements without a name keep theirs."""
+    tag, dot, _ = key.partition(".")
+    return f"{tag}.*{'m' if main else ''}{('', '?', '!')[drop]}" if dot and key[0] != "(" else key
+
+
+def _is_wild(key: str) -> bool:
+    return key.partition(".")[2].rstrip("?!") in ("*", "*m") and key[0] != "("
 
 
 def _merge_into(a: dict[str, Any], b: dict[str, Any], pages: bool = True) -> dict[str, Any]:
     """One wrapper for the pages of both (pages), or for two of the same page's elements."""
-    work = [(a, b, pages)]
+    _merge_all([(a, b, pages)])
+    if pages and a["n"] >= RARE_ONE:
+        _close_gaps(a)
+    return a
+
+
+def _merge_all(work: list[Any]) -> None:
+    """The first of each pair becomes the wrapper of both."""
     while work:
         x, y, pages = work.pop()
         x["n"] = x["n"] + y["n"] if pages else max(x["n"], y["n"])
+        x["s"] = sorted(set(x["s"]) & set(y["s"]) if pages else set(x["s"]) | set(y["s"]))
         x["c"] += y["c"]
         x["l"] += y["l"]
         x["o"] |= y["o"]
@@ -246,7 +267,33 @@ def _merge_into(a: dict[str, Any], b: dict[str, Any], pages: bool = True) -> dic
         if x["t"] != y["t"]:
             x["t"] = None
         x["i"] = _align(x["i"], y["i"], pages, work)
-    return a
+
+
+def _close_gaps(w: dict[str, Any]) -> None:
+    """Rare items between two that aren't, known by their tags alone, become one optional item a tag, so that a wrapper's size doesn't follow
+    the pages where names are made anew for each of them."""
+    stack = [(w, w["n"])]
+    while stack:
+        x, pages = stack.pop()
+        out: list[dict[str, Any]] = []
+        gap: dict[str, dict[str, Any]] = {}
+        for y in x["i"]:
+            n = max(z["n"] for z in y["i"]) if y["k"][0] == "(" else y["n"]
+            if not (n * RARE_ALL <= pages or n < SAME_PAGES and n * RARE_ONE <= pages or _is_wild(y["k"])):
+                out += gap.values()
+                gap = {}
+                out.append(y)
+                continue
+            for z in y["i"] if y["k"][0] == "(" else [y]:
+                key = _wild(z["k"], z["m"], z["d"])
+                if key in gap:
+                    n = gap[key]["n"] + z["n"]
+                    _merge_all([(gap[key], z, True)])
+                    gap[key] |= {"n": min(n, pages), "r": gap[key]["r"] or n > pages}
+                else:
+                    gap[key] = z | {"k": key, "o": True, "r": z["r"] or y["r"]}
+        x["i"] = [*out, *gap.values()]
+        stack += [(y, pages if y["k"][:1] == "(" else max(1, y["n"])) for y in x["i"] if y["i"]]
 
 
 def _pairs(ka: list[str], kb: list[str]) -> list[tuple[int, int]]:
@@ -334,7 +381,7 @@ def _folded(items: list[dict[str, Any]], pages: bool, work: list[Any]) -> list[d
             group = items[i : i + p]
             for t in range(1, times):
                 work += [(x, y, pages) for x, y in zip(group, items[i + t * p : i + (t + 1) * p])]
-            node = group[0] if p == 1 else {"k": "(" + " ".join(keys[i : i + p]) + ")", "n": group[0]["n"], "c": 0, "l": 0, "t": None, "d": 0, "m": False, "o": False, "r": True, "i": group}
+            node = group[0] if p == 1 else {"k": "(" + " ".join(keys[i : i + p]) + ")", "n": group[0]["n"], "c": 0, "l": 0, "t": None, "s": [], "d": 0, "m": False, "o": False, "r": True, "i": group}
             node["r"] = True
             out.append(node)
             i += times * p
@@ -351,16 +398,16 @@ def wrapper_of(root: Node) -> dict[str, Any]:
     """The wrapper that one page alone gives."""
     made: dict[Node, dict[str, Any]] = {}
     for node in reversed(_preorder(root)):
-        items = [{"k": "#", "n": 1, "c": len(x), "l": 0, "t": _shown(x), "d": 0, "m": False, "o": False, "r": False, "i": []} if isinstance(x, str) else made.pop(x) for x in _runs(node)]
+        items = [{"k": "#", "n": 1, "c": len(x), "l": 0, "t": _shown(x), "s": [_text_hash(_shown(x))[0]], "d": 0, "m": False, "o": False, "r": False, "i": []} if isinstance(x, str) else made.pop(x) for x in _runs(node)]
         work: list[Any] = []
         items = _folded(items, False, work)
         for x, y, _ in work:
             _merge_into(x, y, False)
-        made[node] = {"k": node.key, "n": 1, "c": 0, "l": node.links, "t": None, "d": node.drop, "m": node.main, "o": False, "r": False, "i": items}
+        made[node] = {"k": node.key, "n": 1, "c": 0, "l": node.links, "t": None, "s": [], "d": node.drop, "m": node.main, "o": False, "r": False, "i": items}
     return made[root]
 
 
-FIELDS = ("k", "n", "c", "l", "t", "d", "m", "o", "r")
+FIELDS = ("k", "n", "c", "l", "t", "s", "d", "m", "o", "r")
 
 
 def dumps(w: dict[str, Any]) -> str:
@@ -408,7 +455,7 @@ def _weigh(w: dict[str, Any]) -> list[tuple[dict[str, Any], int, int]]:
     """Items, parents first, with their paths (groups are looked through) and their parents' places.
 
     Each item gets C and L, its characters of text and link text outside boilerplate; T, its texts where they are the same on all
-    pages that have it; g, whether it goes: by its name, or by a vague name that the host's pages don't refute with text of its own.
+    pages that have it; S, whether any of them is on all pages that have its slot; g, whether it goes: by its name, or by a vague name that the host's pages don't refute with text of its own.
     """
     order: list[tuple[dict[str, Any], int, int]] = []
     stack = [(w, 0, -1)]
@@ -420,22 +467,24 @@ def _weigh(w: dict[str, Any]) -> list[tuple[dict[str, Any], int, int]]:
     for x, _, _ in reversed(order):
         x["C"], x["L"], texts = x["c"], x["l"], (0, 0)
         if x["k"] == "#":
-            x["T"] = None if x["t"] is None else _text_hash(x["t"])
+            x["T"], x["S"] = None if x["t"] is None else _text_hash(x["t"]), bool(x["s"])
         else:
+            x["S"] = any(y["S"] for y in x["i"] if not y["g"])
             for y in x["i"]:
                 if not y["g"]:
                     x["C"], x["L"] = x["C"] + y["C"], x["L"] + y["L"]
                     if y["C"]:
                         texts = None if texts is None or y["o"] or y["r"] or y["T"] is None else _joined(texts, y["T"])
             x["T"] = texts
-        told = x["n"] >= SAME_PAGES and x["C"] and x["T"] is None and x["L"] <= LINKS * x["C"]
+        told = not _is_wild(x["k"]) and x["n"] >= SAME_PAGES and x["C"] and x["T"] is None and x["L"] <= LINKS * x["C"]
         x["g"] = x["d"] == 2 or x["d"] == 1 and not told
     return order
 
 
 def rules_of(w: dict[str, Any]) -> dict[str, Any]:
     """Numbers of paths: root, that of the main text; below it, menus and headers: paths of which those elements go that are menus, or
-    headers without a title, themselves; same: paths and the notices' texts; kept: vaguely named elements that hold texts of their own.
+    headers without a title, themselves; same: paths and the notices' texts; kept: vaguely named elements that hold texts of their own;
+    gaps: paths below which elements that aren't known are taken by their tag alone.
     Siblings share paths, so no path alone drops anything."""
     order = _weigh(w)
     total, pages = max(1, w["C"]), max(1, w["n"])
@@ -480,7 +529,7 @@ def rules_of(w: dict[str, Any]) -> dict[str, Any]:
             continue
         if tag[k] == "header" and not titled[k]:
             headers.add(path)
-        elif x["C"] and x["L"] > LINKS * x["C"] and x["r"] is False and tag[k] in ("ul", "ol", "div", "section", "table"):
+        elif x["C"] and x["L"] > LINKS * x["C"] and x["r"] is False and (x["S"] or x["n"] < SAME_PAGES) and tag[k] in ("ul", "ol", "div", "section", "table"):
             menus.add(path)
         elif tag[k] not in PROSE and x["n"] >= SAME_PAGES and 2 * x["n"] >= pages and not x["r"] and x["T"] and x["T"][1]:
             same[path, x["T"][0]] = None
@@ -490,13 +539,16 @@ def rules_of(w: dict[str, Any]) -> dict[str, Any]:
     if same_mass > SAME_SHARE * max(1, sum(order[k][0]["C"] for k in tops)):
         same = {}
     kept = {path for x, path, _ in order if x["d"] == 1 and not x["g"]}
-    return {"root": root, "menus": sorted(menus), "headers": sorted(headers), "same": sorted(map(list, same)), "kept": sorted(kept)}
+    gaps = {order[parent][1] for x, _, parent in order if parent >= 0 and _is_wild(x["k"])}
+    known = {path for x, path, parent in order if parent >= 0 and order[parent][1] in gaps and "." in x["k"] and x["k"][0] != "("}
+    return {"gaps": sorted(gaps), "known": sorted(known), "root": root, "menus": sorted(menus), "headers": sorted(headers), "same": sorted(map(list, same)), "kept": sorted(kept)}
 
 
 def _matched(root: Node, rule: dict[str, Any]) -> list[str]:
     """The texts in those slots of the page that the wrapper's rules call main text, as blocks in page order."""
     nodes = _preorder(root)
     kept, menus, headers = set(rule["kept"]), set(rule["menus"]), set(rule["headers"])
+    gaps, known = set(rule["gaps"]), set(rule["known"])
     same: dict[int, set[int]] = {}
     for path, text in rule["same"]:
         same.setdefault(path, set()).add(text)
@@ -505,6 +557,8 @@ def _matched(root: Node, rule: dict[str, Any]) -> list[str]:
         for x in node.items:
             if not isinstance(x, str):
                 path[x] = _step(path[node], x.key)
+                if path[node] in gaps and path[x] not in known:
+                    path[x] = _step(path[node], _wild(x.key, x.main, x.drop))
     goes: dict[Node, bool] = {}  # inside the main part
     sums: dict[Node, tuple[int, int, Texts]] = {}
     for node in reversed(nodes):
@@ -560,15 +614,20 @@ def main_text(page: str, rules: dict[str, Any] | None) -> str:
 @releasing
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A wrapper for each host, of the pages that this task has seen."""
-    held: dict[str, dict[str, Any]] = {}
+    held: dict[str, list[dict[str, Any]]] = {}  # of so many pages each that none is merged with one of fewer: what some pages in a row have isn't rare among them
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
+        for ws in held.values():
+            while len(ws) > 1:
+                _merge_into(ws[-2], ws.pop())
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([dumps(ws[0]) for ws in held.values()], pa.string())], names=["host", "wrapper"])
 
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            w = wrapper_of(parse(page))
-            held[host] = _merge_into(held[host], w) if host in held else w
+            ws = held.setdefault(host, [])
+            ws.append(wrapper_of(parse(page)))
+            while len(ws) > 1 and ws[-2]["n"] <= ws[-1]["n"]:
+                _merge_into(ws[-2], ws.pop())
             if len(held) > HELD_HOSTS:
                 yield out()
                 held.clear()

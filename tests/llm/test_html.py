@@ -171,3 +171,46 @@ def test_inline_names_that_are_no_adverts_stay():
 
 def test_unseen_blocks_go():
     assert "BUY" not in on_host(lambda k: '<div style="Display: none"><p>BUY</p></div><div style="visibility:hidden">BUY</div>')
+
+
+def test_a_list_of_links_that_differ_from_page_to_page_is_text_and_a_menu_repeats():
+    links = lambda k: f'<h2>References</h2><ol><li><a href=a>Source {k} one</a><li><a href=b>Source {k} two</a></ol><ul><li><a href=x>Link {k}</a><li><a href=y>All topics</a></ul>'
+    assert on_host(links, 3).split("\n")[4:7] == ["References", "Source 3 one", "Source 3 two"] and "topics" not in on_host(links, 3)
+    other = lambda k: f'<section><ul><li><a href=a>Entry {k}</a></ul></section>'
+    assert "Entry 5" in on_host(other, 5)
+
+
+def made_anew(i, rng):
+    name = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    body = "".join(f'<div class="css-{name()}"><p>{words}</p></div>' for words in words_of(i))
+    return f'<body><div class="css-{name()}"><div class="css-{name()}">{body}</div></div><div class="css-{name()}"><ul class="css-{name()}"><li><a href=x>About us</a></ul></div></body>'
+
+
+def of_one_task(pages, halves=None):
+    """The wrapper that a task, or two, hands on for pages of one host."""
+    import pyarrow as pa
+
+    parts = [pages] if halves is None else [pages[:halves], pages[halves:]]
+    out = []
+    for part in parts:
+        batches = iter([pa.RecordBatch.from_arrays([pa.array(["h"] * len(part)), pa.array(part)], names=["host", "html"])])
+        out += [row["wrapper"] for batch in H._partial(batches) for row in batch.to_pylist()]
+    return out[0] if len(out) == 1 else H.dumps(H._merge_into(*map(H.loads, out)))
+
+
+def test_class_names_made_anew_for_every_page_do_not_let_a_wrapper_grow():
+    rng = random.Random(3)
+    pages = [made_anew(i, rng) for i in range(300)]
+    sizes = [len(of_one_task(pages[:n])) for n in (100, 300)]
+    assert sizes[1] < 1.2 * sizes[0] < 3000
+    for wrapper in (of_one_task(pages), of_one_task(pages, 70)):
+        rules = H.rules_of(H.loads(wrapper))
+        assert all(H.main_text(pages[i], rules).split("\n") == words_of(i) for i in (0, 50, 299))
+
+
+def test_a_layout_that_a_host_takes_up_later_is_not_rare():
+    old = [f'<body><div class="top">Menu of old</div><div class="layout-one">{own(i)}</div></body>' for i in range(100)]
+    new = [f'<body><div class="layout-two">{own(i)}<div class="related">{"story " * 9}{i}</div></div></body>' for i in range(60)]
+    rules = H.rules_of(H.loads(of_one_task(old + new)))
+    assert H.main_text(new[7], rules).split("\n") == [*words_of(7), "story " * 9 + "7"]
+    assert H.main_text(old[7], rules).split("\n")[-4:] == words_of(7)
