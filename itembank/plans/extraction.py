@@ -188,7 +188,13 @@ def sanitize_html(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "pages").select("page_id", rich.sanitized("html").alias("clean"))
 
 
-@query("parse_options")
+@query("parse_options", r"""
+WITH t AS (SELECT doc_id AS id, regexp_replace(regexp_replace(text || chr(10) || 'A. 1' || chr(10) || 'B. 2' || chr(10) || 'C. ' || left(text, 10), '\n{3,}', chr(10) || chr(10), 'g'), '(?m)[ \t]+$', '', 'g') AS body FROM documents),
+m AS (SELECT id, string_split(regexp_replace(trim(body, ' ' || chr(9) || chr(10) || chr(13)), '(?m)(?:^|\s)([A-D])\s*[.．、]\s*', chr(1) || '\1', 'g'), chr(1)) AS parts FROM t),
+o AS (SELECT id, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM m),
+g AS (SELECT id, left(part, 1) AS label, min(i) AS place, arg_max(regexp_replace(trim(substr(part, 2), ' ' || chr(9) || chr(10) || chr(13)), '\s*\n\s*', ' ', 'g'), i) AS content FROM o WHERE i > 1 GROUP BY ALL),
+l AS (SELECT id, string_agg(label || '=' || content, ';' ORDER BY place) AS options FROM g GROUP BY 1)
+SELECT m.id, CASE WHEN parts IS NOT NULL THEN 3 END AS score, trim(coalesce(parts[1], ''), ' ' || chr(9) || chr(10) || chr(13)) AS stem, coalesce(options, '') AS options FROM m LEFT JOIN l ON l.id = m.id""")
 def parse_options(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat((F.col("doc_id") % 30 + 1).cast("string"), F.lit(". (3 分) "), "text", F.lit("\nA. 1\nB. 2\nC. "), F.substring("text", 1, 10))
     p = rich.parsed_question(F.regexp_replace(text, r"\(3 分\)", "（3 分）"))
@@ -208,11 +214,36 @@ def strip_options(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(rich.body_without_options(text, F.lit('[{"label":"A"},{"label":"B"}]'))).alias("body"))
 
 
-@query("math_segments")
+#: Texts in parts: lines, display formulas (behind chr(2)) and what is between them, and inside that inline formulas (behind chr(2)). Dollars beside
+#: dollars open and close nothing: they are chr(3) while inline formulas are looked for. good: has text and balanced braces, so that it is a formula.
+FORMULAS = r"""
+l AS (SELECT id, generate_subscripts(ls, 1) AS line, unnest(ls) AS t FROM (SELECT id, string_split(trim(content, ' ' || chr(9) || chr(10) || chr(13)), chr(10)) AS ls FROM source)),
+p AS (SELECT id, line, generate_subscripts(ps, 1) AS part, unnest(ps) AS t FROM (SELECT id, line, string_split(regexp_replace(t, '\$\$([^$]+)\$\$|\\\[(.+?)\\\]', chr(1) || chr(2) || '\1\2' || chr(1), 'g'), chr(1)) AS ps FROM l)),
+d AS (SELECT id, line, part, starts_with(t, chr(2)) AS display, trim(ltrim(t, chr(2)), ' ' || chr(9) || chr(13)) AS latex, t FROM p),
+g AS (SELECT *, latex <> '' AND length(replace(latex, '{', '')) = length(replace(latex, '}', '')) AS good FROM d),
+x AS (SELECT id, line, part, regexp_replace(regexp_replace(t, '\$\$', chr(3) || chr(3), 'g'), chr(3) || '\$', chr(3) || chr(3), 'g') AS t FROM g WHERE NOT display),
+i AS (SELECT id, line, part, generate_subscripts(ps, 1) AS piece, unnest(ps) AS t FROM (SELECT id, line, part, string_split(regexp_replace(t, '(^|[^\d$\x03])(?:\$([^$\x03]+)\$|\\\((.+?)\\\))', '\1' || chr(1) || chr(2) || '\2\3' || chr(1), 'g'), chr(1)) AS ps FROM x)),
+n AS (SELECT id, line, part, piece, starts_with(t, chr(2)) AS inline, trim(ltrim(t, chr(2)), ' ' || chr(9) || chr(13)) AS latex FROM i),
+f AS (SELECT *, latex <> '' AND length(replace(latex, '{', '')) = length(replace(latex, '}', '')) AS good FROM n)"""
+
+
+@query("math_segments", f"""WITH source AS (SELECT doc_id AS id, text AS content FROM documents), {FORMULAS},
+a AS (SELECT id, line, part, 0 AS piece, 'display' AS kind, latex, good FROM g WHERE display UNION ALL SELECT id, line, part, piece, 'inline', latex, good FROM f WHERE inline),
+c AS (SELECT id, count(*) FILTER (good AND kind = 'inline') AS inline, count(*) FILTER (good AND kind = 'display') AS display, count(*) FILTER (NOT good) AS warnings,
+  string_agg(kind || ': ' || latex, chr(10) ORDER BY line, part, piece) FILTER (good) AS formulas FROM a GROUP BY 1)
+SELECT s.id, coalesce(inline, 0)::INT AS inline, coalesce(display, 0)::INT AS display, coalesce(warnings, 0)::INT AS warnings, coalesce(formulas, '') AS formulas FROM source s LEFT JOIN c ON c.id = s.id""")
 def math_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's formulas in reading order, how many there are of each kind, and how many spellings stayed text."""
     made = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), rich.to_document("text", F.lit(None).cast("string"), F.lit("essay")).alias("m"))
-    count = lambda kind: F.size(F.regexp_extract_all("m.doc", F.lit(f'("type": "{kind}")'), F.lit(1)))
-    return made.select("id", count("inlineFormula").alias("inline"), count("displayFormula").alias("display"), F.size("m.warnings").alias("warnings"))
+    node = "type: string, attrs: struct<latex: string>"
+    nodes = F.from_json("m.doc", f"struct<content: array<struct<{node}, content: array<struct<{node}>>>>>")["content"]
+    segment = lambda n: F.struct(F.regexp_extract(n["type"], "^(inline|display)Formula$", 1).alias("kind"), n["attrs"]["latex"].alias("latex"))
+    inner = lambda n: F.transform(F.coalesce(n["content"], F.array()), segment)
+    segments = F.filter(F.flatten(F.transform(nodes, lambda n: F.concat(F.array(segment(n)), inner(n)))), lambda x: x["kind"] != "")
+    found = made.select("id", segments.alias("found"), F.size("m.warnings").alias("warnings"))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind))
+    formulas = F.array_join(F.transform("found", lambda x: F.concat(x["kind"], F.lit(": "), x["latex"])), "\n")
+    return found.select("id", count("inline").alias("inline"), count("display").alias("display"), "warnings", formulas.alias("formulas"))
 
 
 @query("unit_lint", r"""
@@ -271,13 +302,32 @@ def doc_validate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.array_join(rich.document_errors("doc"), "; ").alias("errors"), rich.backfilled("doc")["patched"].alias("patched"))
 
 
-@query("doc_html")
+@query("doc_html", f""", source AS (SELECT id, content FROM questions), {FORMULAS},
+e AS (SELECT id, line, part, replace(string_agg(CASE WHEN inline THEN '$' || latex || '$' ELSE latex END, '' ORDER BY piece), chr(3), '$') AS said FROM f GROUP BY ALL),
+b AS (SELECT g.id, g.line, g.part, g.display AND g.good AS alone, CASE WHEN g.display AND NOT g.good THEN '$$' || g.latex || '$$' WHEN g.display THEN g.latex ELSE e.said END AS said,
+  g.display OR g.latex <> '' AS filled FROM g LEFT JOIN e ON e.id = g.id AND e.line = g.line AND e.part = g.part),
+h AS (SELECT *, replace(replace(replace(replace(replace(said, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS safe
+  FROM (SELECT *, bool_or(filled) OVER (PARTITION BY id, line) AS any_filled FROM b) WHERE filled OR NOT any_filled),
+r AS (SELECT *, sum(alone::INT) OVER (PARTITION BY id ORDER BY line, part) AS run FROM h),
+m AS (SELECT id, run, alone, string_agg(safe, '<br>' ORDER BY line, part) AS said FROM r GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY id, alone ORDER BY run) AS k FROM m),
+t AS (SELECT o.id, bool_or(NOT alone) AS used, string_agg(CASE WHEN alone THEN '<div class="q-formula">$$' || said || '$$</div>'
+    ELSE '<div class="q-text">' || CASE WHEN k = 1 THEN '<b>' || question_number || '. </b>' ELSE '' END || said || '</div>' END, '' ORDER BY run, alone DESC) AS said
+  FROM o JOIN questions q ON q.id = o.id WHERE trim(q.content, ' ' || chr(9) || chr(10) || chr(13)) <> '' GROUP BY 1)
+SELECT q.id, CASE WHEN t.used THEN '' ELSE '<div class="q-text"><b>' || question_number || '. </b></div>' END || coalesce(said, '') || '<div class="answer-space">' ||
+  repeat('<div class="space-line"></div>', CASE question_type WHEN 'single_choice' THEN 0 WHEN 'fill_blank' THEN 2 WHEN 'calculation' THEN 8 WHEN 'essay' THEN 6 ELSE 4 END) || '</div>' AS html
+FROM questions q LEFT JOIN t ON t.id = q.id""", bank=True)
 def doc_html(spark: SparkSession, d: str) -> DataFrame:
     q = T.questions(spark, d).select("id", "question_number", rich.to_document("content", F.lit(None).cast("string"), "question_type")["doc"].alias("doc"))
     return q.select("id", rich.rendered("doc", F.concat(F.col("question_number").cast("string"), F.lit(". "))).alias("html"))
 
 
-@query("anchor_sequence")
+@query("anchor_sequence", """
+WITH RECURSIVE c AS (SELECT l_orderkey AS paper, l_partkey % 5 AS page, l_extendedprice AS y, l_linenumber::BIGINT AS number, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey % 5, l_extendedprice, l_linenumber) AS place FROM lineitem),
+r AS (SELECT paper, number, [place] AS run, 10 AS score, 0 AS skipped FROM c WHERE number = 1
+  UNION ALL SELECT c.paper, c.number, list_prepend(c.place, r.run), r.score + 11 + r.number - c.number, r.skipped + c.number - r.number - 1 FROM r JOIN c ON c.paper = r.paper AND c.number > r.number AND c.place > r.run[1]),
+b AS (SELECT paper, run FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY score DESC, len(run) DESC, skipped, number DESC, run) AS k FROM r) WHERE k = 1)
+SELECT c.paper, c.page, c.y, c.number FROM c JOIN b ON b.paper = c.paper AND list_contains(b.run, c.place)""")
 def anchor_sequence(spark: SparkSession, d: str) -> DataFrame:
     rows = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("paper"), (F.col("l_partkey") % 5).alias("page"), F.col("l_extendedprice").alias("y"), F.col("l_linenumber").cast("long").alias("number"))
     return E.chosen_anchors(rows, "paper", "page", "y", "number")
