@@ -120,7 +120,20 @@ def options_normal(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.array_join(F.transform("o", lambda o: F.concat(o["label"], F.lit("="), o["content"])), ";").alias("options"))
 
 
-@query("rendered_texts")
+_SPANS = r"""regexp_replace(regexp_replace({}, '(?s)\$\$(.+?)\$\$|\\\[(.+?)\\\]', '<span class="math block">\1\2</span>', 'g'), '\$([^$\n]+?)\$|(?s:\\\((.+?)\\\))', '<span class="math">\1\2</span>', 'g')"""
+_SHOWN = r"""regexp_replace({}, '!\[([^\]]*)\]\(([^)]+)\)', '<img src="\2" alt="\1" style="{}" loading="lazy" />', 'g')"""
+#: Bold parts, then italic ones: asterisks beside asterisks are chr(3) while the latter are looked for.
+_BOLD = r"""regexp_replace(regexp_replace(regexp_replace({}, '\*\*(.+?)\*\*', '{}', 'g'), '\*\*', chr(3) || chr(3), 'g'), chr(3) || '\*', chr(3) || chr(3), 'g')"""
+
+
+@query("rendered_texts", rf"""
+WITH t AS (SELECT doc_id AS id, '# T' || chr(10) || '**b** $x$ ![p](u)' || chr(10) || coalesce(text, '') AS c FROM documents),
+f AS (SELECT id, {_SPANS.format("c")} AS spans, regexp_replace(regexp_replace(regexp_replace(c, '!\[([^\]]*)\]\(([^)]+)\)', '', 'g'), '(?s)\$\$\s*(.+?)\s*\$\$', '[\1]', 'g'), '\$[ \t]*([^$\n]+?)[ \t]*\$', '\1', 'g') AS plain FROM t),
+b AS (SELECT id, {_SHOWN.format("spans", X.OPTION_STYLE)} AS option, {_BOLD.format(_SHOWN.format("spans", X.FULL_STYLE), r"<b>\1</b>")} AS html, {_BOLD.format("plain", r"\1")} AS plain FROM f),
+i AS (SELECT id, option, replace(regexp_replace(html, '\*(.+?)\*', '<i>\1</i>', 'g'), chr(3), '*') AS html, regexp_replace(replace(regexp_replace(plain, '\*(.+?)\*', '\1', 'g'), chr(3), '*'), '(?m)^#{{1,4}}\s+', '', 'g') AS plain FROM b),
+h AS (SELECT id, option, plain, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?m)^#### (.+)$', '<h5>\1</h5>', 'g'), '(?m)^### (.+)$', '<h4>\1</h4>', 'g'), '(?m)^## (.+)$', '<h3>\1</h3>', 'g'), '(?m)^# (.+)$', '<h2>\1</h2>', 'g') AS html FROM i)
+SELECT id, replace(regexp_replace(regexp_replace(html, '(?m)^- (.+)$', '<li>\1</li>', 'g'), '(?m)^\d+\. (.+)$', '<li>\1</li>', 'g'), chr(10), '<br>') AS "full",
+  CASE WHEN length(plain) > 150 THEN left(plain, 150) || '...' ELSE plain END || '<div style="margin-top:4px;">' || {_SHOWN.format("'![p](u)'", X.PREVIEW_STYLE)} || '</div>' AS preview, option FROM h""")
 def rendered_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every text as the client shows it: in full, as a preview, as an option."""
     c = F.concat(F.lit("# T\n**b** $x$ ![p](u)\n"), F.coalesce("text", F.lit("")))
