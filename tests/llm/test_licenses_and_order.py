@@ -84,9 +84,16 @@ def test_the_network_permutes(n):
         assert (one != two).mean() > 0.9 and abs(np.corrcoef(np.arange(n), one)[0, 1]) < 0.1
 
 
-def test_sequences_come_back_in_any_read(spark, documents, tmp_path):
+@pytest.mark.parametrize("beyond", [False, True])
+def test_sequences_come_back_in_any_read(spark, documents, tmp_path, monkeypatch, request, beyond):
+    """beyond: with more documents than are broadcast, so that their numbers come by a shuffle."""
     from tokenizers import Tokenizer
 
+    if beyond:
+        monkeypatch.setattr(O, "BROADCAST_ROWS", 0)
+        old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old))
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     rows = [(i, "word " * (i * 37 % 900), "s") for i in range(60)] + [(None, None, "s"), (7, "again", "s"), (7, "again", "s")]
     where = O.in_training_order(documents(rows), packing.default_tokenizer(), f"file://{tmp_path}/a", key=3, shard_rows=16).collect()
