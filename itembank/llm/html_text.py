@@ -232,7 +232,7 @@ def _guarded(root: Node) -> None:
 
 
 # A wrapper is a dict: k its key ("#" a text slot, "()" a repeated group, "tag.*" any element of the tag that is rare there), n pages,
-# c characters, l those in links, t the text if it is always the same, s a slot's texts (hashes) that all pages have, d and m boilerplate
+# c characters, l those in links, t the text if it is always the same, s the texts (hashes) of a slot with links that all pages have, d and m boilerplate
 # and main text by name, o optional, r repeated, i its items in order.
 
 
@@ -259,7 +259,10 @@ def _merge_all(work: list[Any]) -> None:
     while work:
         x, y, pages = work.pop()
         x["n"] = x["n"] + y["n"] if pages else max(x["n"], y["n"])
-        x["s"] = sorted(set(x["s"]) & set(y["s"]) if pages else set(x["s"]) | set(y["s"]))
+        if pages:
+            x["s"] &= y["s"]
+        else:
+            x["s"] |= y["s"]
         x["c"] += y["c"]
         x["l"] += y["l"]
         x["o"] |= y["o"]
@@ -381,7 +384,7 @@ def _folded(items: list[dict[str, Any]], pages: bool, work: list[Any]) -> list[d
             group = items[i : i + p]
             for t in range(1, times):
                 work += [(x, y, pages) for x, y in zip(group, items[i + t * p : i + (t + 1) * p])]
-            node = group[0] if p == 1 else {"k": "(" + " ".join(keys[i : i + p]) + ")", "n": group[0]["n"], "c": 0, "l": 0, "t": None, "s": [], "d": 0, "m": False, "o": False, "r": True, "i": group}
+            node = group[0] if p == 1 else {"k": "(" + " ".join(keys[i : i + p]) + ")", "n": group[0]["n"], "c": 0, "l": 0, "t": None, "s": set(), "d": 0, "m": False, "o": False, "r": True, "i": group}
             node["r"] = True
             out.append(node)
             i += times * p
@@ -398,12 +401,12 @@ def wrapper_of(root: Node) -> dict[str, Any]:
     """The wrapper that one page alone gives."""
     made: dict[Node, dict[str, Any]] = {}
     for node in reversed(_preorder(root)):
-        items = [{"k": "#", "n": 1, "c": len(x), "l": 0, "t": _shown(x), "s": [_text_hash(_shown(x))[0]], "d": 0, "m": False, "o": False, "r": False, "i": []} if isinstance(x, str) else made.pop(x) for x in _runs(node)]
+        items = [{"k": "#", "n": 1, "c": len(x), "l": 0, "t": _shown(x), "s": {_text_hash(_shown(x))[0]} if node.links else set(), "d": 0, "m": False, "o": False, "r": False, "i": []} if isinstance(x, str) else made.pop(x) for x in _runs(node)]
         work: list[Any] = []
         items = _folded(items, False, work)
         for x, y, _ in work:
             _merge_into(x, y, False)
-        made[node] = {"k": node.key, "n": 1, "c": 0, "l": node.links, "t": None, "s": [], "d": node.drop, "m": node.main, "o": False, "r": False, "i": items}
+        made[node] = {"k": node.key, "n": 1, "c": 0, "l": node.links, "t": None, "s": set(), "d": node.drop, "m": node.main, "o": False, "r": False, "i": items}
     return made[root]
 
 
@@ -415,7 +418,7 @@ def dumps(w: dict[str, Any]) -> str:
     out, stack = [], [w]
     while stack:
         x = stack.pop()
-        out.append([*(x[f] for f in FIELDS), len(x["i"])])
+        out.append([*(sorted(x[f]) if f == "s" else x[f] for f in FIELDS), len(x["i"])])
         stack += reversed(x["i"])
     return json.dumps(out)
 
@@ -427,6 +430,7 @@ def loads(text: str) -> dict[str, Any]:
         while len(open_[-1][0]["i"]) == open_[-1][1]:
             open_.pop()
         x = dict(zip(FIELDS, row)) | {"i": []}
+        x["s"] = set(x["s"])
         open_[-1][0]["i"].append(x)
         open_.append((x, row[-1]))
     return root["i"][0]
@@ -455,7 +459,7 @@ def _weigh(w: dict[str, Any]) -> list[tuple[dict[str, Any], int, int]]:
     """Items, parents first, with their paths (groups are looked through) and their parents' places.
 
     Each item gets C and L, its characters of text and link text outside boilerplate; T, its texts where they are the same on all
-    pages that have it; S, whether any of them is on all pages that have its slot; g, whether it goes: by its name, or by a vague name that the host's pages don't refute with text of its own.
+    pages that have it; S, whether one with links is on all pages that have its slot; g, whether it goes: by its name, or by a vague name that the host's pages don't refute with text of its own.
     """
     order: list[tuple[dict[str, Any], int, int]] = []
     stack = [(w, 0, -1)]

@@ -176,8 +176,15 @@ def test_unseen_blocks_go():
 def test_a_list_of_links_that_differ_from_page_to_page_is_text_and_a_menu_repeats():
     links = lambda k: f'<h2>References</h2><ol><li><a href=a>Source {k} one</a><li><a href=b>Source {k} two</a></ol><ul><li><a href=x>Link {k}</a><li><a href=y>All topics</a></ul>'
     assert on_host(links, 3).split("\n")[4:7] == ["References", "Source 3 one", "Source 3 two"] and "topics" not in on_host(links, 3)
-    other = lambda k: f'<section><ul><li><a href=a>Entry {k}</a></ul></section>'
-    assert "Entry 5" in on_host(other, 5)
+    other = lambda k: f'<section><h2>Sources</h2><ul><li><a href=a>Entry {k} of the list</a><li><a href=b>Entry {k} as well</a></ul></section>'
+    assert on_host(other, 5).split("\n")[4:7] == ["Sources", "Entry 5 of the list", "Entry 5 as well"]
+
+
+def test_shared_texts_of_wide_pages_are_gathered_in_linear_time():
+    page = "<ul>" + "".join(f"<li><a href=x>link {k}</a>" for k in range(30_000)) + "</ul>"
+    w = H.loads(H.dumps(H.wrapper_of(H.parse(page))))
+    assert len(w["i"][0]["i"][0]["i"][0]["s"]) == 30_000
+    assert H._merge_into(w, H.wrapper_of(H.parse("<ul><li><a href=x>link 7</a><li>other</ul>")))["i"][0]["i"][0]["i"][0]["s"] == {H._text_hash("link 7")[0]}
 
 
 def made_anew(i, rng):
