@@ -34,6 +34,11 @@ def pages_covered(ranges: DataFrame, start: str, end: str, y0: str, y1: str, top
     return out.withColumn("from_y", F.when(F.col("page") == F.col(start), F.col(y0)).otherwise(F.lit(top))).withColumn("to_y", F.when(F.col("page") == F.col(end), F.col(y1)).otherwise(F.lit(bottom)))
 
 
+def _on_cells(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows dealt to cells, joined by a shuffle: the planner guesses their size from the file before rows were multiplied, and would broadcast millions."""
+    return left.join(right.hint("merge"), [*on])
+
+
 def overlaps(left: DataFrame, right: DataFrame, on: Sequence[str], cell: float, least: float = 0.0) -> DataFrame:
     """Pairs whose intervals [x0, x1) share more than least. left: l_id, l0, l1; right: r_id, r0, r1; both with the columns on.
 
@@ -45,7 +50,7 @@ def overlaps(left: DataFrame, right: DataFrame, on: Sequence[str], cell: float,
     b = right.withColumn("cell", F.explode(cells("r0", "r1")))
     shared = F.least("l1", "r1") - F.greatest("l0", "r0")
     first = F.col("cell") == F.greatest(F.floor(F.col("l0") / cell), F.floor(F.col("r0") / cell))
-    return a.join(b, [*on, "cell"]).where(first & (shared > least)).withColumn("shared", shared).drop("cell")
+    return _on_cells(a, b, [*on, "cell"]).where(first & (shared > least)).withColumn("shared", shared).drop("cell")
 
 
 #: Fixed value: pictures less wide or high than this, in points, are ornaments.
@@ -71,7 +76,7 @@ def figures(pictures: DataFrame, segments: DataFrame, cell: float = 200.0, least
     b = _gridded(segments.where("x1 > x0 AND y1 > y0"), cell).select("page", "cx", "cy", "question", "segment", F.struct("x0", "y0", "x1", "y1").alias("q"))
     low, high = (lambda c: F.greatest(f"p.{c}", f"q.{c}")), (lambda c: F.least(f"p.{c}", f"q.{c}"))
     first = (F.col("cx") == F.floor(low("x0") / cell)) & (F.col("cy") == F.floor(low("y0") / cell))
-    shared = a.join(b, ["page", "cx", "cy"]).where(first).select("question", "segment", "page", "xref", "place", low("x0").alias("x0"), low("y0").alias("y0"), high("x1").alias("x1"), high("y1").alias("y1")).where("x1 > x0 AND y1 > y0")
+    shared = _on_cells(a, b, ["page", "cx", "cy"]).where(first).select("question", "segment", "page", "xref", "place", low("x0").alias("x0"), low("y0").alias("y0"), high("x1").alias("x1"), high("y1").alias("y1")).where("x1 > x0 AND y1 > y0")
     earliest = F.min("segment").over(Window.partitionBy("question", "xref"))
     kept = shared.withColumn("earliest", earliest).where("segment = earliest")
     number = F.row_number().over(Window.partitionBy("question").orderBy("segment", "place", "xref", "x0", "y0", "x1", "y1"))

@@ -45,6 +45,15 @@ def test_rectangles_that_only_touch_share_nothing(spark):
     assert rows(E.figures(pictures, segment), "question", "xref", "x0", "x1") == [(8, 1, 60.0, 61.0)]
 
 
+def test_rows_dealt_to_cells_are_never_broadcast(spark):
+    """However small the planner takes them to be."""
+    box = lambda low, high, more: spark.range(1, 2).selectExpr("id AS page", *[f"{low}D AS {c}0" for c in "xy"], *[f"{high}D AS {c}1" for c in "xy"], *more)
+    pictures, segments = box(0, 100, ["1 AS xref", "1 AS place"]), box(50, 300, ["7 AS question", "0 AS segment"])
+    lines = E.overlaps(pictures.selectExpr("page", "1 AS l_id", "x0 AS l0", "x1 AS l1"), segments.selectExpr("page", "7 AS r_id", "x0 AS r0", "x1 AS r1"), ["page"], 8.0)
+    for found in (E.figures(pictures, segments), lines):
+        assert found.count() == 1 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_text_before_an_anchor_belongs_to_the_answer_before(spark):
     pages = [(1, 1, "intro\n 1.（4分）【答案】A \n more\n\n一、选择\nend of one （多选） 2、 ( 3 分 ) 解"), (1, 2, "第 2 页（共 3 页）\nover the page\n3．【答案】\n故选：BD"), (1, 3, "4. no bracket\n1．（2分）again"), (2, 1, "nothing\n"), (3, 1, None), (4, 1, "5.（1分）")]
     found = E.split_answers(spark.createDataFrame(pages, "paper int, page int, t string"), "paper", "page", "t")
