@@ -315,8 +315,8 @@ def doc_validate(spark: SparkSession, d: str) -> DataFrame:
     said = F.to_json(F.struct(F.lit("paragraph").alias("type"), F.array(inline).alias("content")))
     bad = F.when(F.col("doc_id") % 3 == 0, '{"type": "video"}').when(F.col("doc_id") % 3 == 1, '{"type": "image", "attrs": {"src": "a", "width": 500}}').otherwise('{"type": "paragraph", "content": []}')
     doc = F.concat(F.lit('{"type": "doc", "schema_version": '), F.when(F.col("doc_id") % 5 == 0, "2").otherwise("1"), F.lit(', "content": ['), said, F.lit(", "), bad, F.lit("]}"))
-    rows = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), doc.alias("doc"))
-    return rows.select("id", F.array_join(rich.document_errors("doc"), "; ").alias("errors"), rich.backfilled("doc")["patched"].alias("patched"))
+    rows = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), rich.checked(doc).alias("found"))
+    return rows.select("id", F.array_join("found.errors", "; ").alias("errors"), "found.patched")
 
 
 @query("doc_html", f""", source AS (SELECT id, content FROM questions), {FORMULAS},
