@@ -38,14 +38,25 @@ def subset_reordered(rows: DataFrame, wanted: DataFrame, key: str, parent: str,
     return rows.join(moved, key, "left").withColumn(position, F.coalesce("place", position)).drop("place")
 
 
+#: Rows that one task sorts, about.
+PART_ROWS = 1_000_000
+
+
+def _in_parts(rows: DataFrame, parent: str) -> DataFrame:
+    """Dealt by parent once for all windows, to as many parts as keep a task's rows about the same, however many there are; no fewer than the session's."""
+    parts = -(-rows.count() // PART_ROWS)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, parent) if parts > usual else rows.repartition(parent)
+
+
 def grouped_by_type(rows: DataFrame, parent: str, label: str, order: str) -> DataFrame:
     """section (from 0) and number (from 1): labels in the fixed order, unknown ones after them as they first come."""
     first = F.min(order).over(Window.partitionBy(parent, label))
-    ranked = rows.withColumn("rank", section_rank(F.col(label))).withColumn("first", first)
+    ranked = _in_parts(rows, parent).withColumn("rank", section_rank(F.col(label))).withColumn("first", F.when(F.col("rank") > 10, first))
     w = Window.partitionBy(parent)
-    unknown_last = [F.col("rank"), F.when(F.col("rank") > 10, F.col("first"))]
-    ranked = ranked.withColumn("section", F.dense_rank().over(w.orderBy(*unknown_last)) - 1)
-    return ranked.withColumn("number", F.row_number().over(w.orderBy(*unknown_last, order))).drop("rank", "first")
+    unknown_last = [F.col("rank"), F.col("first")]
+    ranked = ranked.withColumn("number", F.row_number().over(w.orderBy(*unknown_last, order)))  # before the section, whose order is a prefix: one sort serves both
+    return ranked.withColumn("section", F.dense_rank().over(w.orderBy(*unknown_last)) - 1).drop("rank", "first")
 
 
 def moved(rows: DataFrame, parent: str, section: str, position: str, chosen: Column, to: Column) -> DataFrame:

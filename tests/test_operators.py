@@ -114,6 +114,17 @@ def test_grouping_puts_types_in_order_and_unknown_ones_as_they_come(spark):
     assert [(r["label"], r["section"], r["number"]) for r in got] == [("选择题", 0, 1), ("填空题", 1, 2), ("zeta", 2, 3), ("zeta", 2, 4), ("alpha", 3, 5)]
 
 
+def test_types_are_grouped_in_parts_of_bounded_rows(spark, monkeypatch):
+    """One shuffle and two sorts; with more rows there are more parts, and the same numbers."""
+    rows = spark.range(3000).selectExpr("id % 500 AS practice", "id AS position", "element_at(array('填空题', 'x', '选择题', 'y'), int(id * 7 % 4) + 1) AS label")
+    made = lambda: W.grouped_by_type(rows, "practice", "label", "position")
+    plan = made()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 2
+    usual = sorted(map(tuple, made().collect()))
+    monkeypatch.setattr(W, "PART_ROWS", 100)
+    assert made().rdd.getNumPartitions() == 30 and sorted(map(tuple, made().collect())) == usual
+
+
 def test_segments_carry_forward_and_titles_without_content_go(spark):
     rows = spark.createDataFrame([("p", i, t) for i, t in enumerate("qtqqttq")] + [("e", 0, "t")], "practice string, at int, type string")
     got = W.segments(rows, "practice", "at", F.col("type") == "t").where("practice = 'p'").orderBy("at").collect()
