@@ -102,13 +102,14 @@ def _bigrams(words: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """One row per row of docs: id, licenses (names found, sorted), best_license, best_dice (rounded to 4 digits after the comparison), unit (place of the best one, from 0), n_lines.
+    """One row per row of docs: id, licenses (names found, sorted), best_license, best_dice (rounded to 4 digits after the comparison), unit (place of the best one, from 0), n_lines, inside (names whose whole wording stands anywhere in the text, sorted).
 
     Units are a text's lines; then, where blank lines separate them, its paragraphs of several lines, and the whole; then its
     sentences, which may go over lines. So a notice is found on a line of its own, hard-wrapped, or as a sentence inside other text.
     A unit is normalised: lower case, runs of other characters than a-z and 0-9 as one space. Only units with a cue word, one of
     which every match has (_cues), are normalised, and they are compared with those templates alone whose size lets them reach the
-    coefficient. Everything happens within the row, on built-in functions, so nothing is shuffled.
+    coefficient. Everything happens within the row, on built-in functions, so nothing is shuffled. A notice in the middle of a
+    sentence is no unit: inside has it if it is worded as its template, one worded otherwise isn't found.
 
     Nulls: a null or empty text has one line and no licence: licenses is empty, best_license and unit are null, best_dice is 0. A
     null id stays null. The best licence is the one that shares most bigrams with its unit, so that a licence's text outranks a short notice in it; ties go to
@@ -131,12 +132,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     paragraphs = F.when(F.size(apart) > 1, F.concat(F.filter(apart, lambda p: F.contains(p, F.lit("\n"))), F.array("text"))).otherwise(none)
     units = F.concat(F.split("text", "\n"), paragraphs, F.when(F.size(sentences) > 1, sentences).otherwise(none))
     numbered = F.transform(units, lambda u, i: F.struct(i.alias("unit"), u.alias("text")))
-    out = low.select("id", "n_lines", F.when(cued(F.col("text")), F.filter(numbered, lambda u: cued(u["text"]))).alias("units"))
+    said = F.concat(F.lit(" "), F.regexp_replace("text", "[^a-z0-9]+", " "), F.lit(" "))
+    worded = F.transform(F.array(said), lambda t: F.array_compact(F.array(*[F.when(F.contains(t, F.lit(f" {' '.join(_words(templates[n]))} ")), n) for n in sorted(templates)])))[0]  # a transform, so that said is made once
+    inside = F.when(cued(F.col("text")), worded).otherwise(none)
+    out = low.select("id", "n_lines", inside.alias("inside"), F.when(cued(F.col("text")), F.filter(numbered, lambda u: cued(u["text"]))).alias("units"))
     words = lambda u: F.filter(F.split(u["text"], "[^a-z0-9]+"), lambda w: w != "")
     out = out.withColumn("units", F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), words(u).alias("words"))))
     out = out.withColumn("units", F.transform("units", lambda u: F.struct(u["unit"].alias("unit"), F.when(F.size(u["words"]) >= 2, _bigrams(u["words"])).alias("grams"))))
     largest = max(sizes)
-    out = out.select("id", "n_lines", F.filter("units", lambda u: u["grams"].isNotNull() & (F.size(u["grams"]) <= largest)).alias("units"))
+    out = out.select("id", "n_lines", "inside", F.filter("units", lambda u: u["grams"].isNotNull() & (F.size(u["grams"]) <= largest)).alias("units"))
 
     def compared(u: Column) -> Column:
         names = F.coalesce(F.try_element_at(by_size, F.size(u["grams"])), F.array().cast("array<int>"))
@@ -145,13 +149,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.transform(sized, lambda m: F.struct(m["minus_shared"].alias("minus_shared"), (F.lit(2.0) * m["minus_shared"] / m["both"]).alias("minus"), u["unit"].alias("unit"), m["name"].alias("name")))
 
     found = F.array_sort(F.filter(F.flatten(F.transform("units", compared)), lambda m: m["minus"] <= -least))
-    out = out.withColumn("all", all_).select("id", "n_lines", F.coalesce(found, F.array().cast("array<struct<minus_shared: int, minus: double, unit: int, name: string>>")).alias("found"))
+    out = out.withColumn("all", all_).select("id", "n_lines", "inside", F.coalesce(found, F.array().cast("array<struct<minus_shared: int, minus: double, unit: int, name: string>>")).alias("found"))
     best = F.try_element_at("found", F.lit(1))
-    return out.select(F.col("id").alias(id_col), F.array_sort(F.array_distinct(F.transform("found", lambda m: m["name"]))).alias("licenses"), best["name"].alias("best_license"), F.coalesce(F.round(-best["minus"], 4), F.lit(0.0)).alias("best_dice"), best["unit"].alias("unit"), "n_lines")
+    return out.select(F.col("id").alias(id_col), F.array_sort(F.array_distinct(F.transform("found", lambda m: m["name"]))).alias("licenses"), best["name"].alias("best_license"), F.coalesce(F.round(-best["minus"], 4), F.lit(0.0)).alias("best_dice"), best["unit"].alias("unit"), "n_lines", "inside")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return scan_licenses(docs).withColumn("licenses", F.array_join("licenses", ","))
+    """The columns that the query's SQL has; inside isn't among them."""
+    return scan_licenses(docs).drop("inside").withColumn("licenses", F.array_join("licenses", ","))
 
 
 def _sql() -> str:

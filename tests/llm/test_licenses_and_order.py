@@ -48,6 +48,13 @@ def test_a_licence_outranks_the_notice_above_it(spark, documents, name):
     assert found.best_license == name and found.best_dice > 0.9 and "Proprietary" in found.licenses
 
 
+def test_a_notice_in_the_middle_of_a_sentence_is_told(spark, documents):
+    """By its template's wording, whatever stands between the words; a part of it, or longer words, are none."""
+    texts = ["see foo.c, licensed under the mit license, for details", "as the\n// Apache License,\n// Version 2.0 says, so", "the emit license, or the MIT licenses", "", None]
+    found = {r["doc_id"]: r["inside"] for r in licenses.scan_licenses(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert found == {0: ["MIT licensed", "MIT name"], 1: ["Apache-2.0 name"], 2: [], 3: [], 4: []}
+
+
 def test_cues_lose_no_match():
     """Any text with the least share of a template's bigrams has a cue."""
     cues = {*licenses._cues(licenses.TEMPLATES, 0.8)}
